@@ -1,25 +1,32 @@
 """Token ids by a public tokenizer, encoded once for each distinct word of a slice.
 
 Exactness: the tokenizer drops white space and never joins characters across
-it, so a text's ids are its words' ids in order. Distinct words are joined by
-the tokenizer's own start token, at which it always splits, so that few calls
-encode many words.
+it, so a text's ids are its words' ids in order. A final mark after a letter or
+digit is a token of its own and counts as a word here. Distinct words of plain
+letters give one word-end token each; they are joined by blanks and cut after
+those. Other words are joined by the tokenizer's own start token, at which it
+always splits.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from .batches import Text
+from .batches import Text, Words
 
 _LOADED: dict[str, object] = {}
 _JOIN, _JOIN_ID, _CHUNK = "<|startoftext|>", 49406, 4000
+#: Letters that no composition or contraction can change.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_FINAL = np.isin(np.arange(256), list(b".,!?;:"))
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 #: Text bytes encoded together; more text shares more words.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 32 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -36,33 +43,56 @@ def _load(path: str):
         t = Tokenizer.from_file(path)
         if t.token_to_id(_JOIN) != _JOIN_ID:
             raise ValueError(f"{path} lacks the token {_JOIN}")
-        _LOADED[path] = t
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+        _LOADED[path] = t, ends
     return _LOADED[path]
 
 
-def _encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after another, and each word's number of ids."""
-    t = _load(path)
-    plain = [i for i, w in enumerate(words) if _JOIN not in w]
-    parts: list[np.ndarray] = [None] * len(words) if len(plain) < len(words) else []
-    flat, count = [], []
-    texts = [_JOIN.join([words[i] for i in plain[k : k + _CHUNK]]) for k in range(0, len(plain), _CHUNK)]
-    for text in texts:
-        (e,) = t.encode_batch_fast([text], add_special_tokens=False)
-        ids = np.array(e.ids, np.uint32)
-        cut = np.flatnonzero(ids == _JOIN_ID)
-        count.append(np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
-        flat.append(np.delete(ids, cut))
-    ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    n = np.concatenate(count).astype(np.int64) if count else np.zeros(0, np.int64)
-    if not parts:
-        return ids, n
-    for i, a in zip(plain, np.split(ids, np.cumsum(n)[:-1]) if len(n) else [], strict=True):
-        parts[i] = a
-    for i, w in enumerate(words):
-        if parts[i] is None:
-            parts[i] = np.array(t.encode(w, add_special_tokens=False).ids, np.uint32)
-    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+def _joined(t, words: list[str], sign: str) -> Iterator[np.ndarray]:
+    for k in range(0, len(words), _CHUNK):
+        (e,) = t.encode_batch_fast([sign.join(words[k : k + _CHUNK])], add_special_tokens=False)
+        yield np.array(e.ids, np.uint32)
+
+
+def _encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words, and each word's first place and number of ids in them."""
+    t, ends = _load(path)
+    kind = np.array([0 if _PLAIN(w) else 1 if _JOIN not in w else 2 for w in words], np.int8)
+    flat, count, order = [], [], []
+    for k, sign in enumerate((" ", _JOIN)):
+        which = np.flatnonzero(kind == k)
+        order.append(which)
+        for ids in _joined(t, [words[i] for i in which], sign):
+            if k:
+                cut = np.flatnonzero(ids == _JOIN_ID)
+                count.append(np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
+                flat.append(np.delete(ids, cut))
+            else:
+                count.append(np.diff(np.concatenate(([-1], np.flatnonzero(ends[ids])))))
+                flat.append(ids)
+    order.append(np.flatnonzero(kind == 2))
+    for i in order[-1]:
+        flat.append(np.array(t.encode(words[i], add_special_tokens=False).ids, np.uint32))
+        count.append(np.array([len(flat[-1])]))
+    n, of = np.concatenate(count), np.concatenate(order)
+    if len(n) != len(words):
+        raise ValueError(f"{len(words)} words gave {len(n)} runs of ids")
+    begin, size = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    begin[of], size[of] = np.cumsum(n) - n, n
+    return np.concatenate(flat), begin, size
+
+
+def _with_marks(words: Words) -> Words:
+    """Words whose last mark, if a letter or digit stands before it, is a word of its own."""
+    data, start, end = words.text.data, words.start, words.end
+    long = np.flatnonzero(end - start > 1)
+    last, before = data[end[long] - 1], data[end[long] - 2]
+    lead = data[np.maximum(end[long] - 3, 0)]
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (end[long] - start[long] > 2)
+    split = end[long[_FINAL[last] & (_ALNUM[before] | latin)]]
+    at = np.sort(np.concatenate((start, split - 1)))
+    return Words(words.text, at, at)
 
 
 def encode(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
@@ -72,15 +102,15 @@ def encode(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
         for _ in range(len(col)):
             yield np.array([end_id], np.uint32)
         return
+    words = _with_marks(words)
     coded = words.strings().dictionary_encode()
     which = coded.indices.to_numpy()
-    ids, n = _encode_words([w.strip(" \t\n\v\f\r") for w in coded.dictionary.to_pylist()], path)
-    begin = np.cumsum(n) - n
-    each = n[which]
+    ids, begin, size = _encode_words([w.strip(" \t\n\v\f\r") for w in coded.dictionary.to_pylist()], path)
+    each = size[which]
     # The ids of all words in order: word k takes ids[begin[which[k]]:][:each[k]].
     ends = np.cumsum(each)
-    at = np.arange(ends[-1]) + np.repeat(begin[which] - (ends - each), each)
-    flat = ids[at]
+    flat = ids[np.arange(ends[-1]) + np.repeat(begin[which] - (ends - each), each)]
     bounds = np.concatenate(([0], ends))[words.first]
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield np.append(flat[a:b], np.uint32(end_id))
+    last = np.array([end_id], np.uint32)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield np.concatenate((flat[a:b], last))
