@@ -1,4 +1,120 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered plate queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import repair_digits
+from ..operators import boxes as b
+from ..operators import stages
+from ..operators import votes as v
+from ..options import Options
+from ..sources import fixtures as x
+from . import reading as r
+from .sql import QUERIES_SQL as SQL  # noqa: F401
+
+
+class Tables:
+    """The plate views of one folder, and the steps that several queries share."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.o = Options.of(spark)
+        self.photos, self.listing, self.raw, self.readings, self.fields, self.components, self.levels = (
+            f(spark, sf_dir) for f in (x.photos, x.listing, x.raw_boxes, x.readings, x.field_readings, x.components, x.levels)
+        )
+
+    def cuts(self) -> DataFrame:
+        return b.field_cuts(self.components)
+
+    def frames(self) -> DataFrame:
+        return b.ocr_frames(self.cuts())
+
+    def padded(self) -> DataFrame:
+        return b.padded(b.confident(self.raw, self.o), self.photos, self.o)
+
+    def detections(self) -> DataFrame:
+        return r.detections(self.raw, self.photos, self.o)
+
+    def first(self) -> DataFrame:
+        return r.first_boxes(self.raw, self.photos, self.o)
+
+    def routed(self) -> DataFrame:
+        return r.routed_votes(self.first(), self.cuts(), self.fields, self.readings, self.o)
+
+    def read(self) -> DataFrame:
+        return r.plate_readings(self.routed())
+
+    def results(self) -> DataFrame:
+        read = self.read()
+        return r.photo_results(self.photos, r.photo_best(read), read)
+
+    def votes(self) -> DataFrame:
+        return r.group_votes(self.routed(), self.photos)
+
+    def plates(self) -> DataFrame:
+        return r.group_plate(self.votes(), self.photos)
+
+    def agreed(self) -> DataFrame:
+        return r.agreement(self.plates(), self.results())
+
+    def report(self) -> DataFrame:
+        return r.report_rows(self.photos, self.read(), self.first())
+
+
+def _won(votes: DataFrame) -> DataFrame:
+    return v.winners(votes, "photo_id")
+
+
+def _parsed(t: Tables) -> DataFrame:
+    return v.parsed(t.readings).select("photo_id", "reading_seq", "digits", "letter", "region", "is_temporary", "plate_text")
+
+
+_BY_NAME = {
+    "photo_manifest": lambda t: r.manifest(t.photos),
+    "missing_photos": lambda t: r.missing(t.photos, t.listing),
+    "confident_boxes": lambda t: b.confident(t.raw, t.o).select("photo_id", "det_seq", "confidence"),
+    "padded_boxes": lambda t: t.padded(),
+    "overlap_pairs": lambda t: b.overlap_pairs(t.padded(), t.o),
+    "dedup_boxes": lambda t: b.deduplicated(t.padded(), t.o),
+    "detection_index": lambda t: t.detections().select("photo_id", "det_seq", "det_index"),
+    "crop_manifest": lambda t: r.crop_manifest(t.detections(), t.photos),
+    "separator_bars": lambda t: b.separator_bars(t.components).select("crop_id", "comp_id", "x", "w"),
+    "field_cuts": lambda t: t.cuts(),
+    "ink_extent": lambda t: b.ink_extent(t.components),
+    "plate_body": lambda t: b.plate_body(t.components),
+    "ocr_frame_size": lambda t: t.frames(),
+    "ocr_tasks_fields": lambda t: b.field_tasks(t.frames()),
+    "ocr_tasks_whole": lambda t: b.whole_tasks(t.frames()),
+    "otsu_threshold": lambda t: b.otsu_threshold(t.levels),
+    "clean_readings": lambda t: v.clean(t.fields).select("photo_id", "field", "variant_no", "raw_text"),
+    "alphabet_violations": lambda t: v.alphabet_violations(t.fields),
+    "normalize_text": lambda t: v.parsed(t.readings).select("photo_id", "reading_seq", "normal_text"),
+    "repair_digits": lambda t: t.fields.where("field <> 'letter'").select("photo_id", "field", "variant_no", repair_digits(F.col("raw_text")).alias("repaired")),
+    "parse_plate": _parsed,
+    "valid_plates": lambda t: _parsed(t).select("photo_id", "reading_seq", F.col("plate_text").isNotNull().alias("valid")),
+    "parse_rejects": lambda t: v.rejects(t.readings),
+    "pooled_readings": lambda t: v.pooled(t.fields, t.readings),
+    "vote_digits": lambda t: _won(v.number_votes(t.fields, "digits", t.o)),
+    "vote_region": lambda t: _won(v.number_votes(t.fields, "region", t.o)),
+    "vote_letter": lambda t: _won(v.letter_votes(t.fields, t.o)),
+    "vote_whole": lambda t: v.whole_votes(t.readings, t.o).select("photo_id", "text", "weight"),
+    "compose_fields": lambda t: v.composed(t.fields, t.o),
+    "plate_readings": lambda t: t.read(),
+    "photo_best": lambda t: r.photo_best(t.read()),
+    "photo_results": lambda t: t.results(),
+    "group_votes": lambda t: t.votes().select("group_id", "text", "weight"),
+    "group_plate": lambda t: t.plates(),
+    "agreement": lambda t: t.agreed(),
+    "run_summary": lambda t: r.run_summary(t.agreed(), r.missing(t.photos, t.listing)),
+    "activity_log": lambda t: r.activity_log(t.photos, t.read()),
+    "plate_report_rows": lambda t: t.report(),
+    "plate_report_json": lambda t: r.report_json(t.photos, t.report(), t.agreed()),
+    "preview_pick": lambda t: r.preview_pick(t.results()),
+    "votes_map": lambda t: r.votes_map(t.votes()),
+    "recogniser_stage": lambda t: stages.run(t.photos, stages.backend("echo"), stages.READING).where("error is null").drop("error"),
+    "recogniser_errors": lambda t: stages.run(t.photos, stages.backend("echo"), stages.READING).where("error is not null").groupBy("error").agg(F.count("*").alias("n")),
+    "detector_stage": lambda t: stages.run(t.photos, stages.centre_detector, stages.BOX).drop("error"),
+}
+
+QUERIES = {name: lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir)) for name, f in _BY_NAME.items()}
