@@ -65,7 +65,7 @@ def _literal(word: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item_id, ipos, hash, item_windows of windows with enough literal words."""
     words = _template_words(benchmark.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "item_id"), "item_id", text_col)
-    at = words.select("item_id", "words", F.posexplode(_windows(F.col("words"))).alias("ipos", "hash"))
+    at = words.select("item_id", "words", F.posexplode_outer(_windows(F.col("words"))).alias("ipos", "hash")).where("ipos is not null")
     window = F.slice("words", F.col("ipos") + 1, WINDOW)
     literal = F.size(F.filter(window, _literal)) >= F.least(F.lit(LITERALS), F.size(window))
     kept = at.where(literal).select("item_id", "ipos", "hash").distinct()
@@ -75,7 +75,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataF
 def _slots(df: DataFrame, id_col: str, text_col: str, place: str, value: str) -> DataFrame:
     """Slots of texts: id, place, kind, value."""
     both = _templates(df, id_col, text_col).select(id_col, F.arrays_zip(_words(F.col("template")).alias("kind"), _words(F.col("raw")).alias("value")).alias("w"))
-    each = both.select(id_col, F.posexplode("w").alias(place, "w"))
+    each = both.select(id_col, F.posexplode_outer("w").alias(place, "w"))
     return each.where(~_literal(F.col("w.kind"))).select(id_col, place, F.col("w.kind").alias("kind"), F.col("w.value").alias(value))
 
 
@@ -88,7 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = save(benchmark_windows(items, "item_id", "text"), "windows")
-    own = _template_words(texts, "id", "text").select("id", F.posexplode(_windows(F.col("words"))).alias("dpos", "hash"))
+    # An outer generator: of an inner one Spark infers a filter, which would compute all windows a second time.
+    own = _template_words(texts, "id", "text").select("id", F.posexplode_outer(_windows(F.col("words"))).alias("dpos", "hash"))
     hits = own.join(_bounded(wanted), "hash").select("id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "item_windows").distinct()
     hits = save(hits, "hits")
 
