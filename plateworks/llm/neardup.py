@@ -36,7 +36,7 @@ from .sketch import band_keys, digest, linked, prune_table, shingle_sets, signat
 #: Percent of the union that the intersection must reach, the chance to miss a pair at a stage, and hashes a stage.
 PERCENT, MISS, STEP = 75, 1e-6, 16
 #: Members of buckets whose pairs are listed, and members of a block of larger ones.
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 64, 512
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
