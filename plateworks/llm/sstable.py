@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 from .encode import ENCODE_BYTES, encode, vocabulary
-from .shared import shared_dir
+from .shared import save, shared_dir
 
 MAGIC = b"PWSST001"
 END_ID, SECTION_BYTES, SHARD_TEXT_BYTES = 1, 64 << 10, 32 << 20
+#: Shards whose first places may be broadcast (12 bytes each).
+BROADCAST_SHARDS = 500_000
 _FOOTER = struct.Struct("<QQQQQQHHxxxx8s")
 _BLOOM_BITS, _BLOOM_PROBES = 10, 7
 
@@ -232,8 +234,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     rows = _scan(files, "shard int, doc_id long, local long, n_tokens long, tokens binary", documents)
     # One row a shard, so this unpartitioned window is short at any size.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = _scan(files, "shard int, n long", totals).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "tokens")
+    base = save(_scan(files, "shard int, n long", totals).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards")
+    return rows.join(F.broadcast(base) if base.count() <= BROADCAST_SHARDS else base, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "tokens")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
