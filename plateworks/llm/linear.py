@@ -108,22 +108,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: st
             yield pa.RecordBatch.from_arrays(cols, names=["rank", "y", "at", "x"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
-        bias = np.array([1 << o.bits], np.int32)
+        # One array a batch rather than one a row: large arrays go back to the system when they are done with.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: list[tuple[int, int, int, int]] = []
+        rows = np.zeros(1 << o.bits, np.int32)
         for batch in batches:
-            for y, at, x in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                seen.append((np.concatenate((np.frombuffer(at, "<i4"), bias)), np.append(np.frombuffer(x, "<f4"), np.float32(1)), y))
-        rows = np.zeros((1 << o.bits) + 1, np.int32)
-        for at, _, _ in seen:
-            rows[at] += 1
+            if not batch.num_rows:
+                continue
+            at, x = (Text(batch.column(c)) for c in (2, 3))
+            spans = (at.bounds // 4).tolist()
+            seen += [(len(held), a, b, y) for a, b, y in zip(spans[:-1], spans[1:], batch.column(1).to_pylist(), strict=True)]
+            held.append((at.data.view("<i4").copy(), x.data.view("<f4").copy()))
+            rows += np.bincount(held[-1][0], minlength=len(rows)).astype(np.int32)
         often = rows >= o.min_rows
-        often[-1] = True
-        seen = [(at[often[at]], x[often[at]], y) for at, x, y in seen]
         leader = Leader(o)
         order = np.random.default_rng(1)
         for _ in range(o.epochs):
             for k in order.permutation(len(seen)):
-                leader.learn(*seen[k])
+                i, a, b, y = seen[k]
+                at, x = held[i][0][a:b], held[i][1][a:b]
+                keep = often[at]
+                leader.learn(np.append(at[keep], np.int32(1 << o.bits)), np.append(x[keep], np.float32(1)), y)
         w = leader.weights(np.arange((1 << o.bits) + 1))
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(w[kept], pa.float64())], names=["feature", "weight"])
