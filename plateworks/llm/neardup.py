@@ -10,8 +10,10 @@ Candidates come in two passes, and neither lists the pairs of a large bucket.
 First each member meets the smallest of its bucket, and links join classes into
 components. Then members of different components that share a bucket meet: in
 small buckets as pairs, in large ones in blocks of bounded size, compared where
-their texts are, so that only links come out. A pair is compared in the first
-band it shares. No candidate is left out, whatever the size of its bucket.
+their texts are, so that only links come out. Members of a bucket's largest
+component meet only those outside it, so a bucket of copies with few strangers
+costs rows in proportion to its size. A pair is compared in the first band it
+shares. No candidate is left out, whatever the size of its bucket.
 
 Null and blank texts have no shingles and are linked with nothing. Repeated
 rows, and rows with one id, count as one vertex; each row is returned. Rows
@@ -99,12 +101,15 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 def _block_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of different components in large buckets.
 
-    ``rows``: key, id, component, n (members of the bucket). A bucket's members
-    are dealt over blocks by hash, and each pair of blocks is one unit of work.
+    ``rows``: key, id, component, n (members of the bucket), main (its largest
+    component), others (members outside it). Members are dealt over blocks by
+    hash, those outside the largest component first, and each pair of blocks is
+    one unit of work, except pairs of two blocks of the largest component.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    outer, inner = (F.ceil(x / BLOCK).cast("int") for x in (F.col("others"), F.col("n") - F.col("others")))
+    is_main, at = F.col("component") == F.col("main"), F.xxhash64("id")
+    own = F.when(is_main, outer + F.pmod(at, inner)).otherwise(F.pmod(at, outer)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_main, outer - 1).otherwise(outer + inner - 1)))
     dealt = rows.select("key", "id", "component", own.alias("own"), other.alias("other"))
     units = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").distinct()
     table = prune_table(PERCENT / 100, MISS, STEP)
@@ -150,7 +155,7 @@ def _block_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield links()
 
-    ids = units.select("id").distinct()
+    ids = rows.select("id").distinct()
     with_text = units.join(_texts_of(docs, ids), "id").select("key", "i", "j", "own", "id", "component", "text")
     sorted_units = with_text.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return save(sorted_units.mapInArrow(run, "a long, b long"), "links")
@@ -173,8 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links)
 
     placed = members.join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = save(placed.join(open_keys, "key", "left_semi"), "members")
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+    open_keys = shares.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    rest = save(placed.join(open_keys, "key"), "members")
     few, many = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
     left, right = (few.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
     pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
