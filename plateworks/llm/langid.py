@@ -153,9 +153,22 @@ def entropies(col: pa.Array, models: list[Model]) -> tuple[np.ndarray, np.ndarra
 
 
 def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """At most n documents of each language, those with the smallest hashes; tasks keep n each before the shuffle."""
+    """At most n documents of each language, those with the smallest hashes.
+
+    The window meets only rows whose hash lies below a language's bound, which
+    its count sets so that about n + 8 * sqrt(n) + 64 do: fewer than n would be
+    eight standard deviations off, and no task's share grows with the input.
+    """
+    counts = docs.groupBy("lang").agg(F.count("*").alias("total"))
+    totals = counts.limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # At most MAX_LANGUAGES rows.
+    known = F.broadcast(docs.sparkSession.createDataFrame(totals, counts.schema))
+    ranked = docs.withColumn("rank", F.xxhash64("id")).join(known, "lang")
+    near = ranked.where((F.col("rank") / 2.0**64 + 0.5) * F.col("total") <= n + 8 * n**0.5 + 64)
     w = Window.partitionBy("lang").orderBy("rank", "id")
-    return docs.withColumn("rank", F.xxhash64("id")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("total")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> list[Model]:
@@ -185,8 +198,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     texts = known.drop("lang").join(F.broadcast(ids), "id").select("text", "lang")
     rows = texts.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column(0).unique().to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are supported")
     symbols = len(set("".join(rows.column(1).to_pylist()))) + 1
     lang_of = np.array(rows.column(0).to_pylist())
     models = []
