@@ -80,7 +80,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), "tb"):
+            for batch in slices(iter([whole]), "tb", 4 << 20):
                 ta, tb = batch.column(2).dictionary_encode(), batch.column(3)
                 a, b = shingle_sets(ta.dictionary), shingle_sets(tb)
                 keep = [linked(a[k], y, PERCENT) for k, y in zip(ta.indices.to_pylist(), b, strict=True)]
