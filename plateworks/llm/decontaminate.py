@@ -10,8 +10,8 @@ chance meeting of placeholders is not. A document is contaminated by an item if
 the windows of its consistent alignments make up ``SHARE`` of the item's, and
 ``LEAST`` at least (or all, if the item has fewer).
 
-Null and blank texts have no windows; texts of fewer words than a window are one
-window. Rows without an id take no part; repeated rows count once; empty tables
+Null and blank texts have no windows; an item of fewer words than a window is one
+window, which is looked for at every place of a document. Rows without an id take no part; repeated rows count once; empty tables
 give an empty result. Columns other than id and text are not read.
 """
 
@@ -53,22 +53,28 @@ def _template_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _windows(words: Column) -> Column:
-    """Hashes of the windows of words, in order."""
+    """Hashes of the windows of an item's words, in order."""
     last = F.greatest(F.size(words) - (WINDOW - 1), F.lit(1))
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
 
 
+def _places(words: Column, length: int) -> Column:
+    """dpos, hash of each window of so many words; none if there are fewer."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("dpos"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
+    return F.when(F.size(words) >= length, each).otherwise(F.array().cast("array<struct<dpos:int,hash:bigint>>"))
+
+
 def _literal(word: Column) -> Column:
     return ~word.isin(NUMBER, NAME, UNIT)
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, ipos, hash, item_windows of windows with enough literal words."""
+    """item_id, ipos, length, hash, item_windows of windows with enough literal words."""
     words = _template_words(benchmark.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "item_id"), "item_id", text_col)
     at = words.select("item_id", "words", F.posexplode_outer(_windows(F.col("words"))).alias("ipos", "hash")).where("ipos is not null")
     window = F.slice("words", F.col("ipos") + 1, WINDOW)
     literal = F.size(F.filter(window, _literal)) >= F.least(F.lit(LITERALS), F.size(window))
-    kept = at.where(literal).select("item_id", "ipos", "hash").distinct()
+    kept = at.where(literal).select("item_id", "ipos", F.size(window).alias("length"), "hash").distinct()
     return kept.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
 
 
@@ -89,7 +95,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = save(benchmark_windows(items, "item_id", "text"), "windows")
     # An outer generator: of an inner one Spark infers a filter, which would compute all windows a second time.
-    own = _template_words(texts, "id", "text").select("id", F.posexplode_outer(_windows(F.col("words"))).alias("dpos", "hash"))
+    lengths = sorted(r.length for r in wanted.select("length").distinct().collect())
+    places = F.concat(*(_places(F.col("words"), n) for n in lengths or [WINDOW]))
+    own = _template_words(texts, "id", "text").select("id", F.explode_outer(places).alias("at")).select("id", "at.dpos", "at.hash")
     hits = own.join(_bounded(wanted), "hash").select("id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "item_windows").distinct()
     hits = save(hits, "hits")
 

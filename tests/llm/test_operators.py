@@ -205,6 +205,15 @@ def test_decontamination_finds_changed_numbers(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def test_decontamination_finds_short_items_in_long_documents(spark):
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, f"{filler}. What is the capital of France? {filler}"), (2, filler), (3, "What is the capital of France?"), (4, f"{filler} blue cheese"), (5, "blue"), (6, f"{filler}. What is the capital city of France? {filler}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Blue cheese")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 1, 1), (3, 1, 1, 1), (4, 2, 1, 1)}
+
+
 def test_language_models(spark, docs, none):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = langid.learn(full)
