@@ -6,7 +6,9 @@ lower-cased words. Windows of template words are hashed and joined with the
 benchmark's. Windows that line up at one distance between document and item
 form an alignment; in each, a slot's value in the item must stand for one value
 in the document, so a question with other numbers or names is caught, and a
-chance meeting of placeholders is not. A document is contaminated by an item if
+chance meeting of placeholders is not. In an alignment where one does not,
+windows count that lie in a passage of ``RUN`` words or more whose raw words
+equal the item's. A document is contaminated by an item if
 the windows of its consistent alignments make up ``SHARE`` of the item's, and
 ``LEAST`` at least (or all, if the item has fewer).
 
@@ -17,12 +19,14 @@ give an empty result. Columns other than id and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import save
 
 WINDOW, LITERALS, SHARE, LEAST = 8, 4, 0.1, 2
+#: Words of a verbatim passage that counts beside inconsistent slots.
+RUN = 13
 #: Benchmark windows, and documents with hits, that may be broadcast (at most about 40 bytes each).
 BROADCAST_ROWS = 500_000
 UNITS = "mm cm dm m km mg g kg t ml cl l s min h kb mb gb tb w kw v a hz khz mhz usd eur gbp percent meters metres miles feet inches pounds grams kilograms liters litres seconds minutes hours days weeks months years dollars euros degrees".split()
@@ -79,16 +83,30 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataF
 
 
 def _slots(df: DataFrame, id_col: str, text_col: str, place: str, value: str) -> DataFrame:
-    """Slots of texts: id, place, kind, value."""
+    """Words of texts that a template changes or may change: id, place, kind, value."""
     both = _templates(df, id_col, text_col).select(id_col, F.arrays_zip(_words(F.col("template")).alias("kind"), _words(F.col("raw")).alias("value")).alias("w"))
     each = both.select(id_col, F.posexplode_outer("w").alias(place, "w"))
-    return each.where(~_literal(F.col("w.kind"))).select(id_col, place, F.col("w.kind").alias("kind"), F.col("w.value").alias(value))
+    return each.where(F.col("w.kind").rlike(f"[{NUMBER}{NAME}{UNIT}]")).select(id_col, place, F.col("w.kind").alias("kind"), F.col("w.value").alias(value))
+
+
+#: What names an alignment.
+_LINE = ("id", "item_id", "shift")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _verbatim(hits: DataFrame, edited: DataFrame) -> DataFrame:
+    """Hits in passages of RUN words or more whose raw words equal the item's; edited: places whose words differ."""
+    touched = edited.select(*_LINE, F.explode(F.sequence(F.col("ipos") - (WINDOW - 1), F.col("ipos"))).alias("ipos")).distinct()
+    equal = hits.join(touched, [*_LINE, "ipos"], "left_anti")
+    # Windows that follow one another have one difference between place and rank.
+    runs = equal.withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*_LINE).orderBy("ipos")))
+    long = runs.groupBy(*_LINE, "run").agg(F.count("*").alias("n")).where(F.col("n") > RUN - WINDOW)
+    return runs.join(long, [*_LINE, "run"], "left_semi").select(hits.columns)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows, item_windows, changed_slots: one row for each document and item that contaminates it."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -106,10 +124,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     dslots = _slots(texts.join(found, "id", "left_semi"), "id", "text", "dpos", "dvalue")
     covered = hits.select("id", "item_id", "shift", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (WINDOW - 1))).alias("ipos")).distinct()
     pairs = covered.join(islots, ["item_id", "ipos"]).withColumn("dpos", F.col("ipos") + F.col("shift")).join(dslots, ["id", "dpos", "kind"])
-    values = pairs.groupBy("id", "item_id", "shift", "kind", "ivalue").agg(F.min("dvalue").alias("low"), F.max("dvalue").alias("high"))
-    slots = values.groupBy("id", "item_id", "shift").agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("torn"), F.sum((F.col("low") != F.col("ivalue")).cast("long")).alias("changed"))
-
-    sound = hits.join(slots, ["id", "item_id", "shift"], "left").where(F.coalesce("torn", F.lit(0)) == 0)
+    differs = lambda c: F.col(c) != F.col("ivalue")
+    values = pairs.where(~_literal(F.col("kind"))).groupBy(*_LINE, "kind", "ivalue").agg(F.min("dvalue").alias("low"), F.max("dvalue").alias("high"))
+    slots = values.groupBy(*_LINE).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("torn"), F.sum((differs("low") | differs("high")).cast("long")).alias("changed"))
+
+    judged = save(hits.join(slots, [*_LINE], "left"), "judged")
+    torn = judged.where("torn = 1")
+    edited = pairs.where(differs("dvalue")).join(torn.select(*_LINE).distinct(), [*_LINE], "left_semi")
+    sound = judged.where(F.coalesce("torn", F.lit(0)) == 0).unionByName(_verbatim(torn, edited))
     total = sound.groupBy("id", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed_slots"))
     enough = F.greatest(F.least(F.lit(LEAST), F.col("item_windows")), F.ceil(F.col("item_windows") * SHARE))
     return total.where(F.col("n_windows") >= enough).withColumnRenamed("id", id_col)

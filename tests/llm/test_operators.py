@@ -214,6 +214,18 @@ def test_decontamination_finds_short_items_in_long_documents(spark):
     assert got == {(1, 1, 1, 1), (3, 1, 1, 1), (4, 2, 1, 1)}
 
 
+def test_decontamination_counts_verbatim_passages_beside_torn_slots(spark):
+    item = "Anna has 12 apples and gives 5 apples to each of her 12 friends in the town before the long rain comes down and the river near the old mill begins to rise over its banks once more"
+    cut = item.split(" in the town")[0]
+    rows = [(1, item.replace("12 apples", "31 apples")), (2, cut.replace("12 apples", "31 apples")), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.item_windows, r.changed_slots) for r in decontaminate.contaminated(docs, bench).collect()}
+    # Row 1 equals the item from the fourth word on, row 2 only over 11 words.
+    n = len(item.split()) - 7
+    assert got == {1: (n - 3, n, 1), 3: (n, n, 0)}
+
+
 def test_language_models(spark, docs, none):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = langid.learn(full)
