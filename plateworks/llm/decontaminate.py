@@ -8,9 +8,12 @@ form an alignment; in each, a slot's value in the item must stand for one value
 in the document, so a question with other numbers or names is caught, and a
 chance meeting of placeholders is not. In an alignment where one does not,
 windows count that lie in a passage of ``RUN`` words or more whose raw words
-equal the item's. A document is contaminated by an item if
-the windows of its consistent alignments make up ``SHARE`` of the item's, and
-``LEAST`` at least (or all, if the item has fewer).
+equal the item's. Windows with fewer than
+``LITERALS`` literal words, and items shorter than a window, are met by their
+raw words (short items of literal words also as templates). A document is
+contaminated by an item if the windows that count make up ``SHARE`` of the
+item's, and ``LEAST`` at least (or all, if the item has fewer), be it of all
+windows or of those met as templates.
 
 Null and blank texts have no windows; an item of fewer words than a window is one
 window, which is looked for at every place of a document. Rows without an id take no part; repeated rows count once; empty tables
@@ -52,20 +55,20 @@ def _templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.select(id_col, "raw", F.when(F.col("named").rlike("[0-9]"), units).otherwise(F.col("named")).alias("template"))
 
 
-def _template_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _templates(df, id_col, text_col).select(id_col, _words(F.col("template")).alias("words"))
+def _both_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, words of the template, raw words; these match place by place."""
+    return _templates(df, id_col, text_col).select(id_col, _words(F.col("template")).alias("words"), _words(F.col("raw")).alias("raws"))
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of the windows of an item's words, in order."""
-    last = F.greatest(F.size(words) - (WINDOW - 1), F.lit(1))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+def _hash(words: Column, exact: bool) -> Column:
+    """Hash of a window; that of raw words never equals that of a template."""
+    return F.xxhash64(words, F.lit(1)) if exact else F.xxhash64(words)
 
 
-def _places(words: Column, length: int) -> Column:
-    """dpos, hash of each window of so many words; none if there are fewer."""
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("dpos"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
-    return F.when(F.size(words) >= length, each).otherwise(F.array().cast("array<struct<dpos:int,hash:bigint>>"))
+def _places(words: Column, length: int, exact: bool) -> Column:
+    """dpos, exact, hash of each window of so many words; none if there are fewer."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("dpos"), F.lit(exact).alias("exact"), _hash(F.slice(words, i, length), exact).alias("hash")))
+    return F.when(F.size(words) >= length, each).otherwise(F.array().cast("array<struct<dpos:int,exact:boolean,hash:bigint>>"))
 
 
 def _literal(word: Column) -> Column:
@@ -73,18 +76,23 @@ def _literal(word: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, ipos, length, hash, item_windows of windows with enough literal words."""
-    words = _template_words(benchmark.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "item_id"), "item_id", text_col)
-    at = words.select("item_id", "words", F.posexplode_outer(_windows(F.col("words"))).alias("ipos", "hash")).where("ipos is not null")
-    window = F.slice("words", F.col("ipos") + 1, WINDOW)
-    literal = F.size(F.filter(window, _literal)) >= F.least(F.lit(LITERALS), F.size(window))
-    kept = at.where(literal).select("item_id", "ipos", F.size(window).alias("length"), "hash").distinct()
-    return kept.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
+    """item_id, ipos, length, exact, hash, item_windows, template_windows; exact windows are met by their raw words."""
+    words = _both_words(benchmark.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "item_id"), "item_id", text_col)
+    last = F.greatest(F.size("words") - WINDOW, F.lit(0))
+    at = words.select("item_id", "words", "raws", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), last))).alias("ipos")).where("ipos is not null")
+    window, raw = (F.slice(c, F.col("ipos") + 1, WINDOW) for c in ("words", "raws"))
+    length = F.size(window)
+    literal = F.size(F.filter(window, _literal)) >= F.least(F.lit(LITERALS), length)
+    key = lambda exact, w: F.struct(F.lit(exact).alias("exact"), _hash(w, exact).alias("hash"))
+    keys = F.when(~literal, F.array(key(True, raw))).when(length < WINDOW, F.array(key(False, window), key(True, raw))).otherwise(F.array(key(False, window)))
+    kept = at.select("item_id", "ipos", length.alias("length"), F.explode(keys).alias("key")).select("item_id", "ipos", "length", "key.exact", "key.hash").distinct()
+    counts = kept.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))).alias("template_windows"))
+    return kept.join(counts, "item_id")
 
 
 def _slots(df: DataFrame, id_col: str, text_col: str, place: str, value: str) -> DataFrame:
     """Words of texts that a template changes or may change: id, place, kind, value."""
-    both = _templates(df, id_col, text_col).select(id_col, F.arrays_zip(_words(F.col("template")).alias("kind"), _words(F.col("raw")).alias("value")).alias("w"))
+    both = _both_words(df, id_col, text_col).select(id_col, F.arrays_zip(F.col("words").alias("kind"), F.col("raws").alias("value")).alias("w"))
     each = both.select(id_col, F.posexplode_outer("w").alias(place, "w"))
     return each.where(F.col("w.kind").rlike(f"[{NUMBER}{NAME}{UNIT}]")).select(id_col, place, F.col("w.kind").alias("kind"), F.col("w.value").alias(value))
 
@@ -100,7 +108,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 def _verbatim(hits: DataFrame, edited: DataFrame) -> DataFrame:
     """Hits in passages of RUN words or more whose raw words equal the item's; edited: places whose words differ."""
     touched = edited.select(*_LINE, F.explode(F.sequence(F.col("ipos") - (WINDOW - 1), F.col("ipos"))).alias("ipos")).distinct()
-    equal = hits.join(touched, [*_LINE, "ipos"], "left_anti")
+    equal = hits.join(touched, [*_LINE, "ipos"], "left_anti").dropDuplicates([*_LINE, "ipos"])
     # Windows that follow one another have one difference between place and rank.
     runs = equal.withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*_LINE).orderBy("ipos")))
     long = runs.groupBy(*_LINE, "run").agg(F.count("*").alias("n")).where(F.col("n") > RUN - WINDOW)
@@ -113,16 +121,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = save(benchmark_windows(items, "item_id", "text"), "windows")
     # An outer generator: of an inner one Spark infers a filter, which would compute all windows a second time.
-    lengths = sorted(r.length for r in wanted.select("length").distinct().collect())
-    places = F.concat(*(_places(F.col("words"), n) for n in lengths or [WINDOW]))
-    own = _template_words(texts, "id", "text").select("id", F.explode_outer(places).alias("at")).select("id", "at.dpos", "at.hash")
-    hits = own.join(_bounded(wanted), "hash").select("id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "item_windows").distinct()
+    kinds = sorted((r.length, r.exact) for r in wanted.select("length", "exact").distinct().collect()) or [(WINDOW, False)]
+    places = F.concat(*(_places(F.col("raws" if exact else "words"), n, exact) for n, exact in kinds))
+    own = _both_words(texts, "id", "text").select("id", F.explode_outer(places).alias("at")).select("id", "at.dpos", "at.exact", "at.hash")
+    shift = (F.col("dpos") - F.col("ipos")).alias("shift")
+    hits = own.join(_bounded(wanted), ["exact", "hash"]).select("id", "item_id", shift, "ipos", "exact", "item_windows", "template_windows").distinct()
     hits = save(hits, "hits")
 
     found = _bounded(save(hits.select("id").distinct(), "ids"))
     islots = _slots(items, "item_id", "text", "ipos", "ivalue")
     dslots = _slots(texts.join(found, "id", "left_semi"), "id", "text", "dpos", "dvalue")
-    covered = hits.select("id", "item_id", "shift", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (WINDOW - 1))).alias("ipos")).distinct()
+    covered = hits.where(~F.col("exact")).select("id", "item_id", "shift", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (WINDOW - 1))).alias("ipos")).distinct()
     pairs = covered.join(islots, ["item_id", "ipos"]).withColumn("dpos", F.col("ipos") + F.col("shift")).join(dslots, ["id", "dpos", "kind"])
     differs = lambda c: F.col(c) != F.col("ivalue")
     values = pairs.where(~_literal(F.col("kind"))).groupBy(*_LINE, "kind", "ivalue").agg(F.min("dvalue").alias("low"), F.max("dvalue").alias("high"))
@@ -132,9 +141,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     torn = judged.where("torn = 1")
     edited = pairs.where(differs("dvalue")).join(torn.select(*_LINE).distinct(), [*_LINE], "left_semi")
     sound = judged.where(F.coalesce("torn", F.lit(0)) == 0).unionByName(_verbatim(torn, edited))
-    total = sound.groupBy("id", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed_slots"))
-    enough = F.greatest(F.least(F.lit(LEAST), F.col("item_windows")), F.ceil(F.col("item_windows") * SHARE))
-    return total.where(F.col("n_windows") >= enough).withColumnRenamed("id", id_col)
+    template = F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))).alias("n_template")
+    total = sound.groupBy("id", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), template, F.max("item_windows").alias("item_windows"), F.max("template_windows").alias("template_windows"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed_slots"))
+    enough = lambda n, of: (F.col(n) > 0) & (F.col(n) >= F.greatest(F.least(F.lit(LEAST), F.col(of)), F.ceil(F.col(of) * SHARE)))
+    found = total.where(enough("n_windows", "item_windows") | enough("n_template", "template_windows"))
+    return found.select(F.col("id").alias(id_col), "item_id", "n_windows", "item_windows", "changed_slots")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

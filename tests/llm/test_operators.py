@@ -226,6 +226,15 @@ def test_decontamination_counts_verbatim_passages_beside_torn_slots(spark):
     assert got == {1: (n - 3, n, 1), 3: (n, n, 0)}
 
 
+def test_decontamination_finds_verbatim_items_of_few_literal_words(spark):
+    sums = "17 23 45 67 12 99 31 and 45 times 23 17 88 90 41 52 63"
+    items = [(1, sums), (2, "What is 17 times 23"), (3, "Question: Anna Berta Carla Dora Emil Fritz Gustav Hans Ida Jakob"), (4, "@ % 0")]
+    rows = [(1, f"So we read. {sums} and so on."), (2, "They asked: What is 17 times 23 in all, and left."), (3, items[2][1] + " came."), (4, sums.replace("17", "18").replace("45", "46")), (5, "They asked: What is 18 times 23 in all."), (6, "Question: Olga Paul Quirin Rosa Stefan Toni Ute Vera Willi Xaver came.")]
+    docs, bench = (spark.createDataFrame(r, f"{i} long, text string") for r, i in ((rows, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (10, 10), (2, 2): (1, 1), (3, 3): (4, 4)}
+
+
 def test_language_models(spark, docs, none):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = langid.learn(full)
