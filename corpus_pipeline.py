@@ -21,6 +21,20 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", F.struct("*").alias("_row"))
 
 
+def _vertices(docs: DataFrame) -> DataFrame:
+    """vertex, text, _row: one vertex for each id and text. The first text of an id has that id; others get numbers above usual ids."""
+    digest = F.xxhash64("text")
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"))
+    several = save(texts.where("first <> last").select(F.col("doc_id").alias("vertex"), "first"), "several")
+    rows = docs.select(F.col("doc_id").alias("vertex"), "text", F.struct("*").alias("_row"))
+    n = several.count()
+    if not n:
+        return rows.withColumn("vertex", F.col("vertex").cast("long"))
+    rows = rows.join(F.broadcast(several) if n <= decontaminate.BROADCAST_ROWS else several, "vertex", "left")
+    own, high = F.col("vertex").cast("long"), F.xxhash64("vertex", "text").bitwiseAND(2**61 - 1).bitwiseOR(2**62)
+    return rows.select(F.when(digest != F.col("first"), high).otherwise(own).alias("vertex"), "text", "_row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -36,18 +50,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest id; of rows with one id, the least."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # Rows and kept ids are dealt by id once, for the join and for the choice among rows with one id.
-    some = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    """One row of each group of near-duplicates, that with the smallest id; of rows with one id and text, the least."""
+    rows = _vertices(docs)
+    kept = neardup.near_duplicates(rows, "vertex").where("kept and vertex is not null").select("vertex").distinct()
+    # Rows and kept vertices are dealt once, for the join and for the choice among rows with one id and text.
+    some = rows.select("vertex", "_row").join(kept, "vertex", "left_semi").groupBy("vertex").agg(F.min("_row").alias("_row"))
     return some.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark passage."""
-    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = save(hits.select("doc_id").distinct(), "contaminated")
-    return docs.join(F.broadcast(ids) if ids.count() <= decontaminate.BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
+    rows = _vertices(docs)
+    hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "vertex")
+    ids = save(hits.select("vertex").distinct(), "contaminated")
+    return rows.join(F.broadcast(ids) if ids.count() <= decontaminate.BROADCAST_ROWS else ids, "vertex", "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,3 +282,17 @@ def test_pipeline_keeps_columns_and_unrelated_rows(spark):
     rows = c.STAGES[-1][1](spark, extra, SF)
     assert rows.select("doc_id").distinct().count() == extra.count()
     assert rows.select(F.crc32("tokens")).schema[0].dataType == T.LongType() and zlib.crc32(b"") == 0
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as c
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, other), (2, None), (3, leak), (3, "quite " + b[::-1]), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("x"))
+    once = c.save(c.near_duplicates(spark, docs, SF), "once")
+    key = lambda t: tuple(str(x) for x in t)
+    assert once.columns == docs.columns and sorted([(r.doc_id, r.text) for r in once.collect()], key=key) == sorted(set(rows), key=key)
+    left = c.decontamination(spark, once, SF)
+    assert left.columns == docs.columns and sorted([(r.doc_id, r.text) for r in left.collect()], key=key) == sorted(set(rows) - {(3, leak)}, key=key)
