@@ -25,8 +25,8 @@ _JOIN, _JOIN_ID, _CHUNK = "<|startoftext|>", 49406, 4000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _FINAL = np.isin(np.arange(256), list(b".,!?;:"))
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
-#: Text bytes encoded together; more text shares more words.
-ENCODE_BYTES = 32 << 20
+#: Text bytes encoded together, and words whose ids are remembered from one slice to the next.
+ENCODE_BYTES, REMEMBERED = 4 << 20, 60_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -95,7 +95,42 @@ def _with_marks(words: Words) -> Words:
     return Words(words.text, at, at)
 
 
-def encode(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
+class Memory:
+    """Ids of words met lately: the words of this generation, and those of the one before."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and each word's first place and number of ids in them."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        fresh = []
+        for w in dict.fromkeys(words):
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    fresh.append(w)
+        if fresh:
+            ids, begin, size = _encode_words(fresh, path)
+            raw = ids.tobytes()
+            for w, at, n in zip(fresh, (4 * begin).tolist(), (4 * size).tolist(), strict=True):
+                young[w] = raw[at : at + n]
+        found = [young[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size, size
+
+
+def _alike(word: str) -> str:
+    """A word without white space around it; ASCII letters lower-cased, as the tokenizer does after it has found its own signs."""
+    word = word.strip(" \t\n\v\f\r")
+    return word.lower() if word.isascii() and "<" not in word else word
+
+
+def encode(col: pa.Array, path: str, end_id: int, memory: Memory) -> Iterator[np.ndarray]:
     """Ids of each row's whole text with ``end_id`` after them; nulls are empty texts."""
     words = Text(col).words()
     if not len(words):
@@ -105,7 +140,7 @@ def encode(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     words = _with_marks(words)
     coded = words.strings().dictionary_encode()
     which = coded.indices.to_numpy()
-    ids, begin, size = _encode_words([w.strip(" \t\n\v\f\r") for w in coded.dictionary.to_pylist()], path)
+    ids, begin, size = memory.ids([_alike(w) for w in coded.dictionary.to_pylist()], path)
     each = size[which]
     # The ids of all words in order: word k takes ids[begin[which[k]]:][:each[k]].
     ends = np.cumsum(each)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .encode import ENCODE_BYTES, encode, vocabulary
+from .encode import ENCODE_BYTES, Memory, encode, vocabulary
 
 WINDOW, END_ID = 4096, 2
 #: Tokens packed together at most (plus one document).
@@ -101,6 +101,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         held_ids: list = []
         held: list[np.ndarray] = []
         total = 0
+        memory = Memory()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, held_ids, held, total
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         types = [None, *[pa.int64()] * 5, pa.binary()]
         for batch in slices(batches, "text", ENCODE_BYTES):
             types[0] = batch.schema.field("id").type
-            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), path, end_id), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), path, end_id, memory), strict=True):
                 held_ids.append(key)
                 held.append(ids)
                 total += len(ids)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .encode import ENCODE_BYTES, encode, vocabulary
+from .encode import ENCODE_BYTES, Memory, encode, vocabulary
 from .shared import save, shared_dir
 
 MAGIC = b"PWSST001"
@@ -186,8 +186,9 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            memory = Memory()
             for batch in slices(batches, "text", ENCODE_BYTES):
-                yield from zip(batch.column(0).to_pylist(), encode(batch.column(1), vocab, end_id), strict=True)
+                yield from zip(batch.column(0).to_pylist(), encode(batch.column(1), vocab, end_id, memory), strict=True)
 
         for section in shard_sections(rows(), width):
             yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["section"])

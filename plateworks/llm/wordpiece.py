@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(shared.value)
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             words = Text(batch.column(1)).words()
             n = np.diff(words.first)
             tokens = unknown = np.zeros(len(n), np.int64)
