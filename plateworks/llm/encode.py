@@ -49,6 +49,10 @@ def _load(path: str):
     return _LOADED[path]
 
 
+def vocabulary_size(path: str) -> int:
+    return _load(path)[0].get_vocab_size()
+
+
 def _joined(t, words: list[str], sign: str) -> Iterator[np.ndarray]:
     for k in range(0, len(words), _CHUNK):
         (e,) = t.encode_batch_fast([sign.join(words[k : k + _CHUNK])], add_special_tokens=False)

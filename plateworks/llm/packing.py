@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 from .encode import ENCODE_BYTES, Memory, encode, vocabulary
+from .shared import bounded
 
 WINDOW, END_ID = 4096, 2
 #: Tokens packed together at most (plus one document).
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     yield from flush()
         yield from flush() if held else ()
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, start long, length long, doc_tokens long, sequence_id long, `offset` long, tokens binary"
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -11,11 +11,13 @@ A shard holds documents in ascending key order:
 Every section ends in its crc32 and a newline. Keys are ids as big-endian
 unsigned integers with the sign bit flipped, so byte order is number order;
 null ids have the empty key and come first. Values are ids, two bytes each
-where the vocabulary allows, else four.
+where the vocabulary allows, else four. A manifest names each shard's first and
+last key and what it holds, so that a search opens only shards that may hold an
+asked-for id.
 
 Null texts are empty documents (their end id alone). Repeated ids keep all
-their rows, ordered by text. Empty tables give an empty result. Other columns
-are not read.
+their rows, ordered by a hash of their texts, and may lie in several shards.
+Empty tables give an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .encode import ENCODE_BYTES, Memory, encode, vocabulary
-from .shared import save, shared_dir
+from .encode import ENCODE_BYTES, Memory, encode, vocabulary, vocabulary_size
+from .shared import bounded, few, shared_dir
 
 MAGIC = b"PWSST001"
 END_ID, SECTION_BYTES, SHARD_TEXT_BYTES = 1, 64 << 10, 32 << 20
-#: Shards whose first places may be broadcast (12 bytes each).
-BROADCAST_SHARDS = 500_000
 _FOOTER = struct.Struct("<QQQQQQHHxxxx8s")
 _BLOOM_BITS, _BLOOM_PROBES = 10, 7
 
@@ -82,7 +82,7 @@ def _entries(section: bytes) -> Iterator[tuple[bytes, bytes]]:
         shared, at = _read_varint(section, at)
         own, at = _read_varint(section, at)
         n, at = _read_varint(section, at)
-        key = key[:shared] + section[at : at + own]
+        key = key[:shared] + bytes(section[at : at + own])
         yield key, section[at + own : at + own + n]
         at += own + n
 
@@ -112,6 +112,8 @@ def shard_sections(rows: Iterator[tuple[int | None, np.ndarray]], width: int) ->
         if len(buf) >= SECTION_BYTES:
             yield data_section()
             buf, last = bytearray(), b""
+        if len(ids) and int(ids.max()) >> 8 * width:
+            raise ValueError(f"id {ids.max()} needs more than {width} bytes")
         buf += _entry(last, key, ids.astype(f"<u{width}").tobytes())
         keys.append(key)
         last, n_ids = key, n_ids + len(ids)
@@ -133,7 +135,7 @@ def shard_sections(rows: Iterator[tuple[int | None, np.ndarray]], width: int) ->
 class Shard:
     """Reader of one shard's bytes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         if data[-1:] != b"\n" or data[-9:-1] != MAGIC:
             raise ValueError("not a shard, or cut short")
         self.data = data
@@ -175,13 +177,16 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, width: int = 2) -> None:
-    """Encode all documents and write shards, part files in ascending id order.
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None) -> None:
+    """Encode all documents and write shards, part files in ascending id order, and their manifest.
 
-    One shuffle, of texts by id range; the number of ranges follows the text bytes.
+    One shuffle, of texts by id range; the number of ranges follows the text
+    bytes. ``width`` is the bytes of an id, by default as many as the vocabulary
+    needs; one that an id doesn't fit is an error.
     """
     vocab = tokenizer or vocabulary()
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    width = width or (2 if max(vocabulary_size(vocab) - 1, end_id) < 1 << 16 else 4)
+    slim = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,22 +198,40 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for section in shard_sections(rows(), width):
             yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["section"])
 
-    parts = slim.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # The texts' hashes part rows of one id, so that a repeated or null id fills more than one shard.
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    parts = slim.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), *order).sortWithinPartitions(*order)
     parts.mapInArrow(run, "section binary").select(F.col("section").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    f = spark.read.format("binaryFile").load(path).where("length > 0")
-    return f.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    _manifest(docs.sparkSession, path).write.parquet(f"{path}/_manifest")
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    f = spark.read.format("binaryFile").load(paths).where("length > 0")
+    return f.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content", "path")
 
 
 def _scan(files: DataFrame, schema: str, rows_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from rows_of(batch.column(0)[i].as_py(), Shard(batch.column(1)[i].as_py()))
+                yield from rows_of(batch.column(0)[i].as_py(), Shard(memoryview(batch.column(1)[i].as_buffer()).cast("B")))
+
+    return files.select("shard", "content").mapInArrow(run, schema)
 
-    return files.mapInArrow(run, schema)
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """shard, path, low and high (hexadecimal keys), n_docs, n_ids of each shard, from its index and footer."""
+
+    def held(shard: int, s: Shard) -> Iterator[pa.RecordBatch]:
+        index = s.index()
+        low = next(_entries(s._section(*index[0][1:])))[0]
+        row = [shard, low.hex(), index[-1][0].hex(), s.n_docs, s.n_ids]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "low", "high", "n_docs", "n_ids"])
+
+    files = _files(spark, path)
+    return _scan(files, "shard int, low string, high string, n_docs long, n_ids long", held).join(files.select("shard", "path"), "shard")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -228,25 +251,26 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         if at != s.n_ids:
             raise ValueError(f"shard {shard} holds {at} ids; its footer says {s.n_ids}")
 
-    def totals(shard: int, s: Shard) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([s.n_ids], pa.int64())], names=["shard", "n"])
-
-    files = _files(spark, path)
-    rows = _scan(files, "shard int, doc_id long, local long, n_tokens long, tokens binary", documents)
+    rows = _scan(_files(spark, path), "shard int, doc_id long, local long, n_tokens long, tokens binary", documents)
     # One row a shard, so this unpartitioned window is short at any size.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = save(_scan(files, "shard int, n long", totals).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards")
-    return rows.join(F.broadcast(base) if base.count() <= BROADCAST_SHARDS else base, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "tokens")
+    base = spark.read.parquet(f"{path}/_manifest").select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return rows.join(few(base), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "tokens")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and tokens of the asked-for documents, by Bloom filter and binary search in each shard."""
+    """doc_id and tokens of the asked-for documents: shards by the manifest, then Bloom filter and binary search in each."""
 
     def hits(_: int, s: Shard) -> Iterator[pa.RecordBatch]:
         found = [(i, t.tobytes()) for i in doc_ids for t in s.find(i)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], names=["doc_id", "tokens"])
 
-    return _scan(_files(spark, path), "doc_id long, tokens binary", hits)
+    schema = "doc_id long, tokens binary"
+    asked = spark.createDataFrame([(key_of(i).hex(),) for i in set(doc_ids)], "key string")
+    near = spark.read.parquet(f"{path}/_manifest").join(F.broadcast(asked), F.col("key").between(F.col("low"), F.col("high")))
+    # As many paths at most as shards that may hold one of the ids.
+    paths = [r.path for r in near.select("path").distinct().collect()]
+    return _scan(_files(spark, paths), schema, hits) if paths else spark.createDataFrame([], schema)
 
 
 def op10_token_output(spark, sf_dir: str) -> DataFrame:

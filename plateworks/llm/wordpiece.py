@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import Text, slices
+from .shared import bounded
 
 MARK = "▁"
 #: Longer words are matched one at a time.
@@ -150,7 +151,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
                 tokens, unknown = (np.diff(np.concatenate(([0], np.cumsum(x)))[words.first]) for x in (np.where(count < 0, 1, count), count < 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, tokens, unknown))], names=["id", "n_words", "n_tokens", "n_unknown"])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
 
 
