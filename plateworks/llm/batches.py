@@ -13,16 +13,15 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_BASE = int(_RNG.integers(2**40, 2**62)) | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 SPACE, WORD, MARK = 0, 1, 2
 _BLANK = np.full(256, WORD, np.uint8)
 _BLANK[[9, 10, 11, 12, 13, 32]] = SPACE
 _KIND = _BLANK.copy()
 _KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = MARK
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: What each byte adds to a word's hash: A-Z as a-z, white space nothing.
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_BLANK == SPACE] = 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Factors of the places in a word; those of later places are computed when they occur.
+_PLACES = mix(np.arange(1, (1 << 12) + 1, dtype=np.uint64))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -107,13 +100,26 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words, A-Z lower-cased."""
-        n = len(self.text.data)
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[self.text.data]] * power[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+    def hashes(self, head: int = 0) -> np.ndarray:
+        """64-bit hashes of the words, or of their first ``head`` bytes; A-Z lower-cased.
+
+        Each byte's value is multiplied by a factor of its place in the word; the
+        factors follow no rule that words could follow too.
+        """
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        at = self.start[0]
+        place = np.arange(len(self.text.data) - at, dtype=np.int32 if len(self.text.data) < 1 << 31 else np.int64)
+        place -= np.repeat(self.start - at, np.diff(np.append(self.start, len(self.text.data)))).astype(place.dtype)
+        if int((self.end - self.start).max()) <= len(_PLACES):
+            np.minimum(place, len(_PLACES) - 1, out=place)  # only white space lies further on
+            product = _PLACES[place]
+        else:
+            product = mix(place.astype(np.uint64) + _U(1))
+        product *= _BYTE[self.text.data[at:]]
+        if head:
+            product[place >= head] = 0
+        return mix(np.add.reduceat(product, self.start - at))
 
     def rows(self) -> np.ndarray:
         """Row number of each word."""

@@ -30,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import offsets, slices
 from .components import components
-from .shared import drop, save
+from .shared import bounded, drop, few, save, with_class
 from .sketch import band_keys, digest, linked, prune_table, shingle_sets, signatures, survivors
 
 #: Percent of the union that the intersection must reach, the chance to miss a pair at a stage, and hashes a stage.
 PERCENT, MISS, STEP = 75, 1e-6, 16
-#: Members of buckets whose pairs are listed, and members of a block of larger ones.
-SMALL, BLOCK = 64, 512
-#: Ids that may be broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Members of buckets whose pairs are listed, members of a block of larger ones, and text bytes of a block (plus a text).
+SMALL, BLOCK, BLOCK_BYTES = 64, 512, 4 << 20
+#: Pairs of one member that go to one task.
+HOT = 2000
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, digest, sig (16-bit hashes), bands of each row; the last three null without shingles."""
+    """id, size (text bytes), n_shingles, digest, sig (16-bit hashes), bands of each row; the last three null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -56,20 +56,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for k, (i, bands) in enumerate(zip(some, band_keys(sig).tolist(), strict=True)):
                     out[0][i], out[1][i], out[2][i] = digest(sets[i]), sig[k].astype("<u2").tobytes(), bands
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "sig", "bands"])
+            size = pa.array(np.diff(offsets(batch.column(1))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], names=["id", "size", "n_shingles", "digest", "sig", "bands"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return slim.mapInArrow(run, "id long, size long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Distinct (id, text) of the ids; they are broadcast only if few."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").distinct()
+    """Distinct (id, text) of the ids."""
+    return docs.join(few(ids), "id", "left_semi").distinct()
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among pairs (a, b): the Bayesian test on signatures, then the full sets."""
+    """Links among pairs (a, b): the Bayesian test on signatures, then the full sets.
+
+    Pairs of one a with many b, as a large bucket's smallest member has, are
+    dealt over tasks by b, and a's text goes to each.
+    """
     table = prune_table(PERCENT / 100, MISS, STEP)
 
     def bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +84,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), "tb", 4 << 20):
+            for batch in slices(iter([whole]), "tb"):
                 ta, tb = batch.column(2).dictionary_encode(), batch.column(3)
                 a, b = shingle_sets(ta.dictionary), shingle_sets(tb)
                 keep = [linked(a[k], y, PERCENT) for k, y in zip(ta.indices.to_pylist(), b, strict=True)]
@@ -91,7 +95,13 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     left = save(both.select("a", "b", "sa", "sb").mapInArrow(bayes, "a long, b long").distinct(), "candidates")
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     texts = save(_texts_of(docs, ids), "texts")
-    full = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    hubs = left.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    hubs = few(save(hubs, "hubs"))
+    shares = F.coalesce("parts", F.lit(1))
+    dealt = left.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("share"))
+    own = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(hubs, "a", "left")
+    own = own.select("a", "ta", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    full = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(own, ["a", "share"])
     links = save(full.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
     drop(left)
     drop(texts)
@@ -102,11 +112,13 @@ def _block_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of different components in large buckets.
 
     ``rows``: key, id, component, n (members of the bucket), main (its largest
-    component), others (members outside it). Members are dealt over blocks by
+    component), others (members outside it), bytes and other_bytes (of the texts
+    of all members and of those outside it). Members are dealt over blocks by
     hash, those outside the largest component first, and each pair of blocks is
     one unit of work, except pairs of two blocks of the largest component.
     """
-    outer, inner = (F.ceil(x / BLOCK).cast("int") for x in (F.col("others"), F.col("n") - F.col("others")))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    outer, inner = blocks(F.col("others"), F.col("other_bytes")), blocks(F.col("n") - F.col("others"), F.col("bytes") - F.col("other_bytes"))
     is_main, at = F.col("component") == F.col("main"), F.xxhash64("id")
     own = F.when(is_main, outer + F.pmod(at, inner)).otherwise(F.pmod(at, outer)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(is_main, outer - 1).otherwise(outer + inner - 1)))
@@ -163,33 +175,39 @@ def _block_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of docs."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = save(sketches(slim, "id", "text"), "sketch")
-    classes = sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    firsts = sketch.where("digest is not null").join(classes, "digest").where("id = rep")
-    reps = save(firsts.select("id", "sig", "bands").dropDuplicates(["id", "sig"]), "classes")
-
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    some = sketch.where("digest is not null and id is not null")
+    copies = save(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    # Rows of no class of copies stand for themselves: their signatures stay where they are.
+    marked = with_class(some, copies, "digest")
+    firsts = marked.where("id = rep").dropDuplicates(["id", "digest"])
+    reps = save(marked.where("rep is null").unionByName(firsts).select("id", "size", "sig", "bands"), "classes")
+
+    banded = reps.select("id", "size", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     members = save(banded.join(buckets, "key"), "members")
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     texts = slim.where("id is not null")
     links = _confirm(texts, reps, star)
     joined = components(links)
 
-    placed = members.join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("component"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-    open_keys = shares.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    placed = members.join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "size", "n", "bytes", F.coalesce("v", "id").alias("component"))
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
+    most = F.struct("k", "component")
+    open_keys = shares.groupBy("key").agg(F.max_by("component", most).alias("main"), (F.sum("k") - F.max("k")).alias("others"), (F.sum("size") - F.max_by("size", most)).alias("other_bytes")).where("others > 0")
     rest = save(placed.join(open_keys, "key"), "members")
-    few, many = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
-    left, right = (few.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
+    small, many = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
+    left, right = (small.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
     pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     more = _confirm(texts, reps, pairs).unionByName(_block_links(texts, many))
-    final = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+    final = save(components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more)), "components")
 
-    placed = classes.join(final.select(F.col("u").alias("rep"), "v"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component"))
-    out = sketch.select("id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    of = final.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    classes = copies.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "n")
+    out = with_class(sketch.select("id", "n_shingles", "digest"), save(classes, "classes"), "digest")
+    out = out.join(few(of.withColumnsRenamed({"rep": "id", "component": "linked"})), "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("digest").isNotNull(), F.col("linked")), "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
     for t in (reps, members, rest):
         drop(t)
