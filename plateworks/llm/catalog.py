@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontaminate, langid, neardup, packing, quality, sstable, topk, toxicity, warc, wordpiece
+from . import decontaminate, langid, neardup, packing, pipeline, quality, sstable, topk, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,9 +15,9 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_output": sstable.op10_token_output,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 SQL = {"op1_topk": topk.OP1_SQL, "op6_warc": warc.OP6_SQL, "op8_near_duplicates": neardup.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    SQL["pipeline"] = pipeline.ORACLE_SQL
