@@ -8,6 +8,10 @@ language with the lowest cross-entropy a character wins. A text is rejected if
 it has no letter, or if its cross-entropy exceeds a limit that is set, for each
 language, from documents that the models were not fitted on.
 
+Any number of languages may be learned; their models are a table in the shared
+folder. Those that fit ``PASS_BYTES`` are held together by a task, and texts are
+scored in as many passes as that takes, one for some dozen languages.
+
 Null texts and texts without letters are ``und`` with score 0 and rejected.
 Repeated rows get one row each; an empty table gives none; with nothing to learn
 from, every text is ``und``. Columns other than id, text and lang are not read,
@@ -26,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import mix, slices
-from .shared import fold
+from .shared import bounded, fold, few, save
 
 _U = np.uint64
 ORDER = 4
 PARTS, HELD, CALIBRATION = 5, 0, 1
 #: Documents a language that counts are taken from, and that limits are set by.
-FIT_DOCS, CALIBRATION_DOCS, MAX_LANGUAGES = 1500, 300, 200
+FIT_DOCS, CALIBRATION_DOCS = 1500, 300
+#: Bytes of models that one pass holds, unless a single model is larger.
+PASS_BYTES = 96 << 20
 UNKNOWN = "und"
 _BLANK = 32
 _LETTER = np.frombuffer(bytes(chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool)
@@ -152,34 +158,47 @@ def entropies(col: pa.Array, models: list[Model]) -> tuple[np.ndarray, np.ndarra
     return out, size, count
 
 
-def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """At most n documents of each language, those with the smallest hashes.
+def _sample(known: DataFrame, n: int) -> DataFrame:
+    """At most n different (id, text) of each language, those with the smallest hashes: id, text, lang, rank.
 
     The window meets only rows whose hash lies below a language's bound, which
-    its count sets so that about n + 8 * sqrt(n) + 64 do: fewer than n would be
-    eight standard deviations off, and no task's share grows with the input.
+    its count of different rows sets so that about n + 8 * sqrt(n) + 64 do: fewer
+    than n would be eight standard deviations off, and no task's share grows
+    with the input, be it of one language or of repeated rows.
     """
-    counts = docs.groupBy("lang").agg(F.count("*").alias("total"))
-    totals = counts.limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # At most MAX_LANGUAGES rows.
-    known = F.broadcast(docs.sparkSession.createDataFrame(totals, counts.schema))
-    ranked = docs.withColumn("rank", F.xxhash64("id")).join(known, "lang")
-    near = ranked.where((F.col("rank") / 2.0**64 + 0.5) * F.col("total") <= n + 8 * n**0.5 + 64)
-    w = Window.partitionBy("lang").orderBy("rank", "id")
-    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("total")
+    ranked = known.withColumn("rank", F.xxhash64("id", "text"))
+    totals = ranked.groupBy("lang").agg(F.approx_count_distinct("rank", 0.02).alias("total"))
+    near = ranked.join(few(save(totals, "totals")), "lang").where((F.col("rank") / 2.0**64 + 0.5) * F.col("total") <= 1.15 * (n + 8 * n**0.5 + 64))
+    w = Window.partitionBy("lang").orderBy("rank")
+    return near.dropDuplicates(["lang", "rank"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("id", "text", "lang", "rank")
+
+
+_TABLE = "lang string, symbols long, size long, " + ", ".join(f"{t}{o}_{x} binary" for o in range(ORDER) for t in "gc" for x in ("hash", "value"))
+
+
+def _packed(m: Model) -> pa.Table:
+    flat = [a.tobytes() for o in range(ORDER) for t in (m.grams, m.contexts) for a in t[o]]
+    names = [c.split()[0] for c in _TABLE.split(", ")]
+    return pa.table([[m.lang], pa.array([m.symbols], pa.int64()), pa.array([sum(map(len, flat))], pa.int64()), *(pa.array([x], pa.binary()) for x in flat)], names=names)
+
 
+def load(models: DataFrame) -> list[Model]:
+    """The models of a table, in order of their languages."""
+    out = []
+    for r in sorted(models.toArrow().to_pylist(), key=lambda r: r["lang"]):
+        tables = [[(np.frombuffer(r[f"{t}{o}_hash"], np.uint64), np.frombuffer(r[f"{t}{o}_value"])) for o in range(ORDER)] for t in "gc"]
+        out.append(Model(r["lang"], *tables, r["symbols"], r.get("mean") or 0.0, r.get("spread") or 1.0))
+    return out
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> list[Model]:
-    """Models of the languages of the learning folds, from a bounded sample of whole texts.
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> DataFrame:
+    """One row for each language of the learning folds: its model, from a bounded sample of whole texts.
 
     ``fit_docs`` and ``calibration_docs`` bound the documents a language, and so
-    the n-grams that reach the driver; counting runs on the executors.
+    what the task that fits it holds.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and text is not null")
+    known = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
     part = fold("id", PARTS)
-    ids = _sample(known.where((part != HELD) & (part != CALIBRATION)).select("id", "lang"), fit_docs).select("id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -194,39 +213,33 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 grams = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    # At most fit_docs * MAX_LANGUAGES ids, each with its language.
-    texts = known.drop("lang").join(F.broadcast(ids), "id").select("text", "lang")
-    rows = texts.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(rows.column(0).unique().to_pylist()))
-    symbols = len(set("".join(rows.column(1).to_pylist()))) + 1
-    lang_of = np.array(rows.column(0).to_pylist())
-    models = []
-    for lang in langs:
-        of = rows.filter(pa.array(lang_of == lang)).sort_by("gram")
-        models.append(fit(lang, of.column(1).to_pylist(), of.column(2).to_numpy(), symbols))
-    if not models:
-        return models
-    held = _sample(known.where(part == CALIBRATION).select("id", "lang"), calibration_docs).select("id", "lang")
-    own = known.drop("lang").join(F.broadcast(held), "id").select("id", "text", "lang")
-    seen = score(own, models, "id", "text", keep=("lang",)).where("lang = best and n > 0").select("best", "entropy", "n").toArrow().to_pydict()
-    best, entropy, n = (np.array(seen[c]) for c in ("best", "entropy", "n"))
-    for m in models:
-        if len(e := entropy[best == m.lang]) >= 2:
-            m.mean = float(np.median(e))
-            m.spread = float(np.sqrt(np.mean((e - m.mean) ** 2 * np.minimum(n[best == m.lang], 400))))
-        else:
-            m.mean, m.spread = float(np.log(m.symbols)), 1.0
-    return models
-
-
-def score(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), limit: float = 12.0) -> DataFrame:
-    """id, the columns in ``keep``, best, score, entropy, n (predicted characters), accepted.
+    sample = _sample(known.where((part != HELD) & (part != CALIBRATION)), fit_docs).select("text", "lang")
+    grams = save(sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    symbols = grams.select(F.right("gram", F.lit(1))).distinct().count() + 1
 
-    Entropy counts as too high when it exceeds the language's mean by ``limit``
-    of its spreads over the square root of n; short texts thus get more room.
-    """
+    def fitted(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("gram")
+        return _packed(fit(key[0].as_py(), t.column("gram").to_pylist(), t.column("n").to_numpy(), symbols))
+
+    raw = save(grams.groupBy("lang").applyInArrow(fitted, _TABLE), "models")
+
+    def limits(key: tuple, t: pa.Table) -> pa.Table:
+        e, n = (t.column(c).to_numpy() for c in ("entropy", "n"))
+        mean = float(np.median(e))
+        return pa.table({"lang": [key[0].as_py()], "mean": [mean], "spread": [float(np.sqrt(np.mean((e - mean) ** 2 * np.minimum(n, 400))))], "seen": pa.array([len(e)], pa.int64())})
+
+    own = _sample(known.where(part == CALIBRATION), calibration_docs)
+    seen = score(own, raw, "id", "text", keep=("lang",)).where("lang = best and n > 0").select("lang", "entropy", "n")
+    found = seen.groupBy("lang").applyInArrow(limits, "lang string, mean double, spread double, seen long").where("seen >= 2").drop("seen")
+    full = raw.join(found, "lang", "left")
+    return save(full.withColumns({"mean": F.coalesce("mean", F.log(F.col("symbols").cast("double"))), "spread": F.coalesce("spread", F.lit(1.0))}), "models")
+
+
+def _scored(docs: DataFrame, models: list[Model], keep: tuple[str, ...], limit: float, last: bool) -> DataFrame:
+    """One pass: (id, text, keep, what earlier passes found) to the same with these models seen, without the text after the last."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    first = "_best" not in docs.columns
+    kept = ["_id", *([] if last else ["_text"]), *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -235,20 +248,42 @@ def score(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col
         for batch in slices(batches, "_text"):
             e, n, count = entropies(batch.column(1), models)
             some = (count > 0) & bool(models)
-            if models:
-                best = e.argmin(axis=1)
-                low = e[np.arange(len(e)), best]
-                p = 1 / np.exp(-(e - low[:, None]) * np.minimum(n, 64)[:, None]).sum(axis=1)
-            else:
-                best, low, p = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
-            fits = low - mean[best] <= limit * spread[best] / np.sqrt(np.clip(n, 1, 400))
-            best = np.where(some, best, len(models))
-            cols = [batch.column(0), *(batch.column(k) for k in range(2, batch.num_columns)), pa.array(names[best], pa.string()), pa.array(np.where(some, p, 0.0)), pa.array(np.where(some, low, 0.0)), pa.array(n, pa.int64()), pa.array(some & fits)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *keep, "best", "score", "entropy", "n", "accepted"])
+            warm = np.minimum(n, 64)
+            best = e.argmin(axis=1) if models else np.zeros(len(n), int)
+            low = e[np.arange(len(e)), best] if models else np.zeros(len(n))
+            total = np.exp(-(e - low[:, None]) * warm[:, None]).sum(axis=1)
+            fits = some & (low - mean[best] <= limit * spread[best] / np.sqrt(np.clip(n, 1, 400)))
+            lang = names[np.where(some, best, len(models))]
+            if not first:
+                lang0, low0, total0, fits0 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_best", "_low", "_total", "_fits"))
+                new, least = low < low0, np.minimum(low, low0)
+                total = total * np.exp(-(low - least) * warm) + total0 * np.exp(-(low0 - least) * warm)
+                lang, fits, low = np.where(new, lang, lang0), np.where(new, fits, fits0), least
+            cols = [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(lang, pa.string()), pa.array(np.where(some, low, 0.0)), pa.array(np.where(some, total, np.inf)), pa.array(fits.astype(bool)), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "_best", "_low", "_total", "_fits", "_n"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "best string, score double, entropy double, n long, accepted boolean"])
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_best string, _low double, _total double, _fits boolean, _n long"]))
+
+
+def score(docs: DataFrame, models: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), limit: float = 12.0) -> DataFrame:
+    """id, the columns in ``keep``, best, score, entropy, n (predicted characters), accepted.
+
+    Entropy counts as too high when it exceeds the language's mean by ``limit``
+    of its spreads over the square root of n; short texts thus get more room.
+    """
+    state = bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    passes = 0
+    if models is not None:
+        # One row a language, so this unpartitioned window is short.
+        upto = F.sum("size").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1))
+        dealt = models.withColumn("_pass", F.floor(F.coalesce(upto, F.lit(0)) / PASS_BYTES))
+        numbers = [r[0] for r in dealt.select("_pass").distinct().orderBy("_pass").collect()]
+        for passes, k in enumerate(numbers, 1):
+            state = _scored(state, load(dealt.where(F.col("_pass") == k)), keep, limit, passes == len(numbers))
+    if not passes:
+        state = _scored(state, [], keep, limit, True)
+    return state.select(F.col("_id").alias(id_col), *keep, F.col("_best").alias("best"), (1 / F.col("_total")).alias("score"), F.col("_low").alias("entropy"), F.col("_n").alias("n"), F.col("_fits").alias("accepted"))
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
