@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import Text, kinds_words, mix, ngrams, slices
-from .shared import fold
+from .shared import bounded, fold
 
 _U = np.uint64
 
@@ -28,15 +28,19 @@ _U = np.uint64
 class Options:
     """``shapes``: an n-gram's steps from word to word; () is a single word, (1,) a pair, (2,) a pair with one word between.
 
-    Values of n-grams of several words are ``pair`` times those of words.
-    ``sample`` bounds the labelled rows that training reads. Features of fewer
-    than ``min_rows`` of them do not learn.
+    With ``head``, the first so many bytes of longer words are features too, so
+    that forms of one word share what they teach. Values of n-grams of several
+    words are ``pair`` times those of words. ``sample`` bounds the labelled rows
+    that training reads and ``held`` the features (8 bytes each) that it holds
+    of them. Features of fewer than ``min_rows`` rows do not learn.
     """
 
     shapes: tuple[tuple[int, ...], ...]
+    head: int = 0
     bits: int = 20
     pair: float = 1.0
     sample: int = 20_000
+    held: int = 12_000_000
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -50,6 +54,10 @@ def features(col: pa.Array, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndar
     words = kinds_words(Text(col))
     h, rows = words.hashes(), words.rows()
     found = []
+    if o.head:
+        # Words no longer than a head count as words alone.
+        long = np.flatnonzero(words.end - words.start > o.head)
+        found.append((rows[long], (mix(words.hashes(o.head)[long] + _U(len(o.shapes) + 1)) >> _U(64 - o.bits)) << _U(1)))
     for salt, shape in enumerate(o.shapes, 1):
         g, r = ngrams(h, rows, shape, salt) if shape else (h, rows)
         found.append((r, (mix(g + _U(salt)) >> _U(64 - o.bits)) << _U(1) | _U(bool(shape))))
@@ -90,14 +98,15 @@ class Leader:
 def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Non-zero weights (feature, weight) learned from at most ``o.sample`` labelled rows.
 
-    The rows are those whose ids have the smallest hashes, so the sample is the
-    same at each run; their number bounds the broadcast and the training task.
+    The rows are those whose ids have the smallest hashes, in that order as many
+    as ``o.held`` features allow, so the sample is the same at each run; both
+    numbers bound what the training task reads and holds.
     Null ids and labels are left out; the largest label counts if an id has
     several. Without labelled rows there are no weights.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(o.sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("rank"), "y", "text")
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("rank"), "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -112,13 +121,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: st
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: list[tuple[int, int, int, int]] = []
         rows = np.zeros(1 << o.bits, np.int32)
+        room = o.held
         for batch in batches:
-            if not batch.num_rows:
-                continue
             at, x = (Text(batch.column(c)) for c in (2, 3))
-            spans = (at.bounds // 4).tolist()
-            seen += [(len(held), a, b, y) for a, b, y in zip(spans[:-1], spans[1:], batch.column(1).to_pylist(), strict=True)]
-            held.append((at.data.view("<i4").copy(), x.data.view("<f4").copy()))
+            spans = at.bounds // 4
+            # Rows that no longer fit are read past, not held.
+            fit = int(np.searchsorted(spans, room, "right")) - 1 if room >= 0 else 0
+            if not fit:
+                room = -1
+                continue
+            room = room - int(spans[fit]) if fit == batch.num_rows else -1
+            cuts = spans[: fit + 1].tolist()
+            seen += [(len(held), a, b, y) for a, b, y in zip(cuts[:-1], cuts[1:], batch.column(1).to_pylist()[:fit], strict=True)]
+            held.append((at.data.view("<i4")[: cuts[-1]].copy(), x.data.view("<f4")[: cuts[-1]].copy()))
             rows += np.bincount(held[-1][0], minlength=len(rows)).astype(np.int32)
         often = rows >= o.min_rows
         leader = Leader(o)
@@ -140,16 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: st
 def score(docs: DataFrame, weights: DataFrame, o: Options, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns in ``keep``, and score (0 to 1) of every whole text; null and empty texts get the bias alone.
 
-    The weights fit in ``2 ** bits`` numbers and are broadcast as such.
+    The non-zero weights, at most ``2 ** bits``, are broadcast in order of
+    their features; each task spreads them out once.
     """
-    learned = weights.toArrow()
-    dense = np.zeros((1 << o.bits) + 1, np.float32)
-    dense[learned.column(0).to_numpy()] = learned.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(dense)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    learned = weights.toArrow().sort_by("feature")
+    shared = docs.sparkSession.sparkContext.broadcast((learned.column(0).to_numpy(), learned.column(1).to_numpy().astype(np.float32)))
+    slim = bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = np.zeros((1 << o.bits) + 1, np.float32)
+        w[shared.value[0]] = shared.value[1]
         for batch in slices(batches, "_text"):
             at, x, bounds = features(batch.column(1), o)
             sums = np.concatenate(([0.0], np.cumsum(w[at] * x)))[bounds]
