@@ -9,8 +9,9 @@ lengths add up to the total that the last one states, then decodes the chunks.
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the one with
 the smallest id is written as a response and the others as revisits of it. Null
 payloads are empty; a null id is kept and never comes first; rows with the same
-id and payload share a record id and are read back as often as they were
-written. Empty tables give empty archives. Other columns are not read.
+id and payload are written one by one, each under a record id that also names
+its task and place. Empty tables give empty archives. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import bounded, save, shared_dir, with_class
 
-MIN_REVISIT, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 100, 64 << 10, 8 << 10, 20_000
+MIN_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 64 << 10, 8 << 10
+#: Records are written in runs of so many bytes (plus a record), and so many runs to a file.
+RUN_BYTES, FILE_RUNS = 1 << 20, 64
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+_END = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,8 +62,9 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def page_records(page_id: int | None, url: str | None, digest: str, refers_to: int | None, payload: bytes) -> Iterator[bytes]:
-    record = f"<urn:x-page:{page_id if page_id is not None else ''}:{digest[:32]}>"
+def page_records(page_id: int | None, url: str | None, digest: str, refers_to: int | None, payload: bytes, copy: str = "") -> Iterator[bytes]:
+    """Records of one page; ``copy`` tells rows of one id and payload apart."""
+    record = f"<urn:x-page:{page_id if page_id is not None else ''}:{digest[:32]}{copy and ':' + copy}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "urn:x-page:unnamed"
     kind = "response" if refers_to is None else "revisit"
     common = [("WARC-Type", kind), ("WARC-Record-ID", record), ("WARC-Target-URI", uri), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
@@ -99,36 +105,41 @@ def read_records(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write pages as gzip-compressed WARC files.
 
-    One shuffle carries the payloads, by digest, to learn which come first;
-    Spark splits the partitions of frequent digests.
+    Only digests and ids are shuffled, to learn which come first; payloads stay
+    in their tasks unless more digests repeat than can be broadcast.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    firsts = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    marked = rows.join(firsts, "digest", "left").select("id", "url", "digest", F.when(other, F.col("first")).alias("refers_to"), "payload")
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    each = rows.groupBy("digest", "id").agg(F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
+    firsts = each.groupBy("digest").agg(F.min("id").alias("first"), F.sum("n").alias("n"), F.max("n").alias("times"), F.max("size").alias("size")).where("n > 1")
+    marked = with_class(rows, save(firsts, "firsts"), "digest")
+    other = F.col("first").isNotNull() & (F.col("size") >= MIN_REVISIT) & ~F.col("id").eqNullSafe(F.col("first"))
+    marked = marked.select("id", "url", "digest", F.when(other, F.col("first")).alias("refers_to"), "payload", (F.col("times") > 1).alias("repeated"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r in page_records(*row):
+            for *row, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k += 1
+                for r in page_records(*row, f"{part}-{k}" if repeated else ""):
                     held.append(r)
                     size += len(r)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
+                    if size > RUN_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.binary())], names=["records"])
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.binary())], names=["records"])
 
-    marked.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    runs = marked.mapInArrow(run, "records binary").select(F.col("records").cast("string"))
+    runs.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RUNS).text(path)
 
 
 _SEGMENT = "origin string, number int, total long, page_id long, type string, refers_to long, digest string, block binary"
 
 
-def _segments(files: DataFrame, cut: bool) -> DataFrame:
-    """Records that are whole (or parts, if cut) of the archives, one row each."""
+def _segments(files: DataFrame) -> DataFrame:
+    """Records of the archives, one row each; those that are parts of one have a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
@@ -136,8 +147,6 @@ def _segments(files: DataFrame, cut: bool) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 for h, block in read_records(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
-                    if ("warc-segment-number" in h) != cut:
-                        continue
                     number = lambda k: int(h[k]) if k in h else None  # noqa: E731, B023
                     target = h.get("warc-refers-to", "").split(":")
                     rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), number("x-page-id"), h["warc-type"], int(target[2]) if len(target) > 2 and target[2] else None, h.get("warc-payload-digest"), block))
@@ -191,8 +200,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "type", "refers_to", "digest")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64())], names=["page_id", "record_type", "refers_to", "digest", "payload", "payload_bytes"])
 
-    parts = _segments(files, True).groupBy("origin").applyInArrow(join, _SEGMENT)
-    whole = _segments(files, False).unionByName(parts)
+    # Saved, so that each archive is read once for whole records and parts.
+    records = save(_segments(files), "records")
+    parts = records.where("number is not null").groupBy("origin").applyInArrow(join, _SEGMENT)
+    whole = records.where("number is null").unionByName(parts)
     rows = whole.mapInArrow(decode, "page_id long, record_type string, refers_to long, digest string, payload binary, payload_bytes long")
     stated = F.regexp_extract("digest", "sha256:(.*)", 1)
     found = F.coalesce(F.sha2("payload", 256), stated)
