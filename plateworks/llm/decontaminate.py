@@ -16,8 +16,9 @@ item's, and ``LEAST`` at least (or all, if the item has fewer), be it of all
 windows or of those met as templates.
 
 Null and blank texts have no windows; an item of fewer words than a window is one
-window, which is looked for at every place of a document. Rows without an id take no part; repeated rows count once; empty tables
-give an empty result. Columns other than id and text are not read.
+window, which is looked for at every place of a document. Rows without an id
+take no part; repeated rows count once; empty tables give an empty result.
+Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,25 +34,29 @@ RUN = 13
 #: Benchmark windows, and documents with hits, that may be broadcast (at most about 40 bytes each).
 BROADCAST_ROWS = 500_000
 UNITS = "mm cm dm m km mg g kg t ml cl l s min h kb mb gb tb w kw v a hz khz mhz usd eur gbp percent meters metres miles feet inches pounds grams kilograms liters litres seconds minutes hours days weeks months years dollars euros degrees".split()
-NUMBER, NAME, UNIT = "0", "@", "%"
+#: Placeholders, and what stands for a number's decimal point.
+NUMBER, NAME, UNIT, POINT = "0", "@", "%", "#"
 
 
 def _raw(text: Column) -> Column:
-    """Text whose numbers are single tokens, apart from letters, and whose own placeholder signs are gone."""
-    plain = F.translate(text, "@%", "  ")
-    numbers = F.regexp_replace(F.regexp_replace(plain, r"([0-9])[.,]([0-9])", "$1$2"), r"([0-9])(\p{L})", "$1 $2")
+    """Text whose numbers are single tokens, apart from letters, and whose own placeholder signs are gone.
+
+    A number is its digits and, after a point, a fraction; commas part numbers.
+    """
+    plain = F.translate(text, NAME + UNIT + POINT, "   ")
+    numbers = F.regexp_replace(F.regexp_replace(plain, r"([0-9]+)\.([0-9]+)", rf"$1{POINT}$2"), r"([0-9])(\p{L})", "$1 $2")
     return F.when(text.rlike("[0-9]"), numbers).otherwise(plain)
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}@%]+"), "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}@%#]+"), "")
 
 
 def _templates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, raw text, template text. Each step is a column of its own, so that none is computed twice."""
     raw = df.select(id_col, _raw(F.col(text_col)).alias("raw"))
     named = raw.select(id_col, "raw", F.regexp_replace("raw", r"([\p{Ll},;] )\p{Lu}\p{L}*", "$1@").alias("named"))
-    units = F.regexp_replace(F.regexp_replace("named", r"[0-9]+", NUMBER), rf"(0 )(?i:{'|'.join(UNITS)})\b", "$1%")
+    units = F.regexp_replace(F.regexp_replace("named", r"[0-9]+(#[0-9]+)?", NUMBER), rf"(0 )(?i:{'|'.join(UNITS)})\b", "$1%")
     return named.select(id_col, "raw", F.when(F.col("named").rlike("[0-9]"), units).otherwise(F.col("named")).alias("template"))
 
 
@@ -152,14 +157,14 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
 
 
-_SQL_RAW = r"""CASE WHEN regexp_matches(text, '[0-9]') THEN regexp_replace(regexp_replace(translate(text, '@%', '  '), '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])(\p{L})', '\1 \2', 'g') ELSE translate(text, '@%', '  ') END"""
+_SQL_RAW = r"""CASE WHEN regexp_matches(text, '[0-9]') THEN regexp_replace(regexp_replace(translate(text, '@%#', '   '), '([0-9]+)\.([0-9]+)', '\1#\2', 'g'), '([0-9])(\p{L})', '\1 \2', 'g') ELSE translate(text, '@%#', '   ') END"""
 _SQL_NAMED = r"""regexp_replace(raw, '([\p{Ll},;] )\p{Lu}\p{L}*', '\1@', 'g')"""
 OP9_SQL = rf"""
 WITH t AS (
   SELECT true AS d, doc_id AS id, {_SQL_RAW} AS raw FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
   UNION ALL SELECT false, item_id, {_SQL_RAW} FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-c AS (SELECT d, id, raw, CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(regexp_replace({_SQL_NAMED}, '[0-9]+', '0', 'g'), '(0 )(?i:{'|'.join(UNITS)})\b', '\1%', 'g') ELSE {_SQL_NAMED} END AS tpl FROM t),
-w AS (SELECT d, id, regexp_extract_all(lower(tpl), '[\p{{L}}\p{{N}}@%]+') AS ws, regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}@%]+') AS rs FROM c),
+c AS (SELECT d, id, raw, CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(regexp_replace({_SQL_NAMED}, '[0-9]+(#[0-9]+)?', '0', 'g'), '(0 )(?i:{'|'.join(UNITS)})\b', '\1%', 'g') ELSE {_SQL_NAMED} END AS tpl FROM t),
+w AS (SELECT d, id, regexp_extract_all(lower(tpl), '[\p{{L}}\p{{N}}@%#]+') AS ws, regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}@%#]+') AS rs FROM c),
 p AS (SELECT d, id, unnest(range(0, greatest(len(ws) - 7, 1))) AS pos, ws FROM w WHERE len(ws) > 0),
 x AS (SELECT d, id, pos, ws[pos + 1:pos + 8] AS win FROM p),
 b AS (SELECT DISTINCT id AS item_id, pos AS ipos, array_to_string(win, ' ') AS k FROM x
