@@ -5,9 +5,11 @@ the singular vectors of the whole table (the eigenvectors of its Gram matrix,
 summed in a distributed way) moves most of the weight to the front, so a partial
 inner product and the product of the two residual lengths bound the rest
 (Cauchy-Schwarz). Every query first meets the longest vectors, which gives its
-threshold; a block of queries then meets only blocks that some query's length
-could lift above its threshold, and within them only pairs whose bounds reach
-it are scored exactly.
+threshold; queries are then dealt into blocks by how long a vector must be to
+matter to them. A block of queries reads the blocks of candidates that are long
+enough in descending length, a span of them to a task, with thresholds that rise
+as it goes, and stops at the first block that is too short for all of them;
+only pairs whose bounds reach a threshold are scored exactly.
 
 Vectors that are null, empty or hold a null or non-finite component, and rows
 without an id, take no part. Shorter vectors count as filled up with zeros. Of
@@ -25,11 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, save
+from .shared import bounded, drop, few, save
 
 K, SCALE, QUERY_STEP = 5, 256, 50
+_NO_ID = np.iinfo(np.int64).max
 #: Vectors of a block of candidates and of queries; both bound what a task holds.
 BLOCK, QUERY_BLOCK = 2048, 1024
+#: Blocks of candidates that follow one another in a partition, and partitions that one task reads for a block of queries.
+RUN, SPAN = 16, 4
 #: Candidates scored together, and shares of the dimensions after which a bound is taken.
 CHUNK, STAGES = 256, (0.25, 0.5)
 
@@ -69,30 +74,42 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return basis[:, ::-1].copy()
 
 
-def _blocks(vectors: DataFrame, size: int, dim: int, prefix: str) -> DataFrame:
-    """Rows in partitions of descending length, packed: block, longest (largest norm2), ids, vs."""
+def _packed(rows: DataFrame, size: int, columns: str, row_of) -> DataFrame:
+    """One row for ``size`` rows that follow one another in a partition; numbers rise with partition and place."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
+        part, k, held = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            while len(held) >= size:
+                yield row_of(part << 32 | k, held.slice(0, size).combine_chunks())
+                held, k = held.slice(size), k + 1
+        if held is not None and len(held):
+            yield row_of(part << 32 | k, held.combine_chunks())
 
-        def row(t: pa.Table, k: int) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            m = _matrix(t.column(1).chunk(0), dim)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([t.column(2)[0].as_py()]), pa.array([t.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i8").tobytes()], pa.binary())], names=["block", "longest", "ids", "vs"])
+    return rows.mapInArrow(pack, columns)
 
-        for batch in batches:
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            while len(t) >= size:
-                yield row(t.slice(0, size), k)
-                t, k = t.slice(size), k + 1
-            held = t.to_batches()
-        if held and sum(map(len, held)):
-            yield row(pa.Table.from_batches(held), k)
 
-    packed = vectors.select("id", "v", "norm2").mapInArrow(pack, "block long, longest double, ids binary, vs binary")
-    return packed.select(*(F.col(c).alias(f"{prefix}_{c}") for c in packed.columns))
+def _blocks(vectors: DataFrame, size: int, dim: int) -> DataFrame:
+    """Rows in partitions of descending length, packed: block, longest (largest norm2), ids, vs."""
+
+    def row(block: int, t: pa.Table) -> pa.RecordBatch:
+        m = _matrix(t.column(1).chunk(0), dim)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([t.column(2)[0].as_py()]), pa.array([t.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i8").tobytes()], pa.binary())], names=["block", "longest", "ids", "vs"])
+
+    return _packed(vectors.select("id", "v", "norm2"), size, "block long, longest double, ids binary, vs binary", row)
+
+
+def _query_blocks(started: DataFrame, dim: int) -> DataFrame:
+    """Rows in order of need, packed: q_block, need (the least), ids, vs, floor."""
+
+    def row(block: int, t: pa.Table) -> pa.RecordBatch:
+        m = _matrix(t.column(1).chunk(0), dim)
+        values = [t.column(0).to_numpy().astype("<i8").tobytes(), m.astype("<i8").tobytes(), t.column(2).to_numpy().tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([t.column(3)[0].as_py()]), *(pa.array([x], pa.binary()) for x in values)], names=["q_block", "need", "ids", "vs", "floor"])
+
+    return _packed(started.select("id", "v", "floor", "need"), QUERY_BLOCK, "q_block long, need double, ids binary, vs binary, floor binary", row)
 
 
 class Search:
@@ -103,7 +120,7 @@ class Search:
         self.rotated = v @ basis
         self.norm = np.sqrt((self.rotated**2).sum(axis=1))
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.near = np.full((len(ids), k), _NO_ID)
         self.count = np.zeros(len(ids), np.int64)
 
     def threshold(self) -> np.ndarray:
@@ -144,79 +161,91 @@ class Search:
         q = np.concatenate((q, have))
         score = np.concatenate((score, self.score[rows].ravel()))
         ids = np.concatenate((ids, self.near[rows].ravel()))
-        real = ids != np.iinfo(np.int64).max
+        real = ids != _NO_ID
         by = np.lexsort((ids, -score, ~real, q))
         q, score, ids, real = q[by], score[by], ids[by], real[by]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = (rank < self.k) & real
-        self.score[rows], self.near[rows] = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        self.score[rows], self.near[rows] = np.iinfo(np.int64).min, _NO_ID
         self.score[q[top], rank[top]], self.near[q[top], rank[top]] = score[top], ids[top]
         self.count[rows] = np.bincount(q[top], minlength=rows.max() + 1)[rows]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        some = self.near != np.iinfo(np.int64).max
+        some = self.near != _NO_ID
         return np.repeat(self.ids, some.sum(axis=1)), self.near[some], self.score[some]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products with other rows."""
-    rows = save(quantised(vectors, id_col, vector_col), "vectors")
-    asked = quantised(queries, id_col, vector_col)
+    rows = save(quantised(bounded(vectors), id_col, vector_col), "vectors")
+    asked = save(quantised(queries, id_col, vector_col), "asked")
     total, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked, asked_dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     schema = "query_id long, vec_id long, score long"
-    if not total:
-        return rows.sparkSession.createDataFrame([], f"query_id long, `rank` int, vec_id long, score long")
-    dim = max(dim, asked.agg(F.max(F.size("v"))).first()[0] or 0)
+    if not total or not n_asked:
+        return rows.sparkSession.createDataFrame([], "query_id long, `rank` int, vec_id long, score long")
+    dim = max(dim, asked_dim)
     basis = rows.sparkSession.sparkContext.broadcast(_rotation(rows, dim))
-    parts = max(1, -(-total // (16 * BLOCK)))
+    parts = max(1, -(-total // (RUN * BLOCK)))
     # Ids break ties of length, so that copies of one vector spread over partitions.
     ordered = rows.repartitionByRange(parts, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-    blocks = save(_blocks(ordered, BLOCK, dim, "c"), "blocks")
-    per = max(1, asked.count() // QUERY_BLOCK)
-    asked = save(_blocks(asked.repartition(per, "id").sortWithinPartitions("id"), QUERY_BLOCK, dim, "q"), "queries")
+    blocks = save(_blocks(ordered, BLOCK, dim), "blocks")
+    # One block, of BLOCK vectors at most, whatever the size of the table.
+    longest = blocks.orderBy("block").limit(1).toArrow().to_pylist()[0]
+    seed = rows.sparkSession.sparkContext.broadcast((longest["ids"], longest["vs"]))
 
-    def unpack(batch: pa.RecordBatch, i: int, p: str) -> tuple[np.ndarray, np.ndarray]:
-        ids, vs = (batch.column(batch.schema.get_field_index(f"{p}_{c}"))[i].as_py() for c in ("ids", "vs"))
+    def unpack(ids: bytes, vs: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(ids, "<i8"), np.frombuffer(vs, "<i8").reshape(-1, dim)
 
-    # One block, of BLOCK vectors at most, whatever the size of the table.
-    longest = blocks.orderBy("c_block").limit(1).select("c_block", "c_ids", "c_vs").toArrow().to_batches()[0]
-    seed = rows.sparkSession.sparkContext.broadcast(longest)
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = Search(*unpack(batch, i, "q"), basis.value, k, np.full(len(unpack(batch, i, "q")[0]), -np.inf))
-                s.scan(*unpack(seed.value, 0, "c"), basis.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERY_BLOCK):
+                batch = whole.slice(at, QUERY_BLOCK)
+                ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+                s = Search(ids, v, basis.value, k, np.full(len(ids), -np.inf))
+                s.scan(*unpack(*seed.value), basis.value)
                 floor = s.threshold()
                 with np.errstate(invalid="ignore", divide="ignore"):
                     need = np.where(np.isfinite(floor) & (s.norm > 0) & (floor > 0), (floor - 1e-6) / s.norm * (1 - 1e-9), 0.0)
-                best = [a.astype("<i8").tobytes() for a in s.rows()]
-                keep = [batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("q_block", "q_ids", "q_vs")]
-                values = [*keep, floor.tobytes(), float(need.min() ** 2) * (1 - 1e-9), *best]
-                types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], names=["q_block", "q_ids", "q_vs", "floor", "need", "b_query", "b_vec", "b_score"])
+                best = [(s.near[i][s.near[i] != _NO_ID].tolist(), s.score[i][s.near[i] != _NO_ID].tolist()) for i in range(len(ids))]
+                cols = [batch.column(0), batch.column(1), pa.array(floor), pa.array(np.maximum(need, 0) ** 2 * (1 - 1e-9)), pa.array([b[0] for b in best], pa.list_(pa.int64())), pa.array([b[1] for b in best], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "v", "floor", "need", "near", "score"])
+
+    started = save(asked.select("id", "v").mapInArrow(first, "id long, v array<long>, floor double, need double, near array<long>, score array<long>"), "started")
+    found = started.select(F.col("id").alias("query_id"), F.inline(F.arrays_zip(F.col("near").alias("vec_id"), F.col("score").alias("score"))))
+    dealt = started.repartitionByRange(max(1, -(-n_asked // (RUN * QUERY_BLOCK))), "need", "id").sortWithinPartitions("need", "id")
+    asking = save(_query_blocks(dealt, dim), "queries")
+
+    # Numbers of blocks are matched on lengths first; vectors join only where a bound lets them.
+    meta = blocks.where(F.col("block") != longest["block"]).select("block", "longest")
+    span = F.floor(F.shiftright("block", 32) / SPAN).alias("span")
+    pairs = save(asking.select("q_block", "need").join(few(meta), F.col("longest") >= F.col("need")).select("q_block", span, "block"), "pairs")
+    turns = pairs.select("q_block", "span").distinct().join(asking, "q_block").select("q_block", "span", F.lit(-1).cast("long").alias("block"), F.lit(0.0).alias("longest"), "ids", "vs", "floor")
+    met = pairs.join(blocks, "block").select("q_block", "span", "block", "longest", "ids", "vs", F.lit(None).cast("binary").alias("floor"))
+    # A turn begins with its queries; blocks of candidates follow in descending length.
+    order = ["q_block", "span", "block"]
+    turn = turns.unionByName(met).repartition("q_block", "span").sortWithinPartitions(*order)
 
-    started = save(asked.mapInArrow(first, "q_block long, q_ids binary, q_vs binary, floor binary, need double, b_query binary, b_vec binary, b_score binary"), "started")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, done = None, False
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(j)[i].as_py(), "<i8")) for j in range(3)], names=["query_id", "vec_id", "score"])
+        def answer() -> Iterator[pa.RecordBatch]:
+            if s is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in s.rows()], names=["query_id", "vec_id", "score"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                floor = np.frombuffer(batch.column(batch.schema.get_field_index("floor"))[i].as_py())
-                s = Search(*unpack(batch, i, "q"), basis.value, k, floor)
-                s.scan(*unpack(batch, i, "c"), basis.value)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in s.rows()], names=["query_id", "vec_id", "score"])
-
-    # Pairs of block numbers are matched on lengths first; vectors join only where a bound lets them.
-    meta = blocks.where(F.col("c_block") != longest.column(0)[0].as_py()).select("c_block", "c_longest")
-    pairs = started.select("q_block", "need").join(meta, F.col("c_longest") >= F.col("need")).select("q_block", "c_block")
-    met = pairs.repartition("q_block", "c_block").join(blocks.select("c_block", "c_ids", "c_vs"), "c_block").join(started.select("q_block", "q_ids", "q_vs", "floor"), "q_block")
-    found = met.mapInArrow(scan, schema).unionByName(started.select("b_query", "b_vec", "b_score").mapInArrow(best, schema))
+                block, long, ids, vs, floor = (batch.column(j)[i].as_py() for j in range(5))
+                if block < 0:
+                    yield from answer()
+                    s, done = Search(*unpack(ids, vs), basis.value, k, np.frombuffer(floor)), False
+                elif not done:
+                    done = bool((s.norm * np.sqrt(long) * (1 + 1e-9) + 1e-6 < s.threshold()).all())
+                    if not done:
+                        s.scan(*unpack(ids, vs), basis.value)
+        yield from answer()
+
+    found = found.unionByName(turn.select("block", "longest", "ids", "vs", "floor").mapInArrow(scan, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     drop(rows)
