@@ -1,5 +1,7 @@
 """The numbered operators against brute force, on small tables with nulls, blanks, repeats and clashing columns."""
 
+import gzip
+import io
 import re
 import zlib
 
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plateworks.llm import decontaminate, langid, linear, neardup, packing, quality, sstable, topk, warc, wordpiece
+from plateworks.llm import decontaminate, langid, linear, neardup, packing, quality, shared, sstable, topk, warc, wordpiece
 from plateworks.llm.encode import vocabulary
 from plateworks.llm.shared import shared_dir
 
@@ -77,11 +79,11 @@ def test_large_buckets_lose_no_link(spark):
         for k in rng.integers(0, 120, rng.integers(0, 5)):
             words[k] = f"new{i}"
         rows.append((i, " ".join(words)))
-    old, neardup.SMALL, neardup.BLOCK = (neardup.SMALL, neardup.BLOCK), 4, 16
+    old, neardup.SMALL, neardup.BLOCK, neardup.HOT = (neardup.SMALL, neardup.BLOCK, neardup.HOT), 4, 16, 10
     try:
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     finally:
-        neardup.SMALL, neardup.BLOCK = old
+        neardup.SMALL, neardup.BLOCK, neardup.HOT = old
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows)
 
 
@@ -125,11 +127,33 @@ def test_token_shards_round_trip_and_lookup(spark, docs, none, tokenizer):
         at += len(want)
     found = sstable.lookup(spark, path, [3, 4, 999]).collect()
     assert sorted(r.doc_id for r in found) == [3, 4, 4]
+    assert sstable.lookup(spark, path, [-5]).count() == 0
     path = shared_dir(spark, "t")
     sstable.write_shards(none, path)
     assert sstable.read_shards(spark, path).count() == 0
 
 
+def test_token_shards_part_repeated_ids_and_search_few_files(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_TEXT_BYTES", 2000)
+    rows = [(None if i % 3 else 7, f"text number {i} of many") for i in range(900)] + [(i, "own") for i in range(1000, 1100)]
+    path = shared_dir(spark, "t")
+    sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    manifest = spark.read.parquet(f"{path}/_manifest").collect()
+    assert len(manifest) > 5 and max(r.n_docs for r in manifest) < 400
+    got = sorted(sstable.read_shards(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 600 + [7] * 300 + list(range(1000, 1100))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert sstable.lookup(spark, path, [7, 1005, 1]).count() == 301
+
+
+def test_token_ids_that_do_not_fit_are_an_error():
+    rows = [(1, np.array([70_000], np.uint32))]
+    with pytest.raises(ValueError, match="70000"):
+        list(sstable.shard_sections(iter(rows), 2))
+    data = b"".join(x + b"\n" for x in sstable.shard_sections(iter(rows), 4))
+    assert [t.tolist() for _, t in sstable.Shard(data).documents()] == [[70_000]]
+
+
 def test_warc_round_trip(spark):
     big, equal = "é" * 90_000, "same payload " * 20
     rows = [(1, "u 1", big, 1), (2, None, None, 1), (3, "v", equal, 1), (4, "v", equal, 1), (5, "w", "short", 1), (6, "w", "short", 1), (7, "x", "a\r\n\r\nWARC/1.1\r\n" * 9, 1), (None, "n", equal, 1), (5, "w", "short", 1), (1, "u 1", big, 1)]
@@ -145,6 +169,31 @@ def test_warc_round_trip(spark):
     assert {r.payload.decode() for r in got if r.page_id == 1} == {big}
 
 
+def test_warc_of_nothing_and_of_many_equal_pages(spark, monkeypatch):
+    schema = "page_id long, url string, html string"
+    path = shared_dir(spark, "w")
+    warc.write_archives(spark.createDataFrame([], schema), path)
+    assert warc.read_archives(spark, path).count() == 0
+    monkeypatch.setattr(warc, "FILE_RUNS", 1)
+    rows = [(7, "u", "x" * 70_000)] * 40 + [(None, None, "y" * 70_000)] * 40
+    path = shared_dir(spark, "w")
+    warc.write_archives(spark.createDataFrame(rows, schema).repartition(3), path)
+    got = warc.read_archives(spark, path)
+    assert {(r.page_id, r.record_type, r.payload_bytes): r["count"] for r in got.groupBy("page_id", "record_type", "payload_bytes").count().collect()} == {(7, "response", 70_000): 40, (None, "response", 70_000): 40}
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    names = files.select("content").rdd.flatMap(lambda r: [h["warc-record-id"] for h, _ in warc.read_records(gzip.GzipFile(fileobj=io.BytesIO(r.content)))]).collect()
+    assert len(names) == len(set(names)) == 160 and files.count() > 5
+
+
+def test_large_classes_are_joined_as_small_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "abc"[k % 3] if k % 7 else None) for k in range(60)], "id long, key string")
+    classes = spark.createDataFrame([("a", 99, "big"), ("b", 2, "small")], "key string, n long, name string")
+    want = sorted(map(repr, shared.with_class(rows, classes, "key").select("id", "key", "n", "name").collect()))
+    monkeypatch.setattr(shared, "FEW_ROWS", 1)
+    got = shared.with_class(rows, classes, "key", large=50)
+    assert sorted(map(repr, got.select("id", "key", "n", "name").collect())) == want and len(want) == 60
+
+
 def test_warc_finds_missing_segments():
     assert warc.reassemble([2, 1], [5, None], [b"lo", b"hel"]) == [b"hello"]
     for numbers, totals, blocks in (([1, 3], [None, 5], [b"hel", b"lo"]), ([1, 2], [None, 9], [b"hel", b"lo"]), ([1], [None], [b"hel"])):
@@ -176,7 +225,11 @@ def test_token_counts_equal_greedy_matching(docs, none):
     assert a.count_all(words).tolist() == [a.count(w) for w in words] == [2, 2, -1, 3, -1, -1, 101]
 
 
-def test_top_k_equals_sql(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_equals_sql(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK", 16), ("QUERY_BLOCK", 2), ("RUN", 2), ("SPAN", 2)):
+            monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)) * rng.uniform(0.1, 3, (400, 1)))]
     rows[7] = (7, rows[50][1])
@@ -205,6 +258,21 @@ def test_decontamination_finds_changed_numbers(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def test_decontamination_takes_lists_and_fractions_number_by_number(spark):
+    item = "The seats 1,2,3 and 10,20,30 weigh 3.5 kg and 1.2.3 in all when the tables are set for the guests of honour"
+    other = item.replace("1,2,3", "41,52,63").replace("10,20,30", "7,8,9").replace("3.5", "12.25").replace("1.2.3", "40.50.60")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, other), (3, " ".join(f"{w} {i}.{i}" for i, w in enumerate(["apple"] * 40_000)) + " " + item), (4, "word " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.item_windows, r.changed_slots) for r in decontaminate.contaminated(docs, bench).collect()}
+    n = got[1][1]
+    # The windows with fewer than four literal words are met by their raw words alone.
+    assert set(got) == {1, 2, 3} and got[1] == got[3] == (n, n, 0) and got[2] == (11, n, 3)
+    words = {r.doc_id: r.words for r in decontaminate._both_words(docs.where("doc_id < 3"), "doc_id", "text").select("doc_id", "words").collect()}
+    assert words[1] == words[2] and words[1][2:9] == ["0", "0", "0", "and", "0", "0", "0"]
+    raws = decontaminate._both_words(docs.where("doc_id = 1"), "doc_id", "text").first().raws
+    assert "3#5" in raws and "35" not in raws
+
+
 def test_decontamination_finds_short_items_in_long_documents(spark):
     filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = [(1, f"{filler}. What is the capital of France? {filler}"), (2, filler), (3, "What is the capital of France?"), (4, f"{filler} blue cheese"), (5, "blue"), (6, f"{filler}. What is the capital city of France? {filler}")]
@@ -243,8 +311,8 @@ def test_language_models(spark, docs, none):
     got = {r.doc_id: r for r in langid.score(docs, models).collect()}
     assert all(got[i].best == "und" and got[i].score == 0 and not got[i].accepted for i in (0, 1, 2, 6))
     assert langid.score(none, models).count() == 0
-    assert langid.learn(none) == [] and {r.best for r in langid.score(docs, []).collect()} == {"und"}
-    for m in models:  # probabilities after one context add up to one
+    assert langid.learn(none).count() == 0 and {r.best for r in langid.score(docs, None).collect()} == {"und"}
+    for m in langid.load(models):  # probabilities after one context add up to one
         grams, contexts = m.grams[0], m.contexts[0]
         assert abs(grams[1].sum() + contexts[1][0] - 1) < 1e-9
 
@@ -270,7 +338,7 @@ def test_features_are_unit_vectors():
 
 
 def test_pipeline_keeps_columns_and_unrelated_rows(spark):
-    import corpus_pipeline as c
+    from plateworks.llm import pipeline as c
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = docs.withColumn("score", F.lit("s")).unionByName(docs.limit(3).withColumn("score", F.lit("s")))
@@ -285,7 +353,7 @@ def test_pipeline_keeps_columns_and_unrelated_rows(spark):
 
 
 def test_pipeline_keeps_different_texts_of_one_id(spark):
-    import corpus_pipeline as c
+    from plateworks.llm import pipeline as c
 
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     a, b, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
