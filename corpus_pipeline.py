@@ -1,84 +1,5 @@
-"""Documents to packed training sequences, in five stages.
+"""Documents to packed training sequences; the stages themselves are in ``plateworks.llm.pipeline``."""
 
-Each stage works on all rows that the one before kept, and each but the last
-returns the columns of documents. Null texts and ids, repeated rows, empty
-tables and further columns are treated as the operators' docstrings state; a
-stage that filters returns a kept row unchanged.
-"""
+from plateworks.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plateworks.llm import decontaminate, langid, linear, neardup, packing
-from plateworks.llm import quality as q
-from plateworks.llm.shared import fold, save
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """Id, text and language beside the whole row, so that no column of docs can clash."""
-    return docs.select("doc_id", "text", "lang", F.struct("*").alias("_row"))
-
-
-def _vertices(docs: DataFrame) -> DataFrame:
-    """vertex, text, _row: one vertex for each id and text. The first text of an id has that id; others get numbers above usual ids."""
-    digest = F.xxhash64("text")
-    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"))
-    several = save(texts.where("first <> last").select(F.col("doc_id").alias("vertex"), "first"), "several")
-    rows = docs.select(F.col("doc_id").alias("vertex"), "text", F.struct("*").alias("_row"))
-    n = several.count()
-    if not n:
-        return rows.withColumn("vertex", F.col("vertex").cast("long"))
-    rows = rows.join(F.broadcast(several) if n <= decontaminate.BROADCAST_ROWS else several, "vertex", "left")
-    own, high = F.col("vertex").cast("long"), F.xxhash64("vertex", "text").bitwiseAND(2**61 - 1).bitwiseOR(2**62)
-    return rows.select(F.when(digest != F.col("first"), high).otherwise(own).alias("vertex"), "text", "_row")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score reaches the threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weights = linear.train(docs, labels.where(fold("doc_id", q.PARTS) != q.HELD), "quality", q.OPTIONS)
-    scored = linear.score(_rows(docs), weights, q.OPTIONS, keep=("_row",))
-    return scored.where(F.col("score") >= q.THRESHOLD).select("_row.*")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text fits the model of its language."""
-    scored = langid.score(_rows(docs), langid.learn(docs), keep=("_row",))
-    return scored.where("accepted").select("_row.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest id; of rows with one id and text, the least."""
-    rows = _vertices(docs)
-    kept = neardup.near_duplicates(rows, "vertex").where("kept and vertex is not null").select("vertex").distinct()
-    # Rows and kept vertices are dealt once, for the join and for the choice among rows with one id and text.
-    some = rows.select("vertex", "_row").join(kept, "vertex", "left_semi").groupBy("vertex").agg(F.min("_row").alias("_row"))
-    return some.select("_row.*").unionByName(docs.where("doc_id is null"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark passage."""
-    rows = _vertices(docs)
-    hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "vertex")
-    ids = save(hits.select("vertex").distinct(), "contaminated")
-    return rows.join(F.broadcast(ids) if ids.count() <= decontaminate.BROADCAST_ROWS else ids, "vertex", "left_anti").select("_row.*")
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 tokens, with their ids."""
-    return packing.pack(docs)
-
-
-STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
-
-#: A trained classifier and a tokenizer have no SQL form; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -30,20 +30,20 @@ FOLD_FROM, FOLD_TO = ("".join(side) for side in zip(*_FOLDS, strict=True))
 _GUARDED = "".join(sorted((set(FOLD_FROM) | set(LETTERS)) - {"ۀ", "ٵ", "\\", "-"}))
 GUARD = "^[\\x00-\\x1f\\x20-\\x7e\u200e\u200f\u064b-\u065f\u0670" + _GUARDED + "]*$"
 
-STANDARD = rf"^([^\-\s]{{1,5}})-([{LETTERS}])-([^\-\s]{{1,2}})$"
-TEMPORARY = r"^([^\-\s]{5,6})-?WW$"
+#: Sizes of a plate's number and region, of a temporary plate's number, and what ends that.
+NUMBER_SIZE, REGION_SIZE, TEMPORARY_SIZE, TEMPORARY_END = (1, 5), (1, 2), (5, 6), "WW"
 
 
 def fold(text: Column) -> Column:
     """Canonical form of decomposed text."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{C}\p{M}]", "")
     upper = F.upper(F.translate(bare, FOLD_FROM, FOLD_TO))
-    return F.btrim(F.regexp_replace(F.regexp_replace(upper, r"(?U)\s+", " "), "-{2,}", "-"), F.lit(" -"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(upper, r"\p{Z}+", " "), "-{2,}", "-"), F.lit(" -"))
 
 
 @F.pandas_udf(StringType())
 def _decompose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore") if text.notna().any() else text
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -56,11 +56,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_normal_text(df: DataFrame, source: str, target: str = "normal_text") -> DataFrame:
-    """Add the canonical text; only rows with unusual characters pass through Python."""
-    plain = F.coalesce(F.col(source), F.lit("")).rlike(GUARD)
-    fast = once(df.where(plain), **{target: fold(F.col(source))})
-    slow = df.where(~plain).withColumn("_decomposed", _decompose(F.col(source)))
-    return fast.unionByName(once(slow, **{target: fold(F.col("_decomposed"))}).drop("_decomposed"))
+    """Add the canonical text; texts of usual characters alone reach Python as nulls."""
+    odd = F.when(~F.coalesce(F.col(source), F.lit("")).rlike(GUARD), F.col(source))
+    plain = df.withColumn("_plain", F.coalesce(_decompose(odd), F.col(source)))
+    return once(plain, **{target: fold(F.col("_plain"))}).drop("_plain")
 
 
 def repair_digits(group: Column) -> Column:
@@ -69,22 +68,33 @@ def repair_digits(group: Column) -> Column:
     return F.when(digits.rlike(r"^\p{Nd}+$"), digits)
 
 
+def _sized(part: Column, size: tuple[int, int]) -> Column:
+    """Whether a part has that many characters, none of them a blank or dash."""
+    return F.length(part).between(*size) & ~part.contains(" ") & ~part.contains("-")
+
+
 def with_plate(df: DataFrame, text: str = "normal_text") -> DataFrame:
-    """Add digits, letter, region, is_temporary and plate_text, all null where the text is no plate."""
-    spaced = F.regexp_replace(F.col(text), rf"(?U)\s*([{LETTERS}])\s*", "-$1-")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, "-{2,}", "-"), r"(?U)\s*-\s*", "-")
-    out = once(df, _spaced=F.btrim(spaced, F.lit(" -")), _tight=F.replace(F.col(text), F.lit(" "), F.lit("")))
-    standard = F.col("_spaced").rlike(STANDARD)
-    part = lambda k: F.when(standard, F.regexp_extract("_spaced", STANDARD, k))
-    other = F.when(~standard & F.col("_tight").rlike(TEMPORARY), F.regexp_extract("_tight", TEMPORARY, 1))
-    out = once(out, _d=repair_digits(part(1)), _l=part(2), _r=repair_digits(part(3)), _w=repair_digits(other))
-    whole = F.col("_d").isNotNull() & F.col("_r").isNotNull()
-    out = once(out, digits=F.when(whole, F.col("_d")).otherwise(F.col("_w")), letter=F.when(whole, F.col("_l")), region=F.when(whole, F.col("_r")))
-    temporary = F.col("letter").isNull()
-    plate = F.when(temporary, F.concat("digits", F.lit(" WW"))).otherwise(F.concat_ws("-", "digits", "letter", "region"))
-    found = F.col("digits").isNotNull()
-    out = once(out, is_temporary=F.when(found, temporary), plate_text=F.when(found, plate))
-    return out.drop("_spaced", "_tight", "_d", "_l", "_r", "_w")
+    """Add digits, letter, region, is_temporary and plate_text, all null where the text is no plate.
+
+    Each plate letter is set between dashes, whatever blanks and dashes stood
+    there, and the text is cut at dashes: a standard plate is three parts, of
+    which the middle one is a letter. A text that has that form is no temporary
+    plate, even if its numbers can't be repaired.
+    """
+    cut = F.split(F.regexp_replace(text, f"[ -]*([{LETTERS}])[ -]*", "-$1-"), "-")
+    out = once(df, _cut=cut, _tight=F.translate(text, " ", ""))
+    first, middle, last = (F.get("_cut", k) for k in range(3))
+    standard = (F.size("_cut") == 3) & middle.isin(*LETTERS) & _sized(first, NUMBER_SIZE) & _sized(last, REGION_SIZE)
+    dash = F.col("_tight").endswith(f"-{TEMPORARY_END}").cast("int")
+    head = F.substring("_tight", F.lit(1), F.length("_tight") - len(TEMPORARY_END) - dash)
+    temporary = F.col("_tight").endswith(TEMPORARY_END) & _sized(head, TEMPORARY_SIZE)
+    number = F.when(standard, first).when(temporary, head)
+    out = once(out, _standard=standard, _number=repair_digits(number), _region=repair_digits(F.when(standard, last)), _letter=middle)
+    whole = F.col("_standard") & F.col("_number").isNotNull() & F.col("_region").isNotNull()
+    found = whole | (~F.col("_standard") & F.col("_number").isNotNull())
+    plate = F.when(whole, F.concat_ws("-", "_number", "_letter", "_region")).when(found, F.concat("_number", F.lit(f" {TEMPORARY_END}")))
+    out = once(out, digits=F.when(found, F.col("_number")), letter=F.when(whole, F.col("_letter")), region=F.when(whole, F.col("_region")), is_temporary=F.when(found, ~whole), plate_text=plate)
+    return out.drop("_cut", "_tight", "_standard", "_number", "_region", "_letter")
 
 
 def reject_reason(text: Column, plate_text: Column) -> Column:

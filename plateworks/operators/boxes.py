@@ -50,7 +50,7 @@ def indexed(boxes: DataFrame) -> DataFrame:
 
 # Shares of the plate's size that tell bars, glyphs and bodies apart.
 BAR_LOW, GLYPH_HIGH, GLYPH_WIDE, BAR_ASPECT, CUT_MARGIN = 0.30, 0.95, 0.30, 0.22, 0.03
-OCR_HEIGHT, OCR_MARGIN, WHOLE_SCALE = 160, 40, 4
+OCR_HEIGHT, OCR_MARGIN, WORKING_SCALE = 160, 40, 6
 
 
 def separator_bars(components: DataFrame) -> DataFrame:
@@ -60,10 +60,10 @@ def separator_bars(components: DataFrame) -> DataFrame:
     return components.where(tall & narrow & (d("w") / d("h") < BAR_ASPECT))
 
 
-def field_cuts(components: DataFrame) -> DataFrame:
-    """[start, end) of each field between the outermost bars, and whether all three are there."""
-    ends = separator_bars(components).groupBy("crop_id").agg(F.min(F.struct("x", "w")).alias("a"), F.max(F.struct("x", "w")).alias("b"), F.count("*").alias("n_bars"))
-    crops = components.select("crop_id", "plate_w", "plate_h").distinct().join(ends, "crop_id", "left")
+def field_cuts(components: DataFrame, keys: tuple[str, ...] = ("crop_id",)) -> DataFrame:
+    """[start, end) of each field between a crop's outermost bars, and whether all three are there."""
+    ends = separator_bars(components).groupBy(*keys).agg(F.min(F.struct("x", "w")).alias("a"), F.max(F.struct("x", "w")).alias("b"), F.count("*").alias("n_bars"))
+    crops = components.select(*keys, "plate_w", "plate_h").distinct().join(ends, [*keys], "left")
     half = lambda e: F.col(f"{e}.x") + F.floor(F.col(f"{e}.w") / 2).cast("int")
     c = crops.withColumns({"n_bars": F.coalesce("n_bars", F.lit(0)).cast("int"), "left_cut": half("a"), "right_cut": half("b")})
     least = F.col("plate_w") * F.lit(CUT_MARGIN)
@@ -80,7 +80,7 @@ def field_cuts(components: DataFrame) -> DataFrame:
     whole = F.lit(True)
     for f in ("digits", "letter", "region"):
         whole = whole & F.coalesce(F.col(f"{f}_end") > F.col(f"{f}_start"), F.lit(False))
-    return c.select("crop_id", "plate_w", "plate_h", "n_bars", *bounds, whole.alias("is_complete"))
+    return c.select(*keys, "plate_w", "plate_h", "n_bars", *bounds, whole.alias("is_complete"))
 
 
 def ink_extent(components: DataFrame) -> DataFrame:
@@ -102,14 +102,18 @@ def plate_body(components: DataFrame) -> DataFrame:
     return best.select("crop_id", pick("x", F.lit(0)), pick("y", F.lit(0)), pick("w", F.col("plate_w")), pick("h", F.col("plate_h")))
 
 
-def ocr_frames(cuts: DataFrame) -> DataFrame:
-    """Size of each field's and whole plate's frame for recognition; fields under three pixels have none."""
+def ocr_frames(cuts: DataFrame, o: Options) -> DataFrame:
+    """Size of each field's and whole plate's frame for recognition, and of the enlarged plate that bars are looked for in.
+
+    Fields under three pixels have none.
+    """
     fields = F.array(*(F.struct(F.lit(f).alias("field"), (F.col(f"{f}_end") - F.col(f"{f}_start")).alias("w"), F.col("plate_h").alias("h")) for f in ("digits", "letter", "region")))
     each = cuts.where("is_complete").select("crop_id", F.inline(fields)).where(F.least("w", "h") >= 3)
     wide = F.greatest(F.lit(1), (F.col("w") * (F.lit(float(OCR_HEIGHT)) / F.col("h"))).cast("int"))
     framed = each.select("crop_id", "field", (wide + 2 * OCR_MARGIN).alias("frame_w"), F.lit(OCR_HEIGHT + 2 * OCR_MARGIN).alias("frame_h"))
-    whole = cuts.select("crop_id", F.lit("whole").alias("field"), (F.col("plate_w") * WHOLE_SCALE).alias("frame_w"), (F.col("plate_h") * WHOLE_SCALE).alias("frame_h"))
-    return framed.unionByName(whole)
+    sized = lambda name, by: F.struct(F.lit(name).alias("field"), *((F.col(f"plate_{s}") * F.lit(by)).cast("int").alias(f"frame_{s}") for s in "wh"))
+    plates = F.array(sized("whole", o.ocr_upscale), sized("working", float(WORKING_SCALE)))
+    return framed.unionByName(cuts.select("crop_id", F.inline(plates)))
 
 
 # Names of the renderings that a recogniser is shown.
@@ -119,7 +123,7 @@ WHOLE_RENDERINGS = ("colour", "grey", "clahe", "otsu", "adaptive", "otsu_inverte
 
 def field_tasks(frames: DataFrame) -> DataFrame:
     names = F.posexplode(F.array(*map(F.lit, FIELD_RENDERINGS))).alias("k", "rendering")
-    return frames.where("field <> 'whole'").select("crop_id", "field", names).select("crop_id", "field", (F.col("k") + 1).alias("variant_no"), "rendering")
+    return frames.where("field not in ('whole', 'working')").select("crop_id", "field", names).select("crop_id", "field", (F.col("k") + 1).alias("variant_no"), "rendering")
 
 
 def whole_tasks(frames: DataFrame) -> DataFrame:
@@ -128,6 +132,14 @@ def whole_tasks(frames: DataFrame) -> DataFrame:
     return each.withColumn("restricted", F.explode(F.array(F.lit(True), F.lit(False))))
 
 
+def ocr_tasks(frames: DataFrame) -> DataFrame:
+    """All tasks of a recogniser, each with the alphabet that its answer is restricted to."""
+    by_field = F.when(F.col("field") == "letter", "letters").otherwise("digits")
+    fields = field_tasks(frames).withColumn("alphabet", by_field)
+    whole = whole_tasks(frames).select("crop_id", F.lit("whole").alias("field"), "variant_no", "rendering", F.when(F.col("restricted"), "both").otherwise("any").alias("alphabet"))
+    return fields.unionByName(whole)
+
+
 def otsu_threshold(levels: DataFrame) -> DataFrame:
     """For each group, the level that parts it with the largest variance between the sides, and how many rows lie above."""
     n = levels.groupBy("grp", "level").agg(F.count("*").alias("n"))

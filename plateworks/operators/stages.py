@@ -1,8 +1,9 @@
 """Hooks for a user's recogniser and detector: batch functions run by mapInPandas.
 
-A named function takes a pandas frame of tasks and returns, for each row, a list
-of results. It is built once for each partition. A row that fails gives no
-results; its error is reported instead of ending the job.
+A backend is made once for each partition and called with a pandas frame of
+tasks; it returns a list of results for each row. If it fails on a batch, the
+batch is halved until the rows that fail are found; these give no results, and
+their errors are reported in their place instead of ending the job.
 """
 
 from __future__ import annotations
@@ -12,51 +13,78 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-READING = "photo_id long, reading_seq int, raw_text string, confidence double, error string"
-BOX = "photo_id long, det_seq int, x1 double, y1 double, x2 double, y2 double, confidence double, error string"
-#: name -> factory of a function from one task (a named tuple) to a list of tuples.
+from ..functions.text import LETTERS
+
+READING = "reading_seq int, raw_text string, confidence double"
+BOX = "det_seq int, x1 double, y1 double, x2 double, y2 double, confidence double"
+#: name -> factory of a batch function: frame of tasks -> a list of tuples for each row, without their numbers.
 BACKENDS: dict[str, Callable[[], Callable]] = {}
 
 
+def backends() -> list[str]:
+    return sorted(BACKENDS)
+
+
 def backend(name: str) -> Callable[[], Callable]:
     if name not in BACKENDS:
-        raise ValueError(f"unknown backend {name!r}; known: {', '.join(sorted(BACKENDS))}")
+        raise ValueError(f"unknown backend {name!r}; known: {', '.join(backends())}")
     return BACKENDS[name]
 
 
-def run(tasks: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def run(tasks: DataFrame, make: Callable[[], Callable], results: str) -> DataFrame:
+    """The tasks' columns, those of ``results`` (the first numbers a task's results from 1), and error."""
+    own = tasks.columns
+    names = [c.split()[0] for c in results.split(", ")]
+
+    def attempt(read: Callable, frame: pd.DataFrame) -> list[list[tuple] | str]:
+        """Results of each row, or its error."""
+        try:
+            found = read(frame)
+            if len(found) != len(frame):
+                raise ValueError(f"{len(found)} results for {len(frame)} tasks")
+            return found
+        except Exception as e:  # noqa: BLE001  a bad photo must not end the job
+            half = len(frame) // 2
+            return attempt(read, frame[:half]) + attempt(read, frame[half:]) if half else [f"{type(e).__name__}: {e}"]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = make()
+        read = make()
         for frame in frames:
             rows = []
-            for task in frame.itertuples(index=False):
-                try:
-                    rows += [(task.photo_id, k, *r, None) for k, r in enumerate(one(task), 1)]
-                except Exception as e:  # noqa: BLE001  a bad photo must not end the job
-                    rows.append((task.photo_id, 0, *[None] * (len(names) - 3), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
+            for k, each in enumerate(attempt(read, frame) if len(frame) else []):
+                if isinstance(each, str):
+                    rows.append((k, 0, *[None] * (len(names) - 1), each))
+                else:
+                    rows += [(k, n, *r, None) for n, r in enumerate(each, 1)]
+            out = pd.DataFrame(rows, columns=["_task", *names, "error"])
+            left = frame.iloc[out.pop("_task").astype(int).to_numpy()].reset_index(drop=True)
+            yield pd.concat([left, out], axis=1)
 
-    return tasks.mapInPandas(batches, schema)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in tasks.dtypes)
+    return tasks.mapInPandas(batches, f"{kinds}, {results}, error string").select(*own, *names, "error")
 
 
 def echo_reader() -> Callable:
-    """A stand-in that reads what the photo's path says."""
-
-    def read(task) -> list[tuple[str, float]]:
-        if task.path.endswith(".txt"):
-            raise ValueError("no image")
-        return [(task.path.rsplit("_", 1)[1].split(".")[0], 0.5)]
+    """A stand-in for a recogniser, which makes up each crop's plate from its number."""
+
+    def read(tasks: pd.DataFrame) -> list[list[tuple[str, float]]]:
+        out = []
+        for t in tasks.itertuples(index=False):
+            if t.crop_id % 11 == 0 and t.variant_no == 1:
+                raise ValueError("no image")
+            parts = {"digits": str(10000 + t.crop_id % 90000), "letter": LETTERS[t.crop_id % len(LETTERS)], "region": str(1 + t.crop_id % 89)}
+            text = parts.get(t.field) or ("-" if t.alphabet == "any" else "").join(parts.values())
+            out.append([(text, t.variant_no / 8)])
+        return out
 
     return read
 
 
 def centre_detector() -> Callable:
-    """A stand-in that finds one box in the middle of each photo."""
+    """A stand-in for a detector, which finds one box in the middle of each photo."""
 
-    def detect(task) -> list[tuple[float, ...]]:
-        return [(task.img_w / 4, task.img_h / 4, task.img_w * 3 / 4, task.img_h * 3 / 4, 0.5)]
+    def detect(photos: pd.DataFrame) -> list[list[tuple[float, ...]]]:
+        return [[(w / 4, h / 4, w * 3 / 4, h * 3 / 4, 0.5)] for w, h in zip(photos["img_w"], photos["img_h"], strict=True)]
 
     return detect
 

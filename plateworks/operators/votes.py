@@ -26,10 +26,16 @@ def clean(readings: DataFrame) -> DataFrame:
     return readings.withColumn("raw_text", trimmed).where("raw_text <> ''")
 
 
+#: What a recogniser may answer for each field when it is restricted.
+ALPHABETS = {"digits": "0123456789W", "letter": LETTERS, "region": "0123456789W", "whole": f"0123456789{LETTERS}W"}
+
+
 def alphabet_violations(readings: DataFrame) -> DataFrame:
-    """How many readings of each field have characters outside its alphabet."""
-    inside = F.when(F.col("field") == "letter", F.col("raw_text").rlike(rf"^[{LETTERS}]*$")).otherwise(F.col("raw_text").rlike(r"^[0-9W]*$"))
-    return readings.groupBy("field").agg(F.count("*").alias("n"), F.sum((~inside).cast("long")).alias("n_violations"))
+    """How many readings of each field, restricted or not, have characters outside its alphabet."""
+    beyond = F.lit(None).cast("string")
+    for field, alphabet in ALPHABETS.items():
+        beyond = F.when(F.col("field") == field, F.translate("raw_text", alphabet, "")).otherwise(beyond)
+    return readings.groupBy("field", "restricted").agg(F.count("*").alias("n"), F.sum((beyond != "").cast("long")).alias("n_violations"))
 
 
 def parsed(readings: DataFrame) -> DataFrame:
@@ -41,9 +47,13 @@ def rejects(readings: DataFrame) -> DataFrame:
     return reason.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: What names a detection, from the first reading to the vote.
+DETECTION = ("photo_id", "det_seq")
+
+
 def winners(votes: DataFrame, *keys: str) -> DataFrame:
     """keys, text, score of each key's winner."""
-    best = votes.groupBy(*keys).agg(F.max_by(F.struct("text", "weight"), F.struct("weight", -F.col("first_seq"))).alias("b"))
+    best = votes.groupBy(*keys).agg(F.min_by(F.struct("text", "weight"), F.struct(-F.col("weight"), F.col("first_seq"))).alias("b"))
     return best.select(*keys, F.col("b.text").alias("text"), F.col("b.weight").alias("score"))
 
 
@@ -51,39 +61,42 @@ def _tally(rows: DataFrame, o: Options, seq: Column, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "text").agg(F.round(F.sum(weight(o)), 6).alias("weight"), F.min(seq).alias("first_seq"))
 
 
-def number_votes(readings: DataFrame, field: str, o: Options) -> DataFrame:
-    rows = with_normal_text(readings.where(F.col("field") == field), "raw_text", "text")
-    return _tally(rows.where(F.col("text").rlike(rf"^\p{{Nd}}{{1,{MAX_DIGITS[field]}}}$")), o, F.col("variant_no"), "photo_id")
+def field_votes(readings: DataFrame, o: Options) -> DataFrame:
+    """Detection, field, text, weight, first_seq of readings of all three fields.
+
+    A number or region votes as a whole, if it is all digits and not too long.
+    Each plate letter in a reading of the letter votes, as often as it occurs.
+    """
+    normal = with_normal_text(readings, "raw_text", "text").select(*DETECTION, "field", "variant_no", "confidence", "text")
+    size = F.when(F.col("field") == "digits", MAX_DIGITS["digits"]).otherwise(MAX_DIGITS["region"])
+    number = (F.col("field") != "letter") & F.col("text").rlike(r"^\p{Nd}+$") & (F.length("text") <= size)
+    letters = F.filter(F.split("text", ""), lambda c: c.isin(*LETTERS))
+    texts = F.when(F.col("field") == "letter", letters).when(number, F.array("text"))
+    each = normal.select(*DETECTION, "field", "variant_no", "confidence", F.posexplode(texts).alias("k", "text"))
+    return _tally(each, o, F.struct("variant_no", "k"), *DETECTION, "field")
 
 
-def letter_votes(readings: DataFrame, o: Options) -> DataFrame:
-    """Each plate letter in a reading votes, as often as it occurs."""
-    rows = with_normal_text(readings.where("field = 'letter'"), "raw_text")
-    only = F.regexp_replace("normal_text", rf"[^{LETTERS}]", "")
-    each = rows.withColumn("only", only).where("only <> ''").select("photo_id", "confidence", "variant_no", F.posexplode(F.split("only", "")).alias("k", "text")).where("text <> ''")
-    return _tally(each, o, F.col("variant_no") * 1000 + F.col("k"), "photo_id")
+def field_winners(readings: DataFrame, o: Options, field: str) -> DataFrame:
+    """Detection, text, score of one field."""
+    return winners(field_votes(readings.where(F.col("field") == field), o), *DETECTION)
 
 
 def whole_votes(readings: DataFrame, o: Options) -> DataFrame:
     rows = parsed(readings).where("plate_text is not null").withColumn("text", F.col("plate_text"))
-    return _tally(rows, o, F.col("reading_seq"), "photo_id")
+    return _tally(rows, o, F.col("reading_seq"), *DETECTION)
 
 
 def composed(readings: DataFrame, o: Options) -> DataFrame:
-    """photo_id, digits, letter, region, plate_text, score: the three fields' winners put together."""
-    parts = None
-    for field in ("digits", "letter", "region"):
-        votes = letter_votes(readings, o) if field == "letter" else number_votes(readings, field, o)
-        one = winners(votes, "photo_id").select("photo_id", F.lit(field).alias("field"), "text", "score")
-        parts = one if parts is None else parts.unionByName(one)
+    """Detection, digits, letter, region, plate_text, score: the three fields' winners put together."""
+    won = winners(field_votes(readings, o), *DETECTION, "field")
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("text"))).alias(f)
-    wide = parts.groupBy("photo_id").agg(pick("digits"), pick("letter"), pick("region"), F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("n"))
+    wide = won.groupBy(*DETECTION).agg(pick("digits"), pick("letter"), pick("region"), F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("n"))
     whole = F.when(F.col("n") == 3, F.concat_ws("-", "digits", "letter", "region"))
-    return wide.select("photo_id", "digits", "letter", "region", whole.alias("plate_text"), F.when(F.col("n") == 3, F.col("score")).otherwise(0.0).alias("score"))
+    return wide.select(*DETECTION, "digits", "letter", "region", whole.alias("plate_text"), F.when(F.col("n") == 3, F.col("score")).otherwise(0.0).alias("score"))
 
 
 def pooled(fields: DataFrame, whole: DataFrame) -> DataFrame:
     """Readings of all renderings in one bag."""
-    f = fields.select("photo_id", F.lit("fields").alias("source"), "field", F.col("variant_no").alias("seq"), "raw_text", "confidence")
-    w = whole.select("photo_id", F.lit("whole").alias("source"), F.lit("whole").alias("field"), F.col("reading_seq").alias("seq"), "raw_text", "confidence")
+    f = fields.select(*DETECTION, F.lit("fields").alias("source"), "field", F.col("variant_no").alias("seq"), "restricted", "raw_text", "confidence")
+    w = whole.select(*DETECTION, F.lit("whole").alias("source"), F.lit("whole").alias("field"), F.col("reading_seq").alias("seq"), "restricted", "raw_text", "confidence")
     return f.unionByName(w)

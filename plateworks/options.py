@@ -13,6 +13,7 @@ class Options:
     duplicate_iou: float = 0.6
     crop_padding: float = 0.08
     weight_floor: float = 0.01
+    ocr_upscale: float = 4.0
 
     @classmethod
     def of(cls, spark: SparkSession) -> Options:

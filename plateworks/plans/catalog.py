@@ -20,15 +20,21 @@ class Tables:
 
     def __init__(self, spark, sf_dir: str):
         self.o = Options.of(spark)
-        self.photos, self.listing, self.raw, self.readings, self.fields, self.components, self.levels = (
-            f(spark, sf_dir) for f in (x.photos, x.listing, x.raw_boxes, x.readings, x.field_readings, x.components, x.levels)
+        self.photos, self.listing, self.raw, self.readings, self.whole, self.fields, self.components, self.crops, self.levels = (
+            f(spark, sf_dir) for f in (x.photos, x.listing, x.raw_boxes, x.readings, x.whole_readings, x.field_readings, x.components, x.crop_components, x.levels)
         )
 
     def cuts(self) -> DataFrame:
         return b.field_cuts(self.components)
 
     def frames(self) -> DataFrame:
-        return b.ocr_frames(self.cuts())
+        return b.ocr_frames(self.cuts(), self.o)
+
+    def answered(self) -> DataFrame:
+        return stages.run(b.ocr_tasks(self.frames()), stages.backend("echo"), stages.READING)
+
+    def answered_fields(self) -> DataFrame:
+        return self.answered().where("error is null and field <> 'whole'").withColumnRenamed("crop_id", "photo_id").withColumn("det_seq", F.lit(1))
 
     def padded(self) -> DataFrame:
         return b.padded(b.confident(self.raw, self.o), self.photos, self.o)
@@ -36,11 +42,8 @@ class Tables:
     def detections(self) -> DataFrame:
         return r.detections(self.raw, self.photos, self.o)
 
-    def first(self) -> DataFrame:
-        return r.first_boxes(self.raw, self.photos, self.o)
-
     def routed(self) -> DataFrame:
-        return r.routed_votes(self.first(), self.cuts(), self.fields, self.readings, self.o)
+        return r.routed_votes(self.detections(), b.field_cuts(self.crops, v.DETECTION), self.fields, self.whole, self.o)
 
     def read(self) -> DataFrame:
         return r.plate_readings(self.routed())
@@ -59,11 +62,13 @@ class Tables:
         return r.agreement(self.plates(), self.results())
 
     def report(self) -> DataFrame:
-        return r.report_rows(self.photos, self.read(), self.first())
+        return r.report_rows(self.photos, self.read(), self.detections())
 
 
-def _won(votes: DataFrame) -> DataFrame:
-    return v.winners(votes, "photo_id")
+def _votes_json(votes: DataFrame) -> DataFrame:
+    """The map as text, its weights with six places, so that other engines can show the same."""
+    shown = F.transform_values("votes", lambda _, w: w.cast("decimal(20,6)").cast("string"))
+    return r.votes_map(votes).select("group_id", F.to_json(shown).alias("votes"))
 
 
 def _parsed(t: Tables) -> DataFrame:
@@ -87,18 +92,18 @@ _BY_NAME = {
     "ocr_tasks_fields": lambda t: b.field_tasks(t.frames()),
     "ocr_tasks_whole": lambda t: b.whole_tasks(t.frames()),
     "otsu_threshold": lambda t: b.otsu_threshold(t.levels),
-    "clean_readings": lambda t: v.clean(t.fields).select("photo_id", "field", "variant_no", "raw_text"),
-    "alphabet_violations": lambda t: v.alphabet_violations(t.fields),
+    "clean_readings": lambda t: v.clean(t.fields).select("photo_id", "det_seq", "field", "variant_no", "raw_text"),
+    "alphabet_violations": lambda t: v.alphabet_violations(v.pooled(t.fields, t.whole)),
     "normalize_text": lambda t: v.parsed(t.readings).select("photo_id", "reading_seq", "normal_text"),
-    "repair_digits": lambda t: t.fields.where("field <> 'letter'").select("photo_id", "field", "variant_no", repair_digits(F.col("raw_text")).alias("repaired")),
+    "repair_digits": lambda t: t.fields.where("field <> 'letter'").select("photo_id", "det_seq", "field", "variant_no", repair_digits(F.col("raw_text")).alias("repaired")),
     "parse_plate": _parsed,
     "valid_plates": lambda t: _parsed(t).select("photo_id", "reading_seq", F.col("plate_text").isNotNull().alias("valid")),
     "parse_rejects": lambda t: v.rejects(t.readings),
-    "pooled_readings": lambda t: v.pooled(t.fields, t.readings),
-    "vote_digits": lambda t: _won(v.number_votes(t.fields, "digits", t.o)),
-    "vote_region": lambda t: _won(v.number_votes(t.fields, "region", t.o)),
-    "vote_letter": lambda t: _won(v.letter_votes(t.fields, t.o)),
-    "vote_whole": lambda t: v.whole_votes(t.readings, t.o).select("photo_id", "text", "weight"),
+    "pooled_readings": lambda t: v.pooled(t.fields, t.whole),
+    "vote_digits": lambda t: v.field_winners(t.fields, t.o, "digits"),
+    "vote_region": lambda t: v.field_winners(t.fields, t.o, "region"),
+    "vote_letter": lambda t: v.field_winners(t.fields, t.o, "letter"),
+    "vote_whole": lambda t: v.whole_votes(t.whole, t.o).select("photo_id", "det_seq", "text", "weight"),
     "compose_fields": lambda t: v.composed(t.fields, t.o),
     "plate_readings": lambda t: t.read(),
     "photo_best": lambda t: r.photo_best(t.read()),
@@ -111,10 +116,11 @@ _BY_NAME = {
     "plate_report_rows": lambda t: t.report(),
     "plate_report_json": lambda t: r.report_json(t.photos, t.report(), t.agreed()),
     "preview_pick": lambda t: r.preview_pick(t.results()),
-    "votes_map": lambda t: r.votes_map(t.votes()),
-    "recogniser_stage": lambda t: stages.run(t.photos, stages.backend("echo"), stages.READING).where("error is null").drop("error"),
-    "recogniser_errors": lambda t: stages.run(t.photos, stages.backend("echo"), stages.READING).where("error is not null").groupBy("error").agg(F.count("*").alias("n")),
-    "detector_stage": lambda t: stages.run(t.photos, stages.centre_detector, stages.BOX).drop("error"),
+    "votes_map": lambda t: _votes_json(t.votes()),
+    "recogniser_stage": lambda t: t.answered().where("error is null").drop("error"),
+    "recogniser_errors": lambda t: t.answered().where("error is not null").groupBy("error").agg(F.count("*").alias("n")),
+    "recogniser_plates": lambda t: v.composed(t.answered_fields(), t.o).drop("det_seq"),
+    "detector_stage": lambda t: r.detections(stages.run(t.photos.select("photo_id", "img_w", "img_h"), stages.centre_detector, stages.BOX).where("error is null").drop("img_w", "img_h"), t.photos, t.o),
 }
 
 QUERIES = {name: lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir)) for name, f in _BY_NAME.items()}

@@ -31,47 +31,44 @@ def crop_manifest(found: DataFrame, photos: DataFrame) -> DataFrame:
     return rows.select("photo_id", "det_index", name.alias("name"), *b.BOX, (F.col("x2") - F.col("x1")).alias("crop_w"), (F.col("y2") - F.col("y1")).alias("crop_h"))
 
 
-def first_boxes(raw: DataFrame, photos: DataFrame, o: Options) -> DataFrame:
-    """The first box of each photo, padded, as its only detection."""
-    return b.padded(raw.where("det_seq = 1"), photos, o)
-
-
 def routed_votes(found: DataFrame, cuts: DataFrame, fields: DataFrame, whole: DataFrame, o: Options) -> DataFrame:
-    """photo_id, segmented, digits, letter, region, text, weight, first_seq, confidence: votes that count, one row each.
+    """photo_id, det_index, segmented, digits, letter, region, text, weight, first_seq, confidence: votes that count, one row each.
 
-    Fields are read where the plate could be cut; the whole plate is read
-    where it could not, or where its fields gave no plate but the whole does.
-    A photo without votes has one row with a null text.
+    A detection's fields are read where its plate could be cut; the whole plate
+    is read where it could not, or where its fields gave no plate but the whole
+    does. A detection without votes has one row with a null text.
     """
-    complete = cuts.where("is_complete").select(F.col("crop_id").alias("photo_id"), F.lit(True).alias("cut"))
-    base = found.select("photo_id", "confidence").join(complete, "photo_id", "left")
-    # Only plates that could be cut are read by fields; only the rest of the readings are tallied whole.
-    by_field = v.composed(fields, o).select("photo_id", "digits", "letter", "region", F.col("plate_text").alias("f_text"), F.col("score").alias("f_weight"))
-    cut = base.join(by_field, "photo_id", "left")
-    done = F.col("cut") & F.col("f_text").isNotNull()
-    read = cut.where(done).select("photo_id", F.lit(True).alias("segmented"), "digits", "letter", "region", F.col("f_text").alias("text"), F.col("f_weight").alias("weight"), F.lit(0).alias("first_seq"), "confidence")
-    left = cut.where(~F.coalesce(done, F.lit(False)))
-    tally = v.whole_votes(whole, o)
-    rest = left.join(tally, "photo_id", "left")
+    key = [*v.DETECTION]
+    complete = cuts.where("is_complete").select(*key, F.lit(True).alias("cut"))
+    base = found.select(*key, "det_index", "confidence").join(complete, key, "left")
+    # Fields and whole plates are filtered before the costly part, the parsing of their readings.
+    by_field = v.composed(fields.join(base.where("cut").select(*key), key, "left_semi"), o)
+    by_field = by_field.select(*key, "digits", "letter", "region", F.col("plate_text").alias("f_text"), F.col("score").alias("f_weight"))
+    cut = base.join(by_field, key, "left")
+    done = F.coalesce(F.col("cut") & F.col("f_text").isNotNull(), F.lit(False))
+    seq = F.coalesce("first_seq", F.lit(0)).alias("first_seq")
+    read = cut.where(done).select("photo_id", "det_index", F.lit(True).alias("segmented"), "digits", "letter", "region", F.col("f_text").alias("text"), F.col("f_weight").alias("weight"), F.lit(0).alias("first_seq"), "confidence")
+    left = cut.where(~done)
+    rest = left.join(v.whole_votes(whole.join(left.select(*key), key, "left_semi"), o), key, "left")
     shown = lambda c: F.when(F.col("cut"), F.coalesce(c, F.lit("?"))).alias(c)
-    segmented = F.coalesce(F.col("cut") & F.col("text").isNull(), F.lit(False))
-    rest = rest.select("photo_id", segmented.alias("segmented"), shown("digits"), shown("letter"), shown("region"), "text", "weight", F.coalesce("first_seq", F.lit(0)).alias("first_seq"), "confidence")
-    return read.unionByName(rest)
+    segmented = F.coalesce(F.col("cut") & F.col("text").isNull(), F.lit(False)).alias("segmented")
+    return read.unionByName(rest.select("photo_id", "det_index", segmented, shown("digits"), shown("letter"), shown("region"), "text", "weight", seq, "confidence"))
 
 
 def plate_readings(routed: DataFrame) -> DataFrame:
     """One row for each detection: its plate, score, method and field texts."""
-    best = F.max_by(F.struct("text", "weight"), F.struct("weight", -F.col("first_seq"))).alias("w")
-    one = routed.groupBy("photo_id", "segmented", "digits", "letter", "region", "confidence").agg(best)
+    best = F.min_by(F.struct("text", "weight"), F.struct(-F.col("weight"), F.col("first_seq"))).alias("w")
+    one = routed.groupBy("photo_id", "det_index", "segmented", "digits", "letter", "region", "confidence").agg(best)
     score = F.round(F.coalesce(F.col("w.weight") * F.col("confidence"), F.lit(0.0)), 12)
-    return one.select("photo_id", "segmented", "digits", "letter", "region", F.col("w.text").alias("plate_text"), F.coalesce("w.text", F.lit("unreadable")).alias("text"), score.alias("score"), F.col("confidence").alias("detector_confidence"))
+    return one.select("photo_id", "det_index", "segmented", "digits", "letter", "region", F.col("w.text").alias("plate_text"), F.coalesce("w.text", F.lit("unreadable")).alias("text"), score.alias("score"), F.col("confidence").alias("detector_confidence"))
 
 
 def photo_best(readings: DataFrame) -> DataFrame:
-    """The best reading of each photo: readable ones first, by score, then by the detector's confidence."""
+    """The best reading of each photo: readable ones first, by score, then by the detector's confidence, then in order."""
     readable = F.col("plate_text").isNotNull()
-    w = Window.partitionBy("photo_id").orderBy(F.desc(readable), F.desc(F.when(readable, F.col("score"))), F.desc(F.when(readable, F.col("detector_confidence"))))
-    return readings.withColumn("k", F.row_number().over(w)).where("k = 1").select("photo_id", "plate_text", "text", "score")
+    rank = F.struct(~readable, F.when(readable, -F.col("score")), F.when(readable, -F.col("detector_confidence")), F.col("det_index"))
+    best = readings.groupBy("photo_id").agg(F.min_by(F.struct("det_index", "plate_text", "text", "score"), rank).alias("b"))
+    return best.select("photo_id", "b.*")
 
 
 def photo_results(photos: DataFrame, best: DataFrame, readings: DataFrame) -> DataFrame:
@@ -82,9 +79,9 @@ def photo_results(photos: DataFrame, best: DataFrame, readings: DataFrame) -> Da
 
 
 def group_votes(routed: DataFrame, photos: DataFrame) -> DataFrame:
-    """group_id, text, weight, first_seq over all votes of all photos of a vehicle."""
+    """group_id, text, weight, first_seq (photo, detection, vote) over all votes of all photos of a vehicle."""
     rows = routed.where("text is not null").join(photos.select("photo_id", "group_id", "position"), "photo_id")
-    seq = F.min(F.col("position").cast("long") * 1_000_000 + F.col("first_seq"))
+    seq = F.min(F.struct("position", "det_index", "first_seq"))
     return rows.groupBy("group_id", "text").agg(F.round(F.sum(F.col("weight") * F.col("confidence")), 12).alias("weight"), seq.alias("first_seq"))
 
 
@@ -110,28 +107,30 @@ def run_summary(agreed: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def activity_log(photos: DataFrame, readings: DataFrame) -> DataFrame:
+    """A line for each photo, followed by one for each of its detections, or one that says there is none."""
     name = F.regexp_extract("path", "([^/]+)$", 1)
     how = F.when(F.col("segmented"), "fields").otherwise("whole plate")
     # Two decimals, ties to even, as the confidence's binary value is exact.
-    said = F.format_string("  plate 1: %s [%s, detector %.2f]", F.col("text"), how, F.bround("detector_confidence", 2))
-    rows = photos.join(readings, "photo_id", "left")
-    lines = F.array(F.concat(F.lit("Detecting plates in "), name, F.lit("...")), F.when(F.col("text").isNull(), F.concat(F.lit("  no plate found in "), name)).otherwise(said))
-    each = rows.select("photo_id", "group_id", "position", F.posexplode(lines).alias("k", "line"))
-    return each.select("photo_id", "group_id", "position", (F.col("k") + 1).alias("line_no"), "line")
+    said = F.format_string("  plate %d: %s [%s, detector %.2f]", "det_index", "text", how, F.bround("detector_confidence", 2))
+    key = ["photo_id", "group_id", "position"]
+    begun = photos.select(*key, F.lit(1).alias("line_no"), F.concat(F.lit("Detecting plates in "), name, F.lit("...")).alias("line"))
+    line = F.when(F.col("text").isNull(), F.concat(F.lit("  no plate found in "), name)).otherwise(said)
+    then = photos.join(readings, "photo_id", "left").select(*key, (F.coalesce("det_index", F.lit(1)) + 1).alias("line_no"), line.alias("line"))
+    return begun.unionByName(then)
 
 
 def report_rows(photos: DataFrame, readings: DataFrame, found: DataFrame) -> DataFrame:
     method = F.when(F.col("segmented"), "fields").otherwise("whole_plate")
-    rows = photos.select("photo_id", "group_id", "position", "path").join(readings, "photo_id").join(found.select("photo_id", *b.BOX), "photo_id")
-    return rows.select("group_id", "position", "path", "text", F.round("detector_confidence", 4).alias("detector_confidence"), *b.BOX, F.round(F.col("score").cast("decimal(24,12)"), 4).cast("double").alias("score"), method.alias("method"), "digits", "letter", "region")
+    rows = photos.select("photo_id", "group_id", "position", "path").join(readings, "photo_id").join(found.select("photo_id", "det_index", *b.BOX), ["photo_id", "det_index"])
+    return rows.select("group_id", "position", "path", "det_index", "text", F.round("detector_confidence", 4).alias("detector_confidence"), *b.BOX, F.round(F.col("score").cast("decimal(24,12)"), 4).cast("double").alias("score"), method.alias("method"), "digits", "letter", "region")
 
 
 def report_json(photos: DataFrame, rows: DataFrame, agreed: DataFrame) -> DataFrame:
-    """One JSON document for each vehicle; its photos and their plates are few."""
+    """One JSON document for each vehicle, which holds all its photos and their plates: as large as a vehicle's run."""
     fields = F.when(F.col("digits").isNotNull(), F.struct("digits", "letter", "region"))
     plate = F.struct("text", "detector_confidence", F.array(*b.BOX).alias("box"), "score", "method", fields.alias("fields"))
-    plates = rows.groupBy("group_id", "position").agg(F.collect_list(plate).alias("plates"))
-    image = F.struct("position", F.struct("path", F.coalesce("plates", F.array()).alias("plates")).alias("image"))
+    plates = rows.groupBy("group_id", "position").agg(F.array_sort(F.collect_list(F.struct("det_index", plate.alias("plate")))).alias("l"))
+    image = F.struct("position", F.struct("path", F.coalesce("l.plate", F.array()).alias("plates")).alias("image"))
     images = photos.select("group_id", "position", "path").join(plates, ["group_id", "position"], "left").groupBy("group_id").agg(F.array_sort(F.collect_list(image)).alias("l"))
     text = F.coalesce("plate", F.lit("unreadable"))
     whole = F.struct(text.alias("plate"), F.col("plate").isNotNull().alias("found"), F.col("agreeing").alias("images_agreeing"), F.col("l.image").alias("images"))
@@ -144,4 +143,5 @@ def preview_pick(results: DataFrame) -> DataFrame:
 
 
 def votes_map(votes: DataFrame) -> DataFrame:
+    """A map from text to weight for each vehicle; as many entries as it has different texts."""
     return votes.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("text", "weight")))).alias("votes"))

@@ -16,6 +16,13 @@ _NUMBER, _PLATE = "10000 + (group_id * 7919) % 90000", "CASE WHEN group_id % 10
 _LETTER, _REGION = "substr('أبدهوط', CAST(group_id % 6 + 1 AS INT), 1)", "CAST(group_id % 89 + 1 AS STRING)"
 _EXTENSION = "element_at(array('.jpg', '.jpeg', '.png', '.webp', '.txt'), CAST(o_orderkey % 5 + 1 AS INT))"
 
+_COMPONENT = """420 AS plate_w
+150 AS plate_h
+CAST((l_partkey * 13 + l_linenumber * 29 + {by}) % 400 AS INT) AS x
+CAST((l_suppkey * 11) % 60 AS INT) AS y
+CAST(1 + l_suppkey % 20 AS INT) AS w
+CAST(1 + (l_partkey * 7) % 146 AS INT) AS h"""
+
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -36,8 +43,9 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("det_seq", F.row_number().over(w))
+    w = Window.partitionBy("l_orderkey")
+    seq = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("det_seq", seq)
 
 
 def raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,23 +54,37 @@ def raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_group(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    owner = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("group_id"))
-    return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Lines with the vehicle that was photographed and the one whose plate the box shows; later boxes show bystanders' at times."""
+    owner = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("owner"))
+    shown = F.when((F.col("det_seq") > 1) & (F.col("l_suppkey") % 4 == 0), F.col("owner") + 1).otherwise(F.col("owner"))
+    return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("shown", shown)
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-plate readings, one for each detection."""
+def _distorted(rows: DataFrame, kind: str, confidence: str, vehicle: str, *names: str) -> DataFrame:
     plate = _PLATE.format(n=f"CAST({_NUMBER} AS STRING)", l=_LETTER, r=_REGION)
-    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).selectExpr("l_orderkey AS photo_id", "group_id", "det_seq AS reading_seq", "l_partkey % 12 AS m", f"{plate} AS t", "CASE WHEN l_linenumber = 7 THEN CAST(0 AS DOUBLE) ELSE l_quantity / CAST(64 AS DOUBLE) END AS confidence")
-    return rows.selectExpr("photo_id", "group_id", "reading_seq", f"{_DISTORTED} AS raw_text", "confidence")
+    silent = f"CASE WHEN l_linenumber = 7 THEN CAST(0 AS DOUBLE) ELSE {confidence} / CAST(64 AS DOUBLE) END AS confidence"
+    rows = rows.withColumn("group_id", F.col(vehicle)).selectExpr("l_orderkey AS photo_id", "owner", *names, f"{kind} % 12 AS m", f"{plate} AS t", silent)
+    return rows.selectExpr("photo_id", "owner AS group_id", *names, f"{_DISTORTED} AS raw_text", "confidence")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text a box, each of a photo's vehicle."""
+    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).withColumn("reading_seq", F.col("det_seq"))
+    return _distorted(rows, "l_partkey", "l_quantity", "owner", "reading_seq")
+
+
+def whole_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three whole-plate readings of each box; the second is unrestricted."""
+    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).selectExpr("*", "explode(sequence(1, 3)) AS reading_seq", "reading_seq <> 2 AS restricted")
+    return _distorted(rows, "(l_partkey + 5 * reading_seq)", "((l_quantity + 7 * reading_seq) % 50)", "shown", "det_seq", "reading_seq", "restricted")
 
 
 def field_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five readings of each of three fields of a photo's first detection."""
-    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir).where("det_seq = 1"))
-    rows = rows.selectExpr("l_orderkey AS photo_id", "group_id", "l_quantity", "l_partkey", "explode(array('digits', 'letter', 'region')) AS field")
+    """Five readings of each of three fields of each box, all restricted."""
+    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).withColumn("group_id", F.col("shown"))
+    rows = rows.selectExpr("l_orderkey AS photo_id", "det_seq", "owner", "group_id", "l_quantity", "l_partkey", "explode(array('digits', 'letter', 'region')) AS field")
     rows = rows.selectExpr("*", "explode(sequence(1, 5)) AS variant_no").selectExpr(
-        "photo_id", "group_id", "field", "variant_no", "(l_partkey + 7 * variant_no) % 10 AS z", "((l_quantity + 3 * variant_no) % 50) / CAST(64 AS DOUBLE) AS confidence",
+        "photo_id", "det_seq", "owner", "group_id", "field", "variant_no", "(l_partkey + 7 * variant_no) % 10 AS z", "((l_quantity + 3 * variant_no) % 50) / CAST(64 AS DOUBLE) AS confidence",
         f"CASE field WHEN 'digits' THEN CAST({_NUMBER} AS STRING) WHEN 'region' THEN {_REGION} WHEN 'letter' THEN CASE WHEN group_id % 10 = 9 THEN '' ELSE {_LETTER} END END AS t",
     )
     arabic = f"translate(t, '0123456789', '{ARABIC_DIGITS}')"
@@ -71,16 +93,19 @@ def field_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN z = 6 THEN {arabic}
       WHEN field = 'digits' THEN CASE z WHEN 7 THEN concat(substr(t, 1, 4), 'W') WHEN 8 THEN concat('1', substr(t, 2)) ELSE concat(t, '1') END
       ELSE CASE z WHEN 7 THEN 'X' WHEN 8 THEN '7' ELSE '123' END END"""
-    return rows.selectExpr("photo_id", "group_id", "field", "variant_no", f"{text} AS raw_text", "confidence")
+    return rows.selectExpr("photo_id", "owner AS group_id", "det_seq", "field", "variant_no", "true AS restricted", f"{text} AS raw_text", "confidence")
+
+
+def crop_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component statistics of each box's crop: those of the photo, moved along for each further box."""
+    n = F.count("*").over(Window.partitionBy("l_orderkey"))
+    rows = _lines(spark, sf_dir).withColumn("n", n).selectExpr("*", "explode(sequence(1, CAST(n AS INT))) AS crop")
+    return rows.selectExpr("l_orderkey AS photo_id", "crop AS det_seq", "det_seq AS comp_id", *_COMPONENT.format(by="17 * (crop - 1)").split("\n")).withColumn("area", F.col("w") * F.col("h"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).selectExpr(
-        "l_orderkey AS crop_id", "det_seq AS comp_id", "420 AS plate_w", "150 AS plate_h",
-        "CAST((l_partkey * 13 + l_linenumber * 29) % 400 AS INT) AS x", "CAST((l_suppkey * 11) % 60 AS INT) AS y",
-        "CAST(1 + l_suppkey % 20 AS INT) AS w", "CAST(1 + (l_partkey * 7) % 146 AS INT) AS h",
-    )
-    return rows.withColumn("area", F.col("w") * F.col("h"))
+    """Component statistics of one crop a photo."""
+    return _lines(spark, sf_dir).selectExpr("l_orderkey AS crop_id", "det_seq AS comp_id", *_COMPONENT.format(by="0").split("\n")).withColumn("area", F.col("w") * F.col("h"))
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
