@@ -73,7 +73,8 @@ def field_votes(readings: DataFrame, o: Options) -> DataFrame:
     letters = F.filter(F.split("text", ""), lambda c: c.isin(*LETTERS))
     texts = F.when(F.col("field") == "letter", letters).when(number, F.array("text"))
     each = normal.select(*DETECTION, "field", "variant_no", "confidence", F.posexplode(texts).alias("k", "text"))
-    return _tally(each, o, F.struct("variant_no", "k"), *DETECTION, "field")
+    # A number, so that votes are added up in hash tables: the rendering, then the place in its text.
+    return _tally(each, o, F.shiftleft(F.col("variant_no").cast("long"), 32) + F.col("k"), *DETECTION, "field")
 
 
 def field_winners(readings: DataFrame, o: Options, field: str) -> DataFrame:

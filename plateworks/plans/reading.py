@@ -44,15 +44,15 @@ def routed_votes(found: DataFrame, cuts: DataFrame, fields: DataFrame, whole: Da
     # Fields and whole plates are filtered before the costly part, the parsing of their readings.
     by_field = v.composed(fields.join(base.where("cut").select(*key), key, "left_semi"), o)
     by_field = by_field.select(*key, "digits", "letter", "region", F.col("plate_text").alias("f_text"), F.col("score").alias("f_weight"))
-    cut = base.join(by_field, key, "left")
+    read = base.join(by_field, key, "left")
     done = F.coalesce(F.col("cut") & F.col("f_text").isNotNull(), F.lit(False))
-    seq = F.coalesce("first_seq", F.lit(0)).alias("first_seq")
-    read = cut.where(done).select("photo_id", "det_index", F.lit(True).alias("segmented"), "digits", "letter", "region", F.col("f_text").alias("text"), F.col("f_weight").alias("weight"), F.lit(0).alias("first_seq"), "confidence")
-    left = cut.where(~done)
-    rest = left.join(v.whole_votes(whole.join(left.select(*key), key, "left_semi"), o), key, "left")
-    shown = lambda c: F.when(F.col("cut"), F.coalesce(c, F.lit("?"))).alias(c)
-    segmented = F.coalesce(F.col("cut") & F.col("text").isNull(), F.lit(False)).alias("segmented")
-    return read.unionByName(rest.select("photo_id", "det_index", segmented, shown("digits"), shown("letter"), shown("region"), "text", "weight", seq, "confidence"))
+    # Only detections that the fields left without a plate have whole votes.
+    tally = v.whole_votes(whole.join(read.where(~done).select(*key), key, "left_semi"), o)
+    both = read.join(tally, key, "left").withColumn("done", done)
+    shown = lambda c: F.when(F.col("done"), F.col(c)).when(F.col("cut"), F.coalesce(c, F.lit("?"))).alias(c)
+    pick = lambda own, other: F.when(F.col("done"), F.col(own)).otherwise(F.col(other)).alias(other)
+    segmented = F.col("done") | F.coalesce(F.col("cut") & F.col("text").isNull(), F.lit(False))
+    return both.select("photo_id", "det_index", segmented.alias("segmented"), shown("digits"), shown("letter"), shown("region"), pick("f_text", "text"), pick("f_weight", "weight"), F.coalesce("first_seq", F.lit(0)).alias("first_seq"), "confidence")
 
 
 def plate_readings(routed: DataFrame) -> DataFrame:
