@@ -39,7 +39,7 @@ class Options:
     head: int = 0
     bits: int = 20
     pair: float = 1.0
-    sample: int = 20_000
+    sample: int = 10_000
     held: int = 12_000_000
     epochs: int = 3
     alpha: float = 1.0
