@@ -135,12 +135,24 @@ class Automaton:
         return out
 
 
+#: The automaton that this worker built last, by its vocabulary.
+_BUILT: dict[int, Automaton] = {}
+
+
+def _automaton(pieces: list[str]) -> Automaton:
+    key = hash(tuple(pieces))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(pieces)
+    return _BUILT[key]
+
+
 def count_tokens(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_tokens, n_unknown of every whole text. The automaton's size is that of the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(shared.value)
+        automaton = _automaton(shared.value)
         for batch in slices(batches, "text", 4 << 20):
             words = Text(batch.column(1)).words()
             n = np.diff(words.first)
