@@ -102,18 +102,18 @@ def plate_body(components: DataFrame) -> DataFrame:
     return best.select("crop_id", pick("x", F.lit(0)), pick("y", F.lit(0)), pick("w", F.col("plate_w")), pick("h", F.col("plate_h")))
 
 
-def ocr_frames(cuts: DataFrame, o: Options) -> DataFrame:
+def ocr_frames(cuts: DataFrame, o: Options, keys: tuple[str, ...] = ("crop_id",)) -> DataFrame:
     """Size of each field's and whole plate's frame for recognition, and of the enlarged plate that bars are looked for in.
 
     Fields under three pixels have none.
     """
     fields = F.array(*(F.struct(F.lit(f).alias("field"), (F.col(f"{f}_end") - F.col(f"{f}_start")).alias("w"), F.col("plate_h").alias("h")) for f in ("digits", "letter", "region")))
-    each = cuts.where("is_complete").select("crop_id", F.inline(fields)).where(F.least("w", "h") >= 3)
+    each = cuts.where("is_complete").select(*keys, F.inline(fields)).where(F.least("w", "h") >= 3)
     wide = F.greatest(F.lit(1), (F.col("w") * (F.lit(float(OCR_HEIGHT)) / F.col("h"))).cast("int"))
-    framed = each.select("crop_id", "field", (wide + 2 * OCR_MARGIN).alias("frame_w"), F.lit(OCR_HEIGHT + 2 * OCR_MARGIN).alias("frame_h"))
+    framed = each.select(*keys, "field", (wide + 2 * OCR_MARGIN).alias("frame_w"), F.lit(OCR_HEIGHT + 2 * OCR_MARGIN).alias("frame_h"))
     sized = lambda name, by: F.struct(F.lit(name).alias("field"), *((F.col(f"plate_{s}") * F.lit(by)).cast("int").alias(f"frame_{s}") for s in "wh"))
     plates = F.array(sized("whole", o.ocr_upscale), sized("working", float(WORKING_SCALE)))
-    return framed.unionByName(cuts.select("crop_id", F.inline(plates)))
+    return framed.unionByName(cuts.select(*keys, F.inline(plates)))
 
 
 # Names of the renderings that a recogniser is shown.
@@ -121,22 +121,22 @@ FIELD_RENDERINGS = ("field", "field_clahe", "field_otsu", "field_adaptive", "fie
 WHOLE_RENDERINGS = ("colour", "grey", "clahe", "otsu", "adaptive", "otsu_inverted", "sharpened")
 
 
-def field_tasks(frames: DataFrame) -> DataFrame:
+def field_tasks(frames: DataFrame, keys: tuple[str, ...] = ("crop_id",)) -> DataFrame:
     names = F.posexplode(F.array(*map(F.lit, FIELD_RENDERINGS))).alias("k", "rendering")
-    return frames.where("field not in ('whole', 'working')").select("crop_id", "field", names).select("crop_id", "field", (F.col("k") + 1).alias("variant_no"), "rendering")
+    return frames.where("field not in ('whole', 'working')").select(*keys, "field", names).select(*keys, "field", (F.col("k") + 1).alias("variant_no"), "rendering")
 
 
-def whole_tasks(frames: DataFrame) -> DataFrame:
+def whole_tasks(frames: DataFrame, keys: tuple[str, ...] = ("crop_id",)) -> DataFrame:
     names = F.posexplode(F.array(*map(F.lit, WHOLE_RENDERINGS))).alias("k", "rendering")
-    each = frames.where("field = 'whole'").select("crop_id", names).select("crop_id", (F.col("k") + 1).alias("variant_no"), "rendering")
+    each = frames.where("field = 'whole'").select(*keys, names).select(*keys, (F.col("k") + 1).alias("variant_no"), "rendering")
     return each.withColumn("restricted", F.explode(F.array(F.lit(True), F.lit(False))))
 
 
-def ocr_tasks(frames: DataFrame) -> DataFrame:
+def ocr_tasks(frames: DataFrame, keys: tuple[str, ...] = ("crop_id",)) -> DataFrame:
     """All tasks of a recogniser, each with the alphabet that its answer is restricted to."""
     by_field = F.when(F.col("field") == "letter", "letters").otherwise("digits")
-    fields = field_tasks(frames).withColumn("alphabet", by_field)
-    whole = whole_tasks(frames).select("crop_id", F.lit("whole").alias("field"), "variant_no", "rendering", F.when(F.col("restricted"), "both").otherwise("any").alias("alphabet"))
+    fields = field_tasks(frames, keys).withColumn("alphabet", by_field)
+    whole = whole_tasks(frames, keys).select(*keys, F.lit("whole").alias("field"), "variant_no", "rendering", F.when(F.col("restricted"), "both").otherwise("any").alias("alphabet"))
     return fields.unionByName(whole)
 
 

@@ -1,81 +1,272 @@
 """Hooks for a user's recogniser and detector: batch functions run by mapInPandas.
 
-A backend is made once for each partition and called with a pandas frame of
-tasks; it returns a list of results for each row. If it fails on a batch, the
-batch is halved until the rows that fail are found; these give no results, and
-their errors are reported in their place instead of ending the job.
+A backend is a factory with options. What it makes is a function of a pandas
+frame of tasks, which returns a list of results for each row, or yields them one
+by one. It is made once for each Python worker and set of options. A row that
+fails gives no results, and its error is reported in their place instead of
+ending the job. If a function yields, the rows before the failing one keep their
+results, and it goes on after that; if it returns all at once, the rows of the
+failing batch are read one by one, so that none is read more than twice.
+:func:`isolated` runs a backend in a process of its own, which may exit or hang.
 """
 
 from __future__ import annotations
 
+import inspect
+import os
+import pickle
+import select
+import struct
+import subprocess
+import sys
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import islice
+from uuid import uuid4
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import LETTERS
 
 READING = "reading_seq int, raw_text string, confidence double"
 BOX = "det_seq int, x1 double, y1 double, x2 double, y2 double, confidence double"
 #: name -> factory of a batch function: frame of tasks -> a list of tuples for each row, without their numbers.
-BACKENDS: dict[str, Callable[[], Callable]] = {}
+BACKENDS: dict[str, Callable[..., Callable]] = {}
+#: What this process has made: the same options give the same function, whatever the task.
+_READY: dict[str, Callable] = {}
+#: Bytes of a batch of rows that goes to Python, unless the session sets its own or one row has more.
+BATCH_BYTES, _BATCH_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@dataclass(frozen=True)
+class Configured:
+    """A backend with its options; calling it gives the batch function."""
+
+    factory: Callable[..., Callable]
+    options: dict
+    key: str = field(default_factory=lambda: uuid4().hex)
+
+    def __call__(self) -> Callable:
+        if self.key not in _READY:
+            _READY[self.key] = self.factory(**self.options)
+        return _READY[self.key]
 
 
 def backends() -> list[str]:
     return sorted(BACKENDS)
 
 
-def backend(name: str) -> Callable[[], Callable]:
+def backend(name: str, **options) -> Configured:
     if name not in BACKENDS:
         raise ValueError(f"unknown backend {name!r}; known: {', '.join(backends())}")
-    return BACKENDS[name]
+    inspect.signature(BACKENDS[name]).bind(**options)
+    return Configured(BACKENDS[name], options)
 
 
-def run(tasks: DataFrame, make: Callable[[], Callable], results: str) -> DataFrame:
-    """The tasks' columns, those of ``results`` (the first numbers a task's results from 1), and error."""
-    own = tasks.columns
-    names = [c.split()[0] for c in results.split(", ")]
+def _said(e: BaseException) -> str:
+    return f"{type(e).__name__}: {e}"
 
-    def attempt(read: Callable, frame: pd.DataFrame) -> list[list[tuple] | str]:
-        """Results of each row, or its error."""
+
+def answers(read: Callable, frame: pd.DataFrame) -> list[list[tuple] | str]:
+    """Results of each row, or its error."""
+    out: list[list[tuple] | str] = []
+    while len(out) < len(frame):
+        rest, got, found, error = frame[len(out) :], [], None, None
         try:
-            found = read(frame)
-            if len(found) != len(frame):
-                raise ValueError(f"{len(found)} results for {len(frame)} tasks")
-            return found
+            found = read(rest)
+            for one in found:
+                got.append(one)
+            if len(got) != len(rest):
+                raise ValueError(f"{len(got)} results for {len(rest)} tasks")
         except Exception as e:  # noqa: BLE001  a bad photo must not end the job
-            half = len(frame) // 2
-            return attempt(read, frame[:half]) + attempt(read, frame[half:]) if half else [f"{type(e).__name__}: {e}"]
+            error = _said(e)
+        if error is None:
+            out += got
+        elif inspect.isgenerator(found) and len(got) < len(rest):
+            out += [*got, error]
+        elif len(rest) == 1:
+            out.append(error)
+        else:
+            out += [one for k in range(len(rest)) for one in answers(read, rest[k : k + 1])]
+    return out
+
+
+def _each(frame: pd.DataFrame, column: str) -> pd.DataFrame:
+    """A row for each item of a list column, with its fields as columns; other values are shared, not copied."""
+    whole = frame.explode(column).dropna(subset=[column])
+    items = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in whole.pop(column)]
+    return pd.concat([whole.reset_index(drop=True), pd.DataFrame(items)], axis=1)
+
+
+def run(tasks: DataFrame, make: Callable[[], Callable], results: str, unseen: tuple[str, ...] = (), each: str | None = None) -> DataFrame:
+    """The tasks' columns, those of ``results`` (the first numbers a task's results from 1), and error.
+
+    Columns in ``unseen`` go to the backend and no further, as the bytes of a
+    photo do. ``each`` names a column of lists of structs; the backend gets a row
+    for each item, so that a crop goes to Python once with all its tasks. Batches
+    are bounded in bytes; a larger row is a batch of its own.
+    """
+    spark = tasks.sparkSession
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    own = {c: t for c, t in tasks.dtypes if c not in unseen and c != each}
+    if each:
+        own |= dict(tasks.select(F.inline(each)).dtypes)
+    names = [c.split()[0] for c in results.split(", ")]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = make()
-        for frame in frames:
+        for whole in frames:
+            frame = _each(whole, each) if each and len(whole) else whole
             rows = []
-            for k, each in enumerate(attempt(read, frame) if len(frame) else []):
-                if isinstance(each, str):
-                    rows.append((k, 0, *[None] * (len(names) - 1), each))
+            for k, found in enumerate(answers(read, frame) if len(frame) else []):
+                if isinstance(found, str):
+                    rows.append((k, 0, *[None] * (len(names) - 1), found))
                 else:
-                    rows += [(k, n, *r, None) for n, r in enumerate(each, 1)]
+                    rows += [(k, n, *r, None) for n, r in enumerate(found, 1)]
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["_task", *names, "error"])
-            left = frame.iloc[out.pop("_task").astype(int).to_numpy()].reset_index(drop=True)
+            left = frame[list(own)].iloc[out.pop("_task").astype(int).to_numpy()].reset_index(drop=True)
             yield pd.concat([left, out], axis=1)
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in tasks.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in own.items())
     return tasks.mapInPandas(batches, f"{kinds}, {results}, error string").select(*own, *names, "error")
 
 
-def echo_reader() -> Callable:
+def remaining(tasks: DataFrame, answered: DataFrame, *keys: str) -> DataFrame:
+    """Tasks that no answer, failed ones included, is there for yet: what is left of a job that ended early."""
+    return tasks.join(answered.select(*keys).distinct(), [*keys], "left_anti")
+
+
+def _receive(pipe: int, seconds: float | None) -> object:
+    """The next message of a pipe."""
+
+    def exactly(n: int) -> bytes:
+        out = b""
+        while len(out) < n:
+            left = None if end is None else max(0.0, end - time.monotonic())
+            if not select.select([pipe], [], [], left)[0]:
+                raise TimeoutError(f"no answer within {seconds:g} s")
+            part = os.read(pipe, min(1 << 20, n - len(out)))
+            if not part:
+                raise EOFError
+            out += part
+        return out
+
+    end = None if seconds is None else time.monotonic() + seconds
+    return pickle.loads(exactly(struct.unpack("<q", exactly(8))[0]))  # noqa: S301  from our own process
+
+
+def _send(pipe, message: object) -> None:
+    data = pickle.dumps(message)
+    pipe.write(struct.pack("<q", len(data)) + data)
+    pipe.flush()
+
+
+class Child:
+    """A process that holds a backend and answers frames, a message for each row."""
+
+    def __init__(self, make: Callable[[], Callable], seconds: float):
+        self.code, self.seconds, self.process = cloudpickle.dumps(make), seconds, None
+
+    def _ask(self, frame: pd.DataFrame) -> Iterator[list[tuple] | str]:
+        if self.process is None:
+            env = os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, sys.path))}
+            self.process = subprocess.Popen([sys.executable, "-c", f"from {__name__} import serve; serve()"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=env)
+            _send(self.process.stdin, self.code)
+        _send(self.process.stdin, frame)
+        for _ in range(len(frame)):
+            yield _receive(self.process.stdout.fileno(), self.seconds)
+
+    def close(self) -> int | None:
+        if self.process is None:
+            return None
+        self.process.kill()
+        code = self.process.wait()
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process = None
+        return code
+
+    def __call__(self, frame: pd.DataFrame) -> Iterator[list[tuple] | str]:
+        """Results or an error for each row; the process is replaced when it has died or takes too long."""
+        k, alone = 0, False
+        while k < len(frame):
+            began, to = k, k + 1 if alone else len(frame)
+            try:
+                for one in self._ask(frame[k:to]):
+                    yield one
+                    k += 1
+            except (EOFError, BrokenPipeError, TimeoutError) as e:
+                code = self.process.poll() if self.process else None
+                self.close()
+                if k == began and to - k > 1:
+                    alone = True  # nothing tells which row it was
+                    continue
+                yield _said(e) if isinstance(e, TimeoutError) else f"ChildProcessError: ended with {code}"
+                k += 1
+
+
+def isolated(make: Callable[[], Callable], seconds: float = 60.0) -> Configured:
+    """The backend in a process of its own: one that exits, or takes longer than that for a row, costs that row only.
+
+    A backend that yields its rows one by one is told apart by row at once. One
+    that returns a batch gets the time for the batch, and where it dies, its rows
+    are asked one by one.
+    """
+    return Configured(Child, {"make": make, "seconds": seconds})
+
+
+def serve() -> None:
+    """The other side of :class:`Child`."""
+    said = os.fdopen(os.dup(1), "wb")
+    os.dup2(2, 1)  # what a backend prints must not mix with its answers
+    read = cloudpickle.loads(_receive(0, None))()
+    try:
+        while True:
+            frame = _receive(0, None)
+            found = None
+            try:
+                found = read(frame)
+            except Exception as e:  # noqa: BLE001
+                found = _said(e)
+            if inspect.isgenerator(found):
+                done = 0
+                while done < len(frame):
+                    try:
+                        for one in islice(found, len(frame) - done):
+                            _send(said, one)
+                            done += 1
+                        missing = f"ValueError: {done} results for {len(frame)} tasks"
+                    except Exception as e:  # noqa: BLE001
+                        missing = _said(e)
+                    if done < len(frame):
+                        _send(said, missing)
+                        done += 1
+                        found = read(frame[done:]) if done < len(frame) else None
+            else:
+                for one in found if isinstance(found, list) and len(found) == len(frame) else answers(read, frame):
+                    _send(said, one)
+    except EOFError:
+        pass
+
+
+def echo_reader(seed: int = 0) -> Callable:
     """A stand-in for a recogniser, which makes up each crop's plate from its number."""
 
-    def read(tasks: pd.DataFrame) -> list[list[tuple[str, float]]]:
-        out = []
+    def read(tasks: pd.DataFrame) -> Iterator[list[tuple[str, float]]]:
         for t in tasks.itertuples(index=False):
-            if t.crop_id % 11 == 0 and t.variant_no == 1:
+            crop = (t.crop_id if "crop_id" in tasks else t.photo_id * 1000 + t.det_seq) + seed
+            if crop % 11 == 0 and t.variant_no == 1:
                 raise ValueError("no image")
-            parts = {"digits": str(10000 + t.crop_id % 90000), "letter": LETTERS[t.crop_id % len(LETTERS)], "region": str(1 + t.crop_id % 89)}
+            parts = {"digits": str(10000 + crop % 90000), "letter": LETTERS[crop % len(LETTERS)], "region": str(1 + crop % 89)}
             text = parts.get(t.field) or ("-" if t.alphabet == "any" else "").join(parts.values())
-            out.append([(text, t.variant_no / 8)])
-        return out
+            yield [(text, t.variant_no / 8)]
 
     return read
 

@@ -12,6 +12,7 @@ from ..operators import votes as v
 from ..options import Options
 from ..sources import fixtures as x
 from . import reading as r
+from . import staged as st
 from .sql import QUERIES_SQL as SQL  # noqa: F401
 
 
@@ -45,6 +46,13 @@ class Tables:
     def routed(self) -> DataFrame:
         return r.routed_votes(self.detections(), b.field_cuts(self.crops, v.DETECTION), self.fields, self.whole, self.o)
 
+    def staged(self, read=None) -> st.Staged:
+        """Two-phase recognition; the recogniser's answers are the tables of readings, unless one is given."""
+        return st.staged(self.detections(), b.field_cuts(self.crops, v.DETECTION), read or st.replayed(self.fields, self.whole), self.o)
+
+    def echoed(self) -> st.Staged:
+        return self.staged(lambda tasks: stages.run(tasks, stages.backend("echo", seed=3), stages.READING))
+
     def read(self) -> DataFrame:
         return r.plate_readings(self.routed())
 
@@ -120,6 +128,10 @@ _BY_NAME = {
     "recogniser_stage": lambda t: t.answered().where("error is null").drop("error"),
     "recogniser_errors": lambda t: t.answered().where("error is not null").groupBy("error").agg(F.count("*").alias("n")),
     "recogniser_plates": lambda t: v.composed(t.answered_fields(), t.o).drop("det_seq"),
+    "staged_readings": lambda t: t.staged().readings(),
+    "staged_calls": lambda t: t.staged().calls(),
+    "staged_quarantine": lambda t: t.echoed().quarantine(),
+    "staged_recogniser": lambda t: t.echoed().readings(),
     "detector_stage": lambda t: r.detections(stages.run(t.photos.select("photo_id", "img_w", "img_h"), stages.centre_detector, stages.BOX).where("error is null").drop("img_w", "img_h"), t.photos, t.o),
 }
 

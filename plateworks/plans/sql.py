@@ -74,6 +74,19 @@ def _parse_steps(p: str, readings: str) -> dict[str, str]:
     }
 
 
+def _read_steps(p: str, base: str) -> dict[str, str]:
+    """Votes that count and one reading for each detection."""
+    return {
+        f"{p}routed": f"""SELECT photo_id, det_index, true AS segmented, digits, letter, region, f_text AS text, f_weight AS weight, 0 AS first_seq, confidence FROM {base} WHERE cut AND f_text IS NOT NULL
+        UNION ALL SELECT r.photo_id, r.det_index, r.cut AND w.text IS NULL, CASE WHEN cut THEN coalesce(digits, '?') END, CASE WHEN cut THEN coalesce(letter, '?') END, CASE WHEN cut THEN coalesce(region, '?') END,
+          w.text, w.weight, coalesce(w.first_seq, 0), r.confidence FROM {base} r LEFT JOIN whole_votes w ON w.photo_id = r.photo_id AND w.det_seq = r.det_seq WHERE NOT (cut AND f_text IS NOT NULL)""",
+        f"{p}read0": f"SELECT photo_id, det_index, segmented, digits, letter, region, confidence, arg_min(text, (-weight, first_seq)) AS plate_text, max(weight) AS weight FROM {p}routed GROUP BY 1, 2, 3, 4, 5, 6, 7",
+        f"{p}read": f"SELECT photo_id, det_index, segmented, digits, letter, region, plate_text, coalesce(plate_text, 'unreadable') AS text, round(coalesce(weight * confidence, 0), 12) AS score, confidence AS detector_confidence FROM {p}read0",
+    }
+
+
+_ASKED = f"{len(FIELD_RENDERINGS)} * (" + " + ".join(f"CASE WHEN least({f}_end - {f}_start, plate_h) >= 3 THEN 1 ELSE 0 END" for f in _FIELDS) + ")"
+
 _STEPS = {
     "photos": """SELECT o_orderkey AS photo_id, o_custkey AS group_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS position,
         CAST(640 + (o_orderkey % 3) * 320 AS INT) AS img_w, CAST(480 + (o_orderkey % 3) * 120 AS INT) AS img_h,
@@ -140,11 +153,11 @@ _STEPS = {
         FROM digits_won d FULL JOIN letter_won l USING (photo_id, det_seq) FULL JOIN region_won r USING (photo_id, det_seq)""",
     "routed0": """SELECT b.photo_id, b.det_seq, b.det_index, b.confidence, coalesce(c.is_complete, false) AS cut, f.digits, f.letter, f.region, f.plate_text AS f_text, f.score AS f_weight
         FROM found b LEFT JOIN crop_cuts c ON c.crop_id = b.photo_id * 1000 + b.det_seq LEFT JOIN composed f ON f.photo_id = b.photo_id AND f.det_seq = b.det_seq""",
-    "routed": """SELECT photo_id, det_index, true AS segmented, digits, letter, region, f_text AS text, f_weight AS weight, 0 AS first_seq, confidence FROM routed0 WHERE cut AND f_text IS NOT NULL
-        UNION ALL SELECT r.photo_id, r.det_index, r.cut AND w.text IS NULL, CASE WHEN cut THEN coalesce(digits, '?') END, CASE WHEN cut THEN coalesce(letter, '?') END, CASE WHEN cut THEN coalesce(region, '?') END,
-          w.text, w.weight, coalesce(w.first_seq, 0), r.confidence FROM routed0 r LEFT JOIN whole_votes w ON w.photo_id = r.photo_id AND w.det_seq = r.det_seq WHERE NOT (cut AND f_text IS NOT NULL)""",
-    "read0": "SELECT photo_id, det_index, segmented, digits, letter, region, confidence, arg_min(text, (-weight, first_seq)) AS plate_text, max(weight) AS weight FROM routed GROUP BY 1, 2, 3, 4, 5, 6, 7",
-    "read": "SELECT photo_id, det_index, segmented, digits, letter, region, plate_text, coalesce(plate_text, 'unreadable') AS text, round(coalesce(weight * confidence, 0), 12) AS score, confidence AS detector_confidence FROM read0",
+    **_read_steps("", "routed0"),
+    "staged0": "SELECT r.photo_id, r.det_seq, det_index, confidence, cut, "
+    + ", ".join(f"CASE WHEN least({f}_end - {f}_start, plate_h) >= 3 THEN {f} END AS {f}, least({f}_end - {f}_start, plate_h) >= 3 AS {f}_asked" for f in _FIELDS)
+    + f", CASE WHEN {_ASKED} = 15 THEN f_text END AS f_text, f_weight, CASE WHEN cut THEN CAST({_ASKED} AS BIGINT) ELSE 0 END AS asked FROM routed0 r LEFT JOIN crop_cuts c ON c.crop_id = r.photo_id * 1000 + r.det_seq",
+    **_read_steps("staged_", "staged0"),
     "best": """SELECT photo_id, det_index, plate_text, text, score FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY plate_text IS NULL, CASE WHEN plate_text IS NOT NULL THEN -score END, CASE WHEN plate_text IS NOT NULL THEN -detector_confidence END, det_index) AS k FROM read) WHERE k = 1""",
     "results": """SELECT p.photo_id, p.group_id, p.position, coalesce(n.n, 0) AS n_readings, r.plate_text, r.text FROM photos p LEFT JOIN best r USING (photo_id) LEFT JOIN (SELECT photo_id, count(*) AS n FROM read GROUP BY 1) n USING (photo_id)""",
     "group_votes": """SELECT group_id, text, round(sum(weight * confidence), 12) AS weight, min((position, det_index, first_seq)) AS first_seq FROM routed JOIN photos USING (photo_id) WHERE text IS NOT NULL GROUP BY 1, 2""",
@@ -156,6 +169,11 @@ _STEPS = {
 }
 _WITH = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _STEPS.items())
 
+_ECHOED_TASKS = f"""SELECT photo_id, det_seq, field, CAST(k AS INT) AS variant_no, ({_names(FIELD_RENDERINGS)})[k] AS rendering, CASE field WHEN 'letter' THEN 'letters' ELSE 'digits' END AS alphabet
+        FROM staged0, (SELECT unnest({_names(_FIELDS)}) AS field), (SELECT unnest(range(1, 6)) AS k) WHERE cut AND CASE field WHEN 'digits' THEN digits_asked WHEN 'letter' THEN letter_asked ELSE region_asked END
+        UNION ALL SELECT photo_id, det_seq, 'whole', CAST(k AS INT), ({_names(WHOLE_RENDERINGS)})[k], alphabet FROM staged0, (SELECT unnest(range(1, 8)) AS k), (SELECT unnest(['both', 'any']) AS alphabet) WHERE asked < 15"""
+_SHOWN = ", ".join(f"CASE WHEN cut THEN CASE WHEN {f}_asked THEN {c} ELSE '?' END END AS {f}" for f, c in zip(_FIELDS, "dlg", strict=True))
+
 _SELECT = {
     "photo_manifest": "SELECT photo_id, group_id, position, path FROM photos WHERE regexp_matches(path, '(?i)\\.(jpg|jpeg|png|bmp|webp)$')",
     "missing_photos": "SELECT * FROM missing",
@@ -218,6 +236,13 @@ _SELECT = {
         CASE WHEN count(DISTINCT field) = 3 THEN round(sum(confidence), 6) ELSE 0 END AS score FROM echoed WHERE field <> 'whole' GROUP BY 1""",
     "detector_stage": f"""SELECT photo_id, 1 AS det_seq, x1, y1, x2, y2, CAST(0.5 AS DOUBLE) AS confidence, 1 AS det_index FROM (SELECT photo_id,
         greatest(0, {_int(f'img_w / 4 - img_w / 2 * {_P}')}) AS x1, greatest(0, {_int(f'img_h / 4 - img_h / 2 * {_P}')}) AS y1, least(img_w, {_int(f'img_w * 3 / 4 + img_w / 2 * {_P}')}) AS x2, least(img_h, {_int(f'img_h * 3 / 4 + img_h / 2 * {_P}')}) AS y2 FROM photos)""",
+    "staged_readings": "SELECT * FROM staged_read",
+    "staged_calls": "SELECT photo_id, det_index, asked AS field_calls, w AS whole_calls, asked + w AS calls FROM (SELECT *, CAST(CASE WHEN cut AND f_text IS NOT NULL THEN 0 ELSE 14 END AS BIGINT) AS w FROM staged0)",
+    "staged_quarantine": f"SELECT *, 'ValueError: no image' AS error FROM ({_ECHOED_TASKS}) WHERE (photo_id * 1000 + det_seq + 3) % 11 = 0 AND variant_no = 1",
+    "staged_recogniser": f"""SELECT photo_id, det_index, asked = 15 AS segmented, {_SHOWN}, d || '-' || l || '-' || g AS plate_text, d || '-' || l || '-' || g AS text,
+        round((CASE WHEN asked = 15 THEN 3 * (15 - lost) ELSE 2 * (28 - lost) END) / CAST(8 AS DOUBLE) * confidence, 12) AS score, confidence AS detector_confidence
+        FROM (SELECT *, CAST(10000 + crop % 90000 AS VARCHAR) AS d, substr('{LETTERS}', CAST(crop % 6 + 1 AS INT), 1) AS l, CAST(1 + crop % 89 AS VARCHAR) AS g, CASE WHEN crop % 11 = 0 THEN 1 ELSE 0 END AS lost
+          FROM (SELECT *, photo_id * 1000 + det_seq + 3 AS crop FROM staged0))""",
     "preview_pick": "SELECT group_id, arg_min(photo_id, position) AS photo_id, arg_min(text, position) AS text FROM results WHERE n_readings > 0 GROUP BY 1",
 }
 QUERIES_SQL = {name: f"{_WITH}\n{body}" for name, body in _SELECT.items()}
