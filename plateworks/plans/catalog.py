@@ -11,6 +11,9 @@ from ..operators import stages
 from ..operators import votes as v
 from ..options import Options
 from ..sources import fixtures as x
+from ..sources.files import write_files
+from ..sources.saved import folder, saved
+from . import documents as d
 from . import reading as r
 from . import staged as st
 from .sql import QUERIES_SQL as SQL  # noqa: F401
@@ -69,6 +72,19 @@ class Tables:
     def agreed(self) -> DataFrame:
         return r.agreement(self.plates(), self.results())
 
+    def kept(self) -> "Tables":
+        """The same tables with all votes saved, for queries that need their readings several times."""
+        votes = saved(self.routed(), "votes")
+        self.routed = lambda: votes
+        return self
+
+    def written(self, pieces: DataFrame, file: str, name: str) -> DataFrame:
+        """group_id and the text of each vehicle's file, written to a folder and read back."""
+        path = folder(self.photos.sparkSession, "vehicles")
+        write_files(pieces, path, d.ORDER)
+        files = self.photos.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file).load(path)
+        return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).cast("long").alias("group_id"), F.col("content").cast("string").alias(name))
+
     def report(self) -> DataFrame:
         return r.report_rows(self.photos, self.read(), self.detections())
 
@@ -123,6 +139,8 @@ _BY_NAME = {
     "activity_log": lambda t: r.activity_log(t.photos, t.read()),
     "plate_report_rows": lambda t: t.report(),
     "plate_report_json": lambda t: r.report_json(t.photos, t.report(), t.agreed()),
+    "written_documents": lambda t: (lambda k: k.written(d.document_pieces(k.photos, k.report(), k.agreed()), d.DOCUMENT, "document"))(t.kept()),
+    "written_logs": lambda t: (lambda k: k.written(d.log_pieces(r.activity_log(k.photos, k.read()), r.run_summary(k.agreed(), r.missing(k.photos, k.listing))), d.LOG, "log"))(t.kept()),
     "preview_pick": lambda t: r.preview_pick(t.results()),
     "votes_map": lambda t: _votes_json(t.votes()),
     "recogniser_stage": lambda t: t.answered().where("error is null").drop("error"),

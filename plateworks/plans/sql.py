@@ -245,4 +245,7 @@ _SELECT = {
           FROM (SELECT *, photo_id * 1000 + det_seq + 3 AS crop FROM staged0))""",
     "preview_pick": "SELECT group_id, arg_min(photo_id, position) AS photo_id, arg_min(text, position) AS text FROM results WHERE n_readings > 0 GROUP BY 1",
 }
+_SELECT["written_documents"] = _SELECT["plate_report_json"]
+_SELECT["written_logs"] = f"""SELECT group_id, lines || chr(10) || line || chr(10) || coalesce(agreement_line || chr(10), '') AS log FROM ({_SELECT["run_summary"]}) JOIN (
+        SELECT group_id, string_agg(line || chr(10), '' ORDER BY position, line_no) AS lines FROM ({_SELECT["activity_log"]}) GROUP BY 1) USING (group_id)"""
 QUERIES_SQL = {name: f"{_WITH}\n{body}" for name, body in _SELECT.items()}
