@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import repair_digits
 from ..operators import boxes as b
-from ..operators import stages
+from ..operators import crowded, stages
 from ..operators import votes as v
 from ..options import Options
 from ..sources import fixtures as x
@@ -106,6 +106,8 @@ _BY_NAME = {
     "padded_boxes": lambda t: t.padded(),
     "overlap_pairs": lambda t: b.overlap_pairs(t.padded(), t.o),
     "dedup_boxes": lambda t: b.deduplicated(t.padded(), t.o),
+    "crowded_pairs": lambda t: crowded.overlap_pairs(t.padded(), t.o),
+    "crowded_boxes": lambda t: crowded.suppressed(t.padded(), t.o, limit=4),
     "detection_index": lambda t: t.detections().select("photo_id", "det_seq", "det_index"),
     "crop_manifest": lambda t: r.crop_manifest(t.detections(), t.photos),
     "separator_bars": lambda t: b.separator_bars(t.components).select("crop_id", "comp_id", "x", "w"),
