@@ -28,22 +28,33 @@ _FOLDS += [(chr(zero + d), str(d)) for zero in (0x660, 0x6F0) for d in range(10)
 FOLD_FROM, FOLD_TO = ("".join(side) for side in zip(*_FOLDS, strict=True))
 #: Texts of these characters alone come out the same with and without compatibility decomposition.
 _GUARDED = "".join(sorted((set(FOLD_FROM) | set(LETTERS)) - {"ۀ", "ٵ", "\\", "-"}))
-GUARD = "^[\\x00-\\x1f\\x20-\\x7e\u200e\u200f\u064b-\u065f\u0670" + _GUARDED + "]*$"
+#: Those among them that are dropped: control characters, and marks that combine.
+DROPPED = "\\x00-\\x1f\u200e\u200f\u064b-\u065f\u0670"
+GUARD = "^[\\x20-\\x7e" + DROPPED + _GUARDED + "]*$"
 
 #: Sizes of a plate's number and region, of a temporary plate's number, and what ends that.
 NUMBER_SIZE, REGION_SIZE, TEMPORARY_SIZE, TEMPORARY_END = (1, 5), (1, 2), (5, 6), "WW"
 
 
 def fold(text: Column) -> Column:
-    """Canonical form of decomposed text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{C}\p{M}]", "")
+    """Canonical form of text that is guarded, or decomposed and stripped."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{DROPPED}]", "")
     upper = F.upper(F.translate(bare, FOLD_FROM, FOLD_TO))
     return F.btrim(F.regexp_replace(F.regexp_replace(upper, r"\p{Z}+", " "), "-{2,}", "-"), F.lit(" -"))
 
 
+def stripped(text: str) -> str:
+    """Text in compatibility decomposition, without control characters and marks that combine.
+
+    A mark combines if it has a combining class; enclosing and spacing marks and
+    variation selectors have none, and stay.
+    """
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c)[0] != "C")
+
+
 @F.pandas_udf(StringType())
 def _decompose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore") if text.notna().any() else text
+    return text.map(stripped, na_action="ignore") if text.notna().any() else text
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

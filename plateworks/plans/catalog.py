@@ -13,6 +13,7 @@ from ..options import Options
 from ..sources import fixtures as x
 from ..sources.files import write_files
 from ..sources.saved import folder, saved
+from ..streaming import plates as running
 from . import documents as d
 from . import reading as r
 from . import staged as st
@@ -85,6 +86,11 @@ class Tables:
         files = self.photos.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file).load(path)
         return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).cast("long").alias("group_id"), F.col("content").cast("string").alias(name))
 
+    def streamed(self, batches: int = 3) -> DataFrame:
+        """Plates and agreement of a stream that gets the photos in batches."""
+        rows = running.photo_rows(self.photos, self.routed(), r.photo_best(self.read()))
+        return running.in_batches(saved(rows, "photos"), folder(self.photos.sparkSession, "stream"), batches)
+
     def report(self) -> DataFrame:
         return r.report_rows(self.photos, self.read(), self.detections())
 
@@ -136,6 +142,7 @@ _BY_NAME = {
     "photo_results": lambda t: t.results(),
     "group_votes": lambda t: t.votes().select("group_id", "text", "weight"),
     "group_plate": lambda t: t.plates(),
+    "running_plates": lambda t: t.kept().streamed(),
     "agreement": lambda t: t.agreed(),
     "run_summary": lambda t: r.run_summary(t.agreed(), r.missing(t.photos, t.listing)),
     "activity_log": lambda t: r.activity_log(t.photos, t.read()),

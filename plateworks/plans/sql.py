@@ -246,6 +246,7 @@ _SELECT = {
     "preview_pick": "SELECT group_id, arg_min(photo_id, position) AS photo_id, arg_min(text, position) AS text FROM results WHERE n_readings > 0 GROUP BY 1",
 }
 _SELECT |= {"crowded_pairs": _SELECT["overlap_pairs"], "crowded_boxes": _SELECT["dedup_boxes"]}
+_SELECT["running_plates"] = "SELECT group_id, plate, score, agreeing, n_images FROM agreed JOIN plates USING (group_id, plate) UNION ALL SELECT group_id, plate, NULL, agreeing, n_images FROM agreed WHERE plate IS NULL"
 _SELECT["written_documents"] = _SELECT["plate_report_json"]
 _SELECT["written_logs"] = f"""SELECT group_id, lines || chr(10) || line || chr(10) || coalesce(agreement_line || chr(10), '') AS log FROM ({_SELECT["run_summary"]}) JOIN (
         SELECT group_id, string_agg(line || chr(10), '' ORDER BY position, line_no) AS lines FROM ({_SELECT["activity_log"]}) GROUP BY 1) USING (group_id)"""

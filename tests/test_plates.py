@@ -35,7 +35,7 @@ CASES = {
 def _model(raw):
     """The rules for one text, in plain Python: canonical text and plate."""
     fold = dict(zip(tx.FOLD_FROM, tx.FOLD_TO, strict=True))
-    kept = [c for c in unicodedata.normalize("NFKD", raw or "") if unicodedata.category(c)[0] not in "CM"]
+    kept = [c for c in unicodedata.normalize("NFKD", raw or "") if not unicodedata.combining(c) and unicodedata.category(c)[0] != "C"]
     normal = "".join(fold.get(c, c) for c in kept).upper()
     normal = " ".join(normal.split())
     while "--" in normal:
@@ -73,14 +73,22 @@ def test_plate_texts(spark, rule):
 
 def test_random_texts_equal_the_model(spark):
     rng = random.Random(11)
-    parts = [*"0123456789OIZ|wW -/_\t", *tx.LETTERS, "\u0627", "\u0665", "\u00e9", "\u0632", "\ufb01", "\u0301", "WW", "-", " ", "12", "345"]
+    parts = [*"0123456789OIZ|wW -/_\t", *tx.LETTERS, "\u0627", "\u0665", "\u00e9", "\u0632", "\ufb01", "\u0301", "\ufe0f", "\u20e3", "\u034f", "\U000e0100", "\U0001f1e6", "WW", "-", " ", "12", "345"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(3000)]
-    texts += [f"{rng.randrange(10 ** rng.randrange(1, 7))}{rng.choice(parts)}{rng.choice(tx.LETTERS)}{rng.choice(parts)}{rng.randrange(120)}" for _ in range(1000)]
+    texts += [f"{rng.randrange(10 ** rng.randrange(1, 7))}{rng.choice(parts)}{rng.choice(tx.LETTERS)}{rng.choice(parts)}{rng.randrange(120)}" for _ in range(1500)]
     got = [(r.normal_text, r.plate_text) for r in _parse(spark, texts)]
     want = [_model(t) for t in texts]
     assert got == want and sum(p is not None for _, p in want) > 150
 
 
+def test_marks_without_a_class_stay_and_others_go(spark):
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M" and unicodedata.normalize("NFKD", chr(c)) == chr(c)]
+    got = [r.normal_text for r in _parse(spark, [f"12{m}3" for m in marks])]
+    want = [_model(f"12{m}3")[0] for m in marks]
+    kept = [g for g in got if g != "123"]
+    assert got == want and len(kept) == sum(not unicodedata.combining(m) for m in marks) > 1400
+
+
 def _boxes(spark, rows):
     return spark.createDataFrame(rows, "photo_id long, det_seq int, x1 int, y1 int, x2 int, y2 int, confidence double")
 
