@@ -12,9 +12,12 @@ as it goes, and stops at the first block that is too short for all of them;
 only pairs whose bounds reach a threshold are scored exactly.
 
 Vectors that are null, empty or hold a null or non-finite component, and rows
-without an id, take no part. Shorter vectors count as filled up with zeros. Of
-rows with one id, the least vector counts. Ties go to the smaller id. Empty
-tables give an empty result. Columns other than id and vector are not read.
+without an id, take no part. Shorter vectors count as filled up with zeros. Each
+row is a candidate, repeated ones too, for all queries of other ids; the rows of
+one id that ask make one query, whose best scores are those of any of them. Ties
+go to the smaller id. Components whose products may not fit in 64 bits raise an
+error. Empty tables give an empty result. Columns other than id and vector are
+not read.
 """
 
 from __future__ import annotations
@@ -40,13 +43,13 @@ CHUNK, STAGES = 256, (0.25, 0.5)
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (floor(SCALE * x) of each component), norm2."""
+    """id, v (floor(SCALE * x) of each component), norm2, and row, which tells rows of one id apart."""
     x = F.transform(vector_col, lambda c: c.cast("double"))
     whole = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = F.transform(x, lambda c: F.floor(SCALE * c).cast("long"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     rows = df.where(F.col(id_col).isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("norm2", norm2)
+    return rows.withColumns({"norm2": norm2, "row": F.monotonically_increasing_id()})
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -179,16 +182,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     """query_id, rank, vec_id, score: each query's k largest integer inner products with other rows."""
     rows = save(quantised(bounded(vectors), id_col, vector_col), "vectors")
     asked = save(quantised(queries, id_col, vector_col), "asked")
-    total, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    n_asked, asked_dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))
+    total, dim, high = rows.agg(F.count("*"), F.max(F.size("v")), largest).first()
+    n_asked, asked_dim, asked_high = asked.agg(F.count("*"), F.max(F.size("v")), largest).first()
     schema = "query_id long, vec_id long, score long"
     if not total or not n_asked:
         return rows.sparkSession.createDataFrame([], "query_id long, `rank` int, vec_id long, score long")
     dim = max(dim, asked_dim)
+    if high * asked_high * dim >= 2.0**63:
+        raise ValueError("components are too large for inner products of 64 bits")
     basis = rows.sparkSession.sparkContext.broadcast(_rotation(rows, dim))
     parts = max(1, -(-total // (RUN * BLOCK)))
-    # Ids break ties of length, so that copies of one vector spread over partitions.
-    ordered = rows.repartitionByRange(parts, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
+    # Ids and rows break ties of length, so that copies of one vector, or of one row, spread over partitions.
+    ordered = rows.repartitionByRange(parts, F.desc("norm2"), "id", "row").sortWithinPartitions(F.desc("norm2"), "id", "row")
     blocks = save(_blocks(ordered, BLOCK, dim), "blocks")
     # One block, of BLOCK vectors at most, whatever the size of the table.
     longest = blocks.orderBy("block").limit(1).toArrow().to_pylist()[0]

@@ -237,15 +237,28 @@ def test_top_k_equals_sql(spark, monkeypatch, small):
     rows[11] = (11, [float("nan")] * 8)
     rows[13] = (13, [None] * 8)
     rows += [(i, rows[60][1]) for i in range(400, 420)] + [rows[60]]
+    rows += [(k, rows[j][1]) for k, j in ((100, 7), (100, 8), (33, 21), (33, 22), (33, 22), (150, 150))]  # rows of one id, some of them asking
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("norm2", F.lit("x"))
     got = topk.top_k(df, df.where("vec_id % 50 = 0")).toPandas()
-    embeddings = df.drop("norm2").distinct().toArrow()  # noqa: F841
+    embeddings = df.drop("norm2").toArrow()  # noqa: F841
     want = duckdb.sql(topk.OP1_SQL).df()
     key = ["query_id", "rank"]
     assert got.sort_values(key).reset_index(drop=True).equals(want.sort_values(key).reset_index(drop=True).astype(got.dtypes.to_dict()))
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_takes_every_row_of_an_id_and_refuses_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [5.0, 5.0]), (1, [1.0, 0.0]), (2, [2.0, 2.0]), (1, [5.0, 5.0])], "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1, 655_360), (2, 1, 655_360), (3, 2, 262_144), (4, 1, 65_536)]
+    for large in (1e8, 1e17):
+        with pytest.raises(ValueError, match="too large"):
+            more = df.union(spark.createDataFrame([(9, [large, 1.0])], df.schema))
+            topk.top_k(more, more.where("vec_id % 9 = 0"))
+    wide = df.withColumn("embedding", F.transform("embedding", lambda x: (x * 1e6).cast("float")))
+    assert topk.top_k(wide, wide.where("vec_id = 0")).where("rank = 1").first().score == 655_360 * 10**12
+
+
 def test_decontamination_finds_changed_numbers(spark, none):
     item = "Anna has 12 apples and gives 5 apples to each of her 12 friends in the town before the long rain comes down"
     changed = item.replace("12", "31").replace("5", "8")
