@@ -98,9 +98,10 @@ class Leader:
 def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Non-zero weights (feature, weight) learned from at most ``o.sample`` labelled rows.
 
-    The rows are those whose ids have the smallest hashes, in that order as many
-    as ``o.held`` features allow, so the sample is the same at each run; both
-    numbers bound what the training task reads and holds.
+    The rows are those whose ids have the smallest hashes; in that order each is
+    held that still fits into ``o.held`` features, and a longer one is passed over.
+    So the sample is the same at each run; both numbers bound what the training
+    task reads and holds.
     Null ids and labels are left out; the largest label counts if an id has
     several. Without labelled rows there are no weights.
     """
@@ -125,15 +126,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str, o: Options, id_col: st
         for batch in batches:
             at, x = (Text(batch.column(c)) for c in (2, 3))
             spans = at.bounds // 4
-            # Rows that no longer fit are read past, not held.
-            fit = int(np.searchsorted(spans, room, "right")) - 1 if room >= 0 else 0
+            fit = []
+            for k, size in enumerate(np.diff(spans).tolist()):
+                if size <= room:
+                    room -= size
+                    fit.append(k)
             if not fit:
-                room = -1
                 continue
-            room = room - int(spans[fit]) if fit == batch.num_rows else -1
-            cuts = spans[: fit + 1].tolist()
-            seen += [(len(held), a, b, y) for a, b, y in zip(cuts[:-1], cuts[1:], batch.column(1).to_pylist()[:fit], strict=True)]
-            held.append((at.data.view("<i4")[: cuts[-1]].copy(), x.data.view("<f4")[: cuts[-1]].copy()))
+            cuts = np.concatenate(([0], np.cumsum(np.diff(spans)[fit]))).tolist()
+            y = batch.column(1).to_pylist()
+            seen += [(len(held), a, b, y[k]) for a, b, k in zip(cuts[:-1], cuts[1:], fit, strict=True)]
+            whole = [t.data.view(kind) for t, kind in ((at, "<i4"), (x, "<f4"))]
+            held.append(tuple(np.concatenate([w[spans[k] : spans[k + 1]] for k in fit]) for w in whole))
             rows += np.bincount(held[-1][0], minlength=len(rows)).astype(np.int32)
         often = rows >= o.min_rows
         leader = Leader(o)
