@@ -16,7 +16,9 @@ item's, and ``LEAST`` at least (or all, if the item has fewer), be it of all
 windows or of those met as templates.
 
 Null and blank texts have no windows; an item of fewer words than a window is one
-window, which is looked for at every place of a document. Rows without an id
+window, which is looked for at every place of a document. Items of fewer than
+``OWN`` words say too little for that: they are found where their raw words are a
+whole document or a line of their own. Rows without an id
 take no part; repeated rows count once; empty tables give an empty result.
 Columns other than id and text are not read.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import save
 
 WINDOW, LITERALS, SHARE, LEAST = 8, 4, 0.1, 2
+#: Words from which an item is looked for inside lines.
+OWN = 4
 #: Words of a verbatim passage that counts beside inconsistent slots.
 RUN = 13
 #: Benchmark windows, and documents with hits, that may be broadcast (at most about 40 bytes each).
@@ -89,7 +93,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataF
     length = F.size(window)
     literal = F.size(F.filter(window, _literal)) >= F.least(F.lit(LITERALS), length)
     key = lambda exact, w: F.struct(F.lit(exact).alias("exact"), _hash(w, exact).alias("hash"))
-    keys = F.when(~literal, F.array(key(True, raw))).when(length < WINDOW, F.array(key(False, window), key(True, raw))).otherwise(F.array(key(False, window)))
+    keys = F.when(~literal | (length < OWN), F.array(key(True, raw))).when(length < WINDOW, F.array(key(False, window), key(True, raw))).otherwise(F.array(key(False, window)))
     kept = at.select("item_id", "ipos", length.alias("length"), F.explode(keys).alias("key")).select("item_id", "ipos", "length", "key.exact", "key.hash").distinct()
     counts = kept.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))).alias("template_windows"))
     return kept.join(counts, "item_id")
@@ -120,18 +124,28 @@ def _verbatim(hits: DataFrame, edited: DataFrame) -> DataFrame:
     return runs.join(long, [*_LINE, "run"], "left_semi").select(hits.columns)
 
 
+def _own_lines(texts: DataFrame) -> DataFrame:
+    """id, dpos, exact, hash of the raw words of whole texts and of lines, where they are fewer than OWN."""
+    lines = texts.select("id", F.explode_outer(F.concat(F.split("text", r"[\r\n]+"), F.array("text"))).alias("line"))
+    words = _both_words(lines, "id", "line")
+    return words.where(F.size("raws").between(1, OWN - 1)).select("id", F.lit(0).alias("dpos"), F.lit(True).alias("exact"), _hash(F.col("raws"), True).alias("hash"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows, item_windows, changed_slots: one row for each document and item that contaminates it."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = save(benchmark_windows(items, "item_id", "text"), "windows")
     # An outer generator: of an inner one Spark infers a filter, which would compute all windows a second time.
-    kinds = sorted((r.length, r.exact) for r in wanted.select("length", "exact").distinct().collect()) or [(WINDOW, False)]
+    found = sorted((r.length, r.exact) for r in wanted.select("length", "exact").distinct().collect())
+    kinds = [k for k in found if k[0] >= OWN] or [(WINDOW, False)]
     places = F.concat(*(_places(F.col("raws" if exact else "words"), n, exact) for n, exact in kinds))
     own = _both_words(texts, "id", "text").select("id", F.explode_outer(places).alias("at")).select("id", "at.dpos", "at.exact", "at.hash")
     shift = (F.col("dpos") - F.col("ipos")).alias("shift")
-    hits = own.join(_bounded(wanted), ["exact", "hash"]).select("id", "item_id", shift, "ipos", "exact", "item_windows", "template_windows").distinct()
-    hits = save(hits, "hits")
+    hits = own.join(_bounded(wanted.where(F.col("length") >= OWN)), ["exact", "hash"])
+    if kinds != found:
+        hits = hits.unionByName(_own_lines(texts).join(_bounded(wanted.where(F.col("length") < OWN)), ["exact", "hash"]))
+    hits = save(hits.select("id", "item_id", shift, "ipos", "exact", "item_windows", "template_windows").distinct(), "hits")
 
     found = _bounded(save(hits.select("id").distinct(), "ids"))
     islots = _slots(items, "item_id", "text", "ipos", "ivalue")
@@ -165,20 +179,24 @@ WITH t AS (
   UNION ALL SELECT false, item_id, {_SQL_RAW} FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT d, id, raw, CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(regexp_replace({_SQL_NAMED}, '[0-9]+(#[0-9]+)?', '0', 'g'), '(0 )(?i:{'|'.join(UNITS)})\b', '\1%', 'g') ELSE {_SQL_NAMED} END AS tpl FROM t),
 w AS (SELECT d, id, regexp_extract_all(lower(tpl), '[\p{{L}}\p{{N}}@%#]+') AS ws, regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}@%#]+') AS rs FROM c),
-p AS (SELECT d, id, unnest(range(0, greatest(len(ws) - 7, 1))) AS pos, ws FROM w WHERE len(ws) > 0),
-x AS (SELECT d, id, pos, ws[pos + 1:pos + 8] AS win FROM p),
-b AS (SELECT DISTINCT id AS item_id, pos AS ipos, array_to_string(win, ' ') AS k FROM x
-      WHERE NOT d AND len(list_filter(win, lambda y: y NOT IN ('0', '@', '%'))) >= least(4, len(win))),
-n AS (SELECT item_id, count(*) AS item_windows FROM b GROUP BY 1),
-h AS (SELECT DISTINCT x.id, b.item_id, x.pos - b.ipos AS shift, b.ipos FROM x JOIN b ON x.d AND array_to_string(x.win, ' ') = b.k),
+g AS (SELECT DISTINCT least(len(ws), 8) AS n FROM w WHERE NOT d AND len(ws) >= 4),
+p AS (SELECT d, id, ws, rs, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM w, g WHERE len(ws) >= n AND (d OR n = least(len(ws), 8))),
+x AS (SELECT d, id, pos, n, ws[pos + 1:pos + n] AS win, 't ' || array_to_string(ws[pos + 1:pos + n], ' ') AS tk, 'r ' || array_to_string(rs[pos + 1:pos + n], ' ') AS rk FROM p),
+b AS (SELECT DISTINCT id AS item_id, pos AS ipos, unnest(CASE WHEN len(list_filter(win, lambda y: y NOT IN ('0', '@', '%'))) < 4 THEN [rk] WHEN n < 8 THEN [tk, rk] ELSE [tk] END) AS k FROM x WHERE NOT d
+      UNION SELECT id, 0, 'l ' || array_to_string(rs, ' ') FROM w WHERE NOT d AND len(ws) BETWEEN 1 AND 3),
+n AS (SELECT item_id, count(DISTINCT ipos) AS item_windows, count(DISTINCT CASE WHEN k LIKE 't %' THEN ipos END) AS template_windows FROM b GROUP BY 1),
+y AS (SELECT id, regexp_extract_all(lower({_SQL_RAW}), '[\p{{L}}\p{{N}}@%#]+') AS rs
+      FROM (SELECT doc_id AS id, unnest(list_append(string_split_regex(text, '[\r\n]+'), text)) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+o AS (SELECT id, pos, tk AS k FROM x WHERE d UNION ALL SELECT id, pos, rk FROM x WHERE d UNION ALL SELECT id, 0, 'l ' || array_to_string(rs, ' ') FROM y WHERE len(rs) BETWEEN 1 AND 3),
+h AS (SELECT DISTINCT o.id, b.item_id, o.pos - b.ipos AS shift, b.ipos, k LIKE 't %' AS tpl FROM o JOIN b USING (k)),
 s AS (SELECT d, id, pos - 1 AS pos, ws[pos] AS kind, rs[pos] AS val FROM (SELECT d, id, ws, rs, unnest(range(1, len(ws) + 1)) AS pos FROM w) WHERE ws[pos] IN ('0', '@', '%')),
-cov AS (SELECT DISTINCT id, item_id, shift, unnest(range(ipos, ipos + 8)) AS ipos FROM h),
+cov AS (SELECT DISTINCT id, item_id, shift, unnest(range(ipos, ipos + 8)) AS ipos FROM h WHERE tpl),
 v AS (SELECT cov.id, cov.item_id, cov.shift, i.kind, i.val AS iv, min(o.val) AS low, max(o.val) AS high
       FROM cov JOIN s i ON NOT i.d AND i.id = cov.item_id AND i.pos = cov.ipos
       JOIN s o ON o.d AND o.id = cov.id AND o.pos = cov.ipos + cov.shift AND o.kind = i.kind GROUP BY 1, 2, 3, 4, 5),
 a AS (SELECT id, item_id, shift, max(CAST(low <> high AS INT)) AS torn, sum(CAST(low <> iv AS INT)) AS changed FROM v GROUP BY 1, 2, 3),
-r AS (SELECT h.id, h.item_id, count(DISTINCT h.ipos) AS n_windows, coalesce(max(a.changed), 0) AS changed_slots
+r AS (SELECT h.id, h.item_id, count(DISTINCT h.ipos) AS n_windows, count(DISTINCT CASE WHEN tpl THEN h.ipos END) AS n_template, coalesce(max(a.changed), 0) AS changed_slots
       FROM h LEFT JOIN a USING (id, item_id, shift) WHERE coalesce(torn, 0) = 0 GROUP BY 1, 2)
-SELECT r.id AS doc_id, r.item_id, r.n_windows, n.item_windows, CAST(r.changed_slots AS BIGINT) AS changed_slots
-FROM r JOIN n USING (item_id) WHERE n_windows >= greatest(least(2, item_windows), ceil(item_windows * 0.1))
+SELECT r.id AS doc_id, r.item_id, r.n_windows, n.item_windows, CAST(r.changed_slots AS BIGINT) AS changed_slots FROM r JOIN n USING (item_id)
+WHERE n_windows >= greatest(least(2, item_windows), ceil(item_windows * 0.1)) OR (n_template > 0 AND n_template >= greatest(least(2, template_windows), ceil(template_windows * 0.1)))
 """
