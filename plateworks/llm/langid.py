@@ -275,12 +275,16 @@ def score(docs: DataFrame, models: DataFrame | None, id_col: str = "doc_id", tex
     state = bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
     passes = 0
     if models is not None:
-        # One row a language, so this unpartitioned window is short.
-        upto = F.sum("size").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1))
-        dealt = models.withColumn("_pass", F.floor(F.coalesce(upto, F.lit(0)) / PASS_BYTES))
-        numbers = [r[0] for r in dealt.select("_pass").distinct().orderBy("_pass").collect()]
-        for passes, k in enumerate(numbers, 1):
-            state = _scored(state, load(dealt.where(F.col("_pass") == k)), keep, limit, passes == len(numbers))
+        # Names and sizes alone, one row a language; the models themselves are read by the pass that needs them.
+        turns, size = [[]], 0
+        for r in models.select("lang", "size").orderBy("lang").collect():
+            if size and size + r["size"] > PASS_BYTES:
+                turns.append([])
+                size = 0
+            turns[-1].append(r["lang"])
+            size += r["size"]
+        for passes, langs in enumerate(filter(None, turns), 1):
+            state = _scored(state, load(models.where(F.col("lang").isin(langs))), keep, limit, passes == len(turns))
     if not passes:
         state = _scored(state, [], keep, limit, True)
     return state.select(F.col("_id").alias(id_col), *keep, F.col("_best").alias("best"), (1 / F.col("_total")).alias("score"), F.col("_low").alias("entropy"), F.col("_n").alias("n"), F.col("_fits").alias("accepted"))
