@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = final.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     classes = copies.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "n")
     out = with_class(sketch.select("id", "n_shingles", "digest"), save(classes, "classes"), "digest")
-    out = out.join(few(of.withColumnsRenamed({"rep": "id", "component": "linked"})), "id", "left")
+    # Rows without an id are not dealt out by it.
+    known = out.where("id is not null").join(few(of.withColumnsRenamed({"rep": "id", "component": "linked"})), "id", "left")
+    out = known.unionByName(out.where("id is null"), allowMissingColumns=True)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("digest").isNotNull(), F.col("linked")), "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
     for t in (reps, members, rest):

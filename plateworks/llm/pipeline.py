@@ -35,16 +35,23 @@ def _least(docs: DataFrame) -> Column:
 
 
 def _vertices(docs: DataFrame) -> DataFrame:
-    """vertex, text, _row: one vertex for each id and text. The first text of an id has that id; others get numbers above usual ids."""
+    """vertex, text, _row: one vertex for each id and text. The first text of an id has that id; others get numbers above all ids."""
     digest = F.xxhash64("text")
     texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"))
     several = save(texts.where("first <> last").select(F.col("doc_id").alias("vertex"), "first"), "several")
-    rows = docs.select(F.col("doc_id").alias("vertex"), "text", F.struct("*").alias("_row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("vertex"), "text", F.struct("*").alias("_row"))
     if not several.head(1):
-        return rows.withColumn("vertex", F.col("vertex").cast("long"))
+        return rows
     rows = rows.join(few(several), "vertex", "left")
-    own, high = F.col("vertex").cast("long"), F.xxhash64("vertex", "text").bitwiseAND(2**61 - 1).bitwiseOR(2**62)
-    return rows.select(F.when(digest != F.col("first"), high).otherwise(own).alias("vertex"), "text", "_row")
+    other = rows.where(digest != F.col("first")).withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    least, most = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    number = F.monotonically_increasing_id()
+    # Above all ids, so that they give way to near copies; below, where there is no room above.
+    vertex = F.lit(most) + 1 + number if most < 2**62 else F.lit(least) - 1 - number
+    numbers = save(other.select(F.col("vertex").alias("_id"), "digest").distinct().select("_id", "digest", vertex.alias("number")), "numbers")
+    named = other.withColumnRenamed("vertex", "_id").join(few(numbers), ["_id", "digest"]).withColumnRenamed("number", "vertex")
+    own = rows.where("first is null").unionByName(rows.where(digest == F.col("first")))
+    return own.select("vertex", "text", "_row").unionByName(named.select("vertex", "text", "_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

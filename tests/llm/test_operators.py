@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plateworks.llm import decontaminate, langid, linear, neardup, packing, quality, shared, sstable, topk, warc, wordpiece
+from plateworks.llm import decontaminate, langid, linear, neardup, packing, pipeline, quality, shared, sstable, topk, warc, wordpiece
 from plateworks.llm.encode import vocabulary
 from plateworks.llm.shared import shared_dir
 
@@ -289,10 +289,16 @@ def test_decontamination_takes_lists_and_fractions_number_by_number(spark):
 def test_decontamination_finds_short_items_in_long_documents(spark):
     filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = [(1, f"{filler}. What is the capital of France? {filler}"), (2, filler), (3, "What is the capital of France?"), (4, f"{filler} blue cheese"), (5, "blue"), (6, f"{filler}. What is the capital city of France? {filler}")]
+    rows += [(7, f"{filler}\r\n - Blue  cheese!\n{filler}"), (8, "blue cheese"), (9, "oh yes it was a fine day for all of us here"), (10, "Yes."), (11, "oh, yes"), (12, f"{filler} 7 times 8 makes {filler}"), (13, f"{filler} 6 times 8 makes {filler}"), (14, "yes\nyes"), (15, None)]
+    items = [(1, "What is the capital of France?"), (2, "Blue cheese"), (3, "yes"), (4, "7 times 8 makes"), (5, " ?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Blue cheese")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert got == {(1, 1, 1, 1), (3, 1, 1, 1), (4, 2, 1, 1)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
+    # Items of under four words are found alone in a line or document only.
+    assert {r[:4] for r in got} == {(1, 1, 1, 1), (3, 1, 1, 1), (7, 2, 1, 1), (8, 2, 1, 1), (10, 3, 1, 1), (12, 4, 1, 1), (14, 3, 1, 1)}
+    documents, benchmark = docs.toArrow(), bench.toArrow()  # noqa: F841
+    want = duckdb.sql(decontaminate.OP9_SQL).df()
+    assert got == set(want[["doc_id", "item_id", "n_windows", "item_windows", "changed_slots"]].itertuples(index=False, name=None))
 
 
 def test_decontamination_counts_verbatim_passages_beside_torn_slots(spark):
@@ -377,3 +383,27 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     assert once.columns == docs.columns and sorted([(r.doc_id, r.text) for r in once.collect()], key=key) == sorted(set(rows), key=key)
     left = c.decontamination(spark, once, SF)
     assert left.columns == docs.columns and sorted([(r.doc_id, r.text) for r in left.collect()], key=key) == sorted(set(rows) - {(3, leak)}, key=key)
+
+
+@pytest.mark.parametrize("most", [7, 2**62 + 5, 2**63 - 1])
+def test_pipeline_numbers_further_texts_of_an_id_apart_from_all_ids(spark, most):
+    rows = [(5, "a"), (5, "b"), (5, "b"), (5, None), (5, ""), (6, "b"), (most, "c"), (None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline._vertices(docs).collect()
+    of = {}
+    for r in got:
+        of.setdefault((r._row.doc_id, r.text), set()).add(r.vertex)
+    assert len(got) == len(rows) and all(len(v) == 1 for v in of.values())
+    known = [next(iter(v)) for (i, _), v in of.items() if i is not None]
+    assert len(set(known)) == len(known) == 6 and 5 in known and of[None, "b"] == {None}
+    ids = {5, 6, most}
+    assert all(v in ids or v > most or v < 5 for v in known)
+
+
+def test_near_duplicates_without_broadcasts(spark, docs, monkeypatch):
+    key = lambda r: (str(r.doc_id), r.n_shingles)
+    more = docs.unionByName(spark.createDataFrame([(None, BASE, None, None, None, None, None)] * 3, DOC))
+    want = sorted(neardup.near_duplicates(more).collect(), key=key)
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    got = sorted(neardup.near_duplicates(more).collect(), key=key)
+    assert got == want and {(r.component_id, r.kept) for r in got if r.doc_id is None} == {(None, True)}
