@@ -66,6 +66,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns as :func:`once` does, in generated code, and with what they have in common computed once.
+
+    What the optimiser takes to differ from row to row it neither copies into
+    other steps nor filters ahead of; here that is a part which is never used.
+    """
+    never = F.when(F.spark_partition_id() < 0, F.lit(None))
+    return df.withColumns({n: F.coalesce(c, never) for n, c in columns.items()})
+
+
 def with_normal_text(df: DataFrame, source: str, target: str = "normal_text") -> DataFrame:
     """Add the canonical text; texts of usual characters alone reach Python as nulls."""
     odd = F.when(~F.coalesce(F.col(source), F.lit("")).rlike(GUARD), F.col(source))
@@ -93,18 +103,18 @@ def with_plate(df: DataFrame, text: str = "normal_text") -> DataFrame:
     plate, even if its numbers can't be repaired.
     """
     cut = F.split(F.regexp_replace(text, f"[ -]*([{LETTERS}])[ -]*", "-$1-"), "-")
-    out = once(df, _cut=cut, _tight=F.translate(text, " ", ""))
+    out = held(df, _cut=cut, _tight=F.translate(text, " ", ""))
     first, middle, last = (F.get("_cut", k) for k in range(3))
     standard = (F.size("_cut") == 3) & middle.isin(*LETTERS) & _sized(first, NUMBER_SIZE) & _sized(last, REGION_SIZE)
     dash = F.col("_tight").endswith(f"-{TEMPORARY_END}").cast("int")
     head = F.substring("_tight", F.lit(1), F.length("_tight") - len(TEMPORARY_END) - dash)
     temporary = F.col("_tight").endswith(TEMPORARY_END) & _sized(head, TEMPORARY_SIZE)
     number = F.when(standard, first).when(temporary, head)
-    out = once(out, _standard=standard, _number=repair_digits(number), _region=repair_digits(F.when(standard, last)), _letter=middle)
+    out = held(out, _standard=standard, _number=repair_digits(number), _region=repair_digits(F.when(standard, last)), _letter=middle)
     whole = F.col("_standard") & F.col("_number").isNotNull() & F.col("_region").isNotNull()
     found = whole | (~F.col("_standard") & F.col("_number").isNotNull())
     plate = F.when(whole, F.concat_ws("-", "_number", "_letter", "_region")).when(found, F.concat("_number", F.lit(f" {TEMPORARY_END}")))
-    out = once(out, digits=F.when(found, F.col("_number")), letter=F.when(whole, F.col("_letter")), region=F.when(whole, F.col("_region")), is_temporary=F.when(found, ~whole), plate_text=plate)
+    out = held(out, digits=F.when(found, F.col("_number")), letter=F.when(whole, F.col("_letter")), region=F.when(whole, F.col("_region")), is_temporary=F.when(found, ~whole), plate_text=plate)
     return out.drop("_cut", "_tight", "_standard", "_number", "_region", "_letter")
 
 
