@@ -24,7 +24,7 @@ class Tables:
     """The plate views of one folder, and the steps that several queries share."""
 
     def __init__(self, spark, sf_dir: str):
-        self.o = Options.of(spark)
+        self.o, self.source, self.is_numbered = Options.of(spark), (spark, sf_dir), False
         self.photos, self.listing, self.raw, self.readings, self.whole, self.fields, self.components, self.crops, self.levels = (
             f(spark, sf_dir) for f in (x.photos, x.listing, x.raw_boxes, x.readings, x.whole_readings, x.field_readings, x.components, x.crop_components, x.levels)
         )
@@ -47,11 +47,21 @@ class Tables:
     def detections(self) -> DataFrame:
         return r.detections(self.raw, self.photos, self.o)
 
+    def numbered(self) -> Tables:
+        """The same views over saved lines, which are then numbered once for all of them."""
+        if not self.is_numbered:
+            rows = saved(x.lines(*self.source), "lines")
+            self.raw, self.whole, self.fields, self.crops = (f(*self.source, rows) for f in (x.raw_boxes, x.whole_readings, x.field_readings, x.crop_components))
+            self.is_numbered = True
+        return self
+
     def routed(self) -> DataFrame:
+        self.numbered()
         return r.routed_votes(self.detections(), b.field_cuts(self.crops, v.DETECTION), self.fields, self.whole, self.o)
 
     def staged(self, read=None) -> st.Staged:
         """Two-phase recognition; the recogniser's answers are the tables of readings, unless one is given."""
+        self.numbered()
         return st.staged(self.detections(), b.field_cuts(self.crops, v.DETECTION), read or st.replayed(self.fields, self.whole), self.o)
 
     def echoed(self) -> st.Staged:
@@ -73,7 +83,7 @@ class Tables:
     def agreed(self) -> DataFrame:
         return r.agreement(self.plates(), self.results())
 
-    def kept(self) -> "Tables":
+    def kept(self) -> Tables:
         """The same tables with all votes saved, for queries that need their readings several times."""
         votes = saved(self.routed(), "votes")
         self.routed = lambda: votes

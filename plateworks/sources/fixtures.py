@@ -42,15 +42,17 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos(spark, sf_dir).where("photo_id % 11 <> 0")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that all box views are made of, numbered in each order, with the order's number of lines."""
     w = Window.partitionBy("l_orderkey")
     seq = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("det_seq", seq)
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return own.withColumns({"det_seq": seq, "n": F.count("*").over(w)}).drop("l_extendedprice")
 
 
-def raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_boxes(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     x1, y1 = "CAST((l_partkey % 3) * 190 + (l_suppkey % 5) * 7 - 4 AS DOUBLE)", "CAST((l_partkey % 2) * 6 + (l_suppkey % 3) - 1 AS DOUBLE)"
-    return _lines(spark, sf_dir).selectExpr("l_orderkey AS photo_id", "det_seq", f"{x1} AS x1", f"{y1} AS y1", f"{x1} + 70 + l_linenumber AS x2", f"{y1} + 25 AS y2", "l_quantity / CAST(64 AS DOUBLE) AS confidence")
+    return (numbered or lines(spark, sf_dir)).selectExpr("l_orderkey AS photo_id", "det_seq", f"{x1} AS x1", f"{y1} AS y1", f"{x1} + 70 + l_linenumber AS x2", f"{y1} + 25 AS y2", "l_quantity / CAST(64 AS DOUBLE) AS confidence")
 
 
 def _with_group(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
@@ -69,19 +71,19 @@ def _distorted(rows: DataFrame, kind: str, confidence: str, vehicle: str, *names
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text a box, each of a photo's vehicle."""
-    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).withColumn("reading_seq", F.col("det_seq"))
+    rows = _with_group(spark, sf_dir, lines(spark, sf_dir)).withColumn("reading_seq", F.col("det_seq"))
     return _distorted(rows, "l_partkey", "l_quantity", "owner", "reading_seq")
 
 
-def whole_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_readings(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     """Three whole-plate readings of each box; the second is unrestricted."""
-    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).selectExpr("*", "explode(sequence(1, 3)) AS reading_seq", "reading_seq <> 2 AS restricted")
+    rows = _with_group(spark, sf_dir, numbered or lines(spark, sf_dir)).selectExpr("*", "explode(sequence(1, 3)) AS reading_seq", "reading_seq <> 2 AS restricted")
     return _distorted(rows, "(l_partkey + 5 * reading_seq)", "((l_quantity + 7 * reading_seq) % 50)", "shown", "det_seq", "reading_seq", "restricted")
 
 
-def field_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def field_readings(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     """Five readings of each of three fields of each box, all restricted."""
-    rows = _with_group(spark, sf_dir, _lines(spark, sf_dir)).withColumn("group_id", F.col("shown"))
+    rows = _with_group(spark, sf_dir, numbered or lines(spark, sf_dir)).withColumn("group_id", F.col("shown"))
     rows = rows.selectExpr("l_orderkey AS photo_id", "det_seq", "owner", "group_id", "l_quantity", "l_partkey", "explode(array('digits', 'letter', 'region')) AS field")
     rows = rows.selectExpr("*", "explode(sequence(1, 5)) AS variant_no").selectExpr(
         "photo_id", "det_seq", "owner", "group_id", "field", "variant_no", "(l_partkey + 7 * variant_no) % 10 AS z", "((l_quantity + 3 * variant_no) % 50) / CAST(64 AS DOUBLE) AS confidence",
@@ -96,16 +98,15 @@ def field_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("photo_id", "owner AS group_id", "det_seq", "field", "variant_no", "true AS restricted", f"{text} AS raw_text", "confidence")
 
 
-def crop_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crop_components(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
     """Component statistics of each box's crop: those of the photo, moved along for each further box."""
-    n = F.count("*").over(Window.partitionBy("l_orderkey"))
-    rows = _lines(spark, sf_dir).withColumn("n", n).selectExpr("*", "explode(sequence(1, CAST(n AS INT))) AS crop")
+    rows = (numbered or lines(spark, sf_dir)).selectExpr("*", "explode(sequence(1, CAST(n AS INT))) AS crop")
     return rows.selectExpr("l_orderkey AS photo_id", "crop AS det_seq", "det_seq AS comp_id", *_COMPONENT.format(by="17 * (crop - 1)").split("\n")).withColumn("area", F.col("w") * F.col("h"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component statistics of one crop a photo."""
-    return _lines(spark, sf_dir).selectExpr("l_orderkey AS crop_id", "det_seq AS comp_id", *_COMPONENT.format(by="0").split("\n")).withColumn("area", F.col("w") * F.col("h"))
+    return lines(spark, sf_dir).selectExpr("l_orderkey AS crop_id", "det_seq AS comp_id", *_COMPONENT.format(by="0").split("\n")).withColumn("area", F.col("w") * F.col("h"))
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
