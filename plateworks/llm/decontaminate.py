@@ -180,8 +180,9 @@ WITH t AS (
 c AS (SELECT d, id, raw, CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(regexp_replace({_SQL_NAMED}, '[0-9]+(#[0-9]+)?', '0', 'g'), '(0 )(?i:{'|'.join(UNITS)})\b', '\1%', 'g') ELSE {_SQL_NAMED} END AS tpl FROM t),
 w AS (SELECT d, id, regexp_extract_all(lower(tpl), '[\p{{L}}\p{{N}}@%#]+') AS ws, regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}@%#]+') AS rs FROM c),
 g AS (SELECT DISTINCT least(len(ws), 8) AS n FROM w WHERE NOT d AND len(ws) >= 4),
-p AS (SELECT d, id, ws, rs, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM w, g WHERE len(ws) >= n AND (d OR n = least(len(ws), 8))),
-x AS (SELECT d, id, pos, n, ws[pos + 1:pos + n] AS win, 't ' || array_to_string(ws[pos + 1:pos + n], ' ') AS tk, 'r ' || array_to_string(rs[pos + 1:pos + n], ' ') AS rk FROM p),
+p AS (SELECT d, id, n, unnest(range(0, len(ws) - n + 1)) AS pos, unnest(list_transform(range(0, len(ws) - n + 1), lambda i: ws[i + 1:i + n])) AS win,
+      unnest(list_transform(range(0, len(ws) - n + 1), lambda i: rs[i + 1:i + n])) AS raws FROM w, g WHERE len(ws) >= n AND (d OR n = least(len(ws), 8))),
+x AS (SELECT d, id, pos, n, win, 't ' || array_to_string(win, ' ') AS tk, 'r ' || array_to_string(raws, ' ') AS rk FROM p),
 b AS (SELECT DISTINCT id AS item_id, pos AS ipos, unnest(CASE WHEN len(list_filter(win, lambda y: y NOT IN ('0', '@', '%'))) < 4 THEN [rk] WHEN n < 8 THEN [tk, rk] ELSE [tk] END) AS k FROM x WHERE NOT d
       UNION SELECT id, 0, 'l ' || array_to_string(rs, ' ') FROM w WHERE NOT d AND len(ws) BETWEEN 1 AND 3),
 n AS (SELECT item_id, count(DISTINCT ipos) AS item_windows, count(DISTINCT CASE WHEN k LIKE 't %' THEN ipos END) AS template_windows FROM b GROUP BY 1),
@@ -189,7 +190,7 @@ y AS (SELECT id, regexp_extract_all(lower({_SQL_RAW}), '[\p{{L}}\p{{N}}@%#]+') A
       FROM (SELECT doc_id AS id, unnest(list_append(string_split_regex(text, '[\r\n]+'), text)) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 o AS (SELECT id, pos, tk AS k FROM x WHERE d UNION ALL SELECT id, pos, rk FROM x WHERE d UNION ALL SELECT id, 0, 'l ' || array_to_string(rs, ' ') FROM y WHERE len(rs) BETWEEN 1 AND 3),
 h AS (SELECT DISTINCT o.id, b.item_id, o.pos - b.ipos AS shift, b.ipos, k LIKE 't %' AS tpl FROM o JOIN b USING (k)),
-s AS (SELECT d, id, pos - 1 AS pos, ws[pos] AS kind, rs[pos] AS val FROM (SELECT d, id, ws, rs, unnest(range(1, len(ws) + 1)) AS pos FROM w) WHERE ws[pos] IN ('0', '@', '%')),
+s AS (SELECT * FROM (SELECT d, id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS kind, unnest(rs) AS val FROM w) WHERE kind IN ('0', '@', '%')),
 cov AS (SELECT DISTINCT id, item_id, shift, unnest(range(ipos, ipos + 8)) AS ipos FROM h WHERE tpl),
 v AS (SELECT cov.id, cov.item_id, cov.shift, i.kind, i.val AS iv, min(o.val) AS low, max(o.val) AS high
       FROM cov JOIN s i ON NOT i.d AND i.id = cov.item_id AND i.pos = cov.ipos
