@@ -252,18 +252,21 @@ def _scored(docs: DataFrame, models: list[Model], keep: tuple[str, ...], limit:
             best = e.argmin(axis=1) if models else np.zeros(len(n), int)
             low = e[np.arange(len(e)), best] if models else np.zeros(len(n))
             total = np.exp(-(e - low[:, None]) * warm[:, None]).sum(axis=1)
-            fits = some & (low - mean[best] <= limit * spread[best] / np.sqrt(np.clip(n, 1, 400)))
+            room = limit * spread[best] / np.sqrt(np.clip(n, 1, 400))
+            fits = some & (low - mean[best] <= room)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                trust = np.where(fits, 1.0, np.exp(1 - (low - mean[best]) / room) / 2)
             lang = names[np.where(some, best, len(models))]
             if not first:
-                lang0, low0, total0, fits0 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_best", "_low", "_total", "_fits"))
+                lang0, low0, total0, fits0, trust0 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_best", "_low", "_total", "_fits", "_trust"))
                 new, least = low < low0, np.minimum(low, low0)
                 total = total * np.exp(-(low - least) * warm) + total0 * np.exp(-(low0 - least) * warm)
-                lang, fits, low = np.where(new, lang, lang0), np.where(new, fits, fits0), least
-            cols = [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(lang, pa.string()), pa.array(np.where(some, low, 0.0)), pa.array(np.where(some, total, np.inf)), pa.array(fits.astype(bool)), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "_best", "_low", "_total", "_fits", "_n"])
+                lang, fits, trust, low = np.where(new, lang, lang0), np.where(new, fits, fits0), np.where(new, trust, trust0), least
+            cols = [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(lang, pa.string()), pa.array(np.where(some, low, 0.0)), pa.array(np.where(some, total, np.inf)), pa.array(fits.astype(bool)), pa.array(np.where(some, trust, 0.0)), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "_best", "_low", "_total", "_fits", "_trust", "_n"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_best string, _low double, _total double, _fits boolean, _n long"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_best string, _low double, _total double, _fits boolean, _trust double, _n long"]))
 
 
 def score(docs: DataFrame, models: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), limit: float = 12.0) -> DataFrame:
@@ -271,6 +274,8 @@ def score(docs: DataFrame, models: DataFrame | None, id_col: str = "doc_id", tex
 
     Entropy counts as too high when it exceeds the language's mean by ``limit``
     of its spreads over the square root of n; short texts thus get more room.
+    The score is the language's share among all models; that of a rejected text
+    is at most half of it, and falls with what its entropy has beyond that room.
     """
     state = bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
     passes = 0
@@ -287,7 +292,7 @@ def score(docs: DataFrame, models: DataFrame | None, id_col: str = "doc_id", tex
             state = _scored(state, load(models.where(F.col("lang").isin(langs))), keep, limit, passes == len(turns))
     if not passes:
         state = _scored(state, [], keep, limit, True)
-    return state.select(F.col("_id").alias(id_col), *keep, F.col("_best").alias("best"), (1 / F.col("_total")).alias("score"), F.col("_low").alias("entropy"), F.col("_n").alias("n"), F.col("_fits").alias("accepted"))
+    return state.select(F.col("_id").alias(id_col), *keep, F.col("_best").alias("best"), (F.col("_trust") / F.col("_total")).alias("score"), F.col("_low").alias("entropy"), F.col("_n").alias("n"), F.col("_fits").alias("accepted"))
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

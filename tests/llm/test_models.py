@@ -103,6 +103,18 @@ def test_language_models_equal_dictionaries(spark):
     assert not other[9009] and not other[9002] and other[docs[0][0]]
 
 
+def test_rejected_texts_score_low(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.learn(docs)
+    foreign = "зовсім інша мова і інші літери "
+    rows = [(k, (foreign * 20)[:k]) for k in (1, 30, 600)] + [(5000, "Zażółć gęślą jaźń, a źrebię żuje siano w stajni. " * 12), (5001, "123")]
+    got = {r.doc_id: r for r in langid.score(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert not any(r.accepted for r in got.values())
+    assert got[600].score <= got[30].score <= 0.5 and got[1].score <= 0.5 and got[5000].score <= 0.5 and got[5001].score == 0.0
+    known = langid.score(docs, models)
+    assert known.where("accepted and score <= 0.5").count() <= 0.01 * known.count()
+
+
 def test_more_languages_than_one_pass_holds(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
