@@ -210,10 +210,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("page_id", "record_type", "refers_to", "payload", "payload_bytes", found.alias("payload_digest"), (found == stated).alias("digest_ok"))
 
 
+def whole(records: DataFrame) -> DataFrame:
+    """The same records; one whose payload differs from its stated digest is an error."""
+    damaged = F.raise_error(F.format_string("the payload of page %d differs from its digest", "page_id")).cast("string")
+    return records.withColumn("payload_digest", F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(damaged))
+
+
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return whole(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """
