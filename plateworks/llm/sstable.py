@@ -13,7 +13,7 @@ unsigned integers with the sign bit flipped, so byte order is number order;
 null ids have the empty key and come first. Values are ids, two bytes each
 where the vocabulary allows, else four. A manifest names each shard's first and
 last key and what it holds, so that a search opens only shards that may hold an
-asked-for id.
+asked-for id; the task that writes a shard writes its line of the manifest too.
 
 Null texts are empty documents (their end id alone). Repeated ids keep all
 their rows, ordered by a hash of their texts, and may lie in several shards.
@@ -22,12 +22,14 @@ Empty tables give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ MAGIC = b"PWSST001"
 END_ID, SECTION_BYTES, SHARD_TEXT_BYTES = 1, 64 << 10, 32 << 20
 _FOOTER = struct.Struct("<QQQQQQHHxxxx8s")
 _BLOOM_BITS, _BLOOM_PROBES = 10, 7
+#: Folders of the two kinds of files that tasks write.
+_SHARDS, _LINES = "kind=shard", "kind=line"
+_HELD = "shard int, low string, high string, n_docs long, n_ids long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -132,6 +137,21 @@ def shard_sections(rows: Iterator[tuple[int | None, np.ndarray]], width: int) ->
     yield _FOOTER.pack(index_at, len(index), bloom_at, bits, len(keys), n_ids, width, 1, MAGIC)
 
 
+class Held:
+    """What a shard holds, from the rows that pass on their way into it."""
+
+    def __init__(self):
+        self.low = self.high = ""
+        self.n_docs = self.n_ids = 0
+
+    def watch(self, rows: Iterator[tuple[int | None, np.ndarray]]) -> Iterator[tuple[int | None, np.ndarray]]:
+        for doc_id, ids in rows:
+            self.high = key_of(doc_id).hex()
+            self.low = self.low if self.n_docs else self.high
+            self.n_docs, self.n_ids = self.n_docs + 1, self.n_ids + len(ids)
+            yield doc_id, ids
+
+
 class Shard:
     """Reader of one shard's bytes."""
 
@@ -187,7 +207,13 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     vocab = tokenizer or vocabulary()
     width = width or (2 if max(vocabulary_size(vocab) - 1, end_id) < 1 << 16 else 4)
     slim = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not n:
+        docs.sparkSession.createDataFrame([], _HELD).write.parquet(f"{path}/_manifest")
+        return
+
+    def out(kind: str, at: int, section: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([at], pa.int32()), pa.array([section], pa.binary())], names=["kind", "at", "section"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -195,20 +221,23 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for batch in slices(batches, "text", ENCODE_BYTES):
                 yield from zip(batch.column(0).to_pylist(), encode(batch.column(1), vocab, end_id, memory), strict=True)
 
-        for section in shard_sections(rows(), width):
-            yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["section"])
+        held, at = Held(), -1
+        for at, section in enumerate(shard_sections(held.watch(rows()), width)):
+            yield out("shard", at, section)
+        if at >= 0:
+            yield out("line", 0, json.dumps({"shard": TaskContext.get().partitionId(), **vars(held)}).encode())
 
     # The texts' hashes part rows of one id, so that a repeated or null id fills more than one shard.
     order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
     parts = slim.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), *order).sortWithinPartitions(*order)
-    parts.mapInArrow(run, "section binary").select(F.col("section").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
-
-
+    # Files of both kinds come from one pass; in this order the writer needs no sort of its own.
+    sections = parts.mapInArrow(run, "kind string, at int, section binary").sortWithinPartitions("kind", "at")
+    sections.select("kind", F.col("section").cast("string")).write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
     _manifest(docs.sparkSession, path).write.parquet(f"{path}/_manifest")
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    f = spark.read.format("binaryFile").load(paths).where("length > 0")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("path").contains(f"/{_SHARDS}/"))
     return f.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content", "path")
 
 
@@ -222,16 +251,8 @@ def _scan(files: DataFrame, schema: str, rows_of) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """shard, path, low and high (hexadecimal keys), n_docs, n_ids of each shard, from its index and footer."""
-
-    def held(shard: int, s: Shard) -> Iterator[pa.RecordBatch]:
-        index = s.index()
-        low = next(_entries(s._section(*index[0][1:])))[0]
-        row = [shard, low.hex(), index[-1][0].hex(), s.n_docs, s.n_ids]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "low", "high", "n_docs", "n_ids"])
-
-    files = _files(spark, path)
-    return _scan(files, "shard int, low string, high string, n_docs long, n_ids long", held).join(files.select("shard", "path"), "shard")
+    """shard, low and high (hexadecimal keys), n_docs, n_ids of each shard, from the lines that its task wrote."""
+    return spark.read.text(f"{path}/{_LINES}").select(F.from_json("value", _HELD).alias("m")).select("m.*")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -268,8 +289,8 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     schema = "doc_id long, tokens binary"
     asked = spark.createDataFrame([(key_of(i).hex(),) for i in set(doc_ids)], "key string")
     near = spark.read.parquet(f"{path}/_manifest").join(F.broadcast(asked), F.col("key").between(F.col("low"), F.col("high")))
-    # As many paths at most as shards that may hold one of the ids.
-    paths = [r.path for r in near.select("path").distinct().collect()]
+    # As many paths at most as shards that may hold one of the ids; their files are named, not read.
+    paths = [r.path for r in _files(spark, path).join(F.broadcast(near.select("shard").distinct()), "shard", "left_semi").select("path").collect()]
     return _scan(_files(spark, paths), schema, hits) if paths else spark.createDataFrame([], schema)
 
 

@@ -140,6 +140,11 @@ def test_token_shards_part_repeated_ids_and_search_few_files(spark, monkeypatch)
     sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path)
     manifest = spark.read.parquet(f"{path}/_manifest").collect()
     assert len(manifest) > 5 and max(r.n_docs for r in manifest) < 400
+    shards = {r.shard: sstable.Shard(bytes(r.content)) for r in sstable._files(spark, path).collect()}
+    assert len(shards) == len(manifest)
+    for m in manifest:
+        ids = [i for i, _ in shards[m.shard].documents()]
+        assert (m.low, m.high, m.n_docs, m.n_ids) == (sstable.key_of(ids[0]).hex(), sstable.key_of(ids[-1]).hex(), len(ids), shards[m.shard].n_ids)
     got = sorted(sstable.read_shards(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None] * 600 + [7] * 300 + list(range(1000, 1100))
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
@@ -169,6 +174,15 @@ def test_warc_round_trip(spark):
     assert {r.payload.decode() for r in got if r.page_id == 1} == {big}
 
 
+def test_a_damaged_payload_is_an_error(spark):
+    rows = [(1, "aa", True), (2, "bb", None), (3, "cc", False)]
+    records = spark.createDataFrame(rows, "page_id long, payload_digest string, digest_ok boolean")
+    assert warc.whole(records.where("page_id = 1")).collect()[0].payload_digest == "aa"
+    for page in (2, 3):
+        with pytest.raises(Exception, match=f"page {page} differs"):
+            warc.whole(records.where(f"page_id = {page}")).collect()
+
+
 def test_warc_of_nothing_and_of_many_equal_pages(spark, monkeypatch):
     schema = "page_id long, url string, html string"
     path = shared_dir(spark, "w")
