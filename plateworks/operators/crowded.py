@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
 from ..options import Options
-from ..sources.saved import saved
+from ..sources.saved import large, saved
 from .boxes import BOX, deduplicated
 
 #: Boxes of a photo that are settled as a list, and rounds before the rest is settled in order.
@@ -62,7 +62,7 @@ def _meeting(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
     a = _cells(left, o.duplicate_iou, 1).select(*CELL, box("a"))
     b = _cells(right, o.duplicate_iou, 0).select(*CELL, box("b"))
     own = (F.least("a.lw", "b.lw") == F.col("gw")) & (F.least("a.lh", "b.lh") == F.col("gh"))
-    return a.join(b, [*CELL]).where(own & (F.col("a.det_seq") != F.col("b.det_seq"))).withColumn("iou", iou(F.col("a"), F.col("b"))).where(F.col("iou") >= o.duplicate_iou)
+    return a.join(large(b), [*CELL]).where(own & (F.col("a.det_seq") != F.col("b.det_seq"))).withColumn("iou", iou(F.col("a"), F.col("b"))).where(F.col("iou") >= o.duplicate_iou)
 
 
 def overlap_pairs(boxes: DataFrame, o: Options) -> DataFrame:
@@ -75,20 +75,30 @@ def _rank() -> Column:
     return (-F.col("confidence")).alias("rank")
 
 
-def _round(left: DataFrame, o: Options) -> DataFrame:
-    """photo_id, det_seq, kept of boxes that a round decides."""
+def _surest(left: DataFrame, o: Options) -> DataFrame:
+    """The boxes that a round keeps, saved."""
     order = F.struct(*ORDER)
     home = _cells(left, o.duplicate_iou, 0)
     tops = home.groupBy(*CELL).agg(F.min(order).alias("top"))
     firsts = tops.groupBy("photo_id", "top").agg(F.count("*").alias("n")).where("n = 4").select("photo_id", "top.*")
     # Only the surest of its own cells looks around.
-    asking = _cells(left.join(firsts.select("photo_id", "det_seq"), ["photo_id", "det_seq"], "left_semi"), o.duplicate_iou, 1)
-    beaten = asking.join(tops, [*CELL]).where(F.col("top") < order).select("photo_id", "det_seq").distinct()
-    kept = saved(left.join(firsts.select("photo_id", "det_seq"), ["photo_id", "det_seq"], "left_semi").join(beaten, ["photo_id", "det_seq"], "left_anti"), "kept")
+    sure = saved(left.join(large(firsts.select("photo_id", "det_seq")), ["photo_id", "det_seq"], "left_semi"), "sure")
+    asking = _cells(sure, o.duplicate_iou, 1)
+    beaten = asking.join(large(tops), [*CELL]).where(F.col("top") < order).select("photo_id", "det_seq").distinct()
+    return saved(sure.join(large(beaten), ["photo_id", "det_seq"], "left_anti"), "kept")
+
+
+def _decided(kept: DataFrame, left: DataFrame, o: Options) -> DataFrame:
+    """photo_id, det_seq, kept of the boxes that are kept and of those that go with them."""
     gone = _meeting(kept, left, o).select("photo_id", F.col("b.det_seq").alias("det_seq")).distinct()
     return kept.select("photo_id", "det_seq", F.lit(True).alias("kept")).unionByName(gone.withColumn("kept", F.lit(False)))
 
 
+def _round(left: DataFrame, o: Options) -> DataFrame:
+    """photo_id, det_seq, kept of boxes that a round decides."""
+    return _decided(_surest(left, o), left, o)
+
+
 def _in_order(left: DataFrame, o: Options) -> DataFrame:
     """What is kept of each photo's rest, by one pass in order of confidence over cells of kept boxes."""
     t, base = o.duplicate_iou, _base(o.duplicate_iou)
@@ -129,9 +139,9 @@ def in_rounds(boxes: DataFrame, o: Options, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         if left.isEmpty():
             break
-        decided = saved(_round(left, o), "decided")
-        out.append(left.join(decided.where("kept"), key, "left_semi"))
-        left = saved(left.join(decided, key, "left_anti"), "undecided")
+        kept = _surest(left, o)
+        out.append(kept)
+        left = saved(left.join(large(_decided(kept, left, o)), key, "left_anti"), "undecided")
     out.append(_in_order(left, o))
     whole = out[0]
     for more in out[1:]:
@@ -144,5 +154,5 @@ def suppressed(boxes: DataFrame, o: Options, limit: int = LIST) -> DataFrame:
     crowded = saved(boxes.groupBy("photo_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("photo_id"), "crowded")
     if crowded.isEmpty():
         return deduplicated(boxes, o)
-    few = deduplicated(boxes.join(crowded, "photo_id", "left_anti"), o)
-    return few.unionByName(in_rounds(boxes.join(crowded, "photo_id", "left_semi"), o).select(*few.columns))
+    few = deduplicated(boxes.join(large(crowded), "photo_id", "left_anti"), o)
+    return few.unionByName(in_rounds(boxes.join(large(crowded), "photo_id", "left_semi"), o).select(*few.columns))
