@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import boxes as b
 from ..operators import votes as v
 from ..options import Options
-from ..sources.saved import saved
+from ..sources.saved import large, saved
 from . import reading as r
 
 KEY = v.DETECTION
@@ -43,7 +44,7 @@ class Staged:
     def calls(self) -> DataFrame:
         """photo_id, det_index, field_calls, whole_calls, calls: how often the recogniser is asked about each detection."""
         n = lambda tasks, name: tasks.groupBy(*KEY).agg(F.count("*").alias(name))
-        rows = self.found.select(*KEY, "det_index").join(n(self.field_tasks, "field_calls"), [*KEY], "left").join(n(self.whole_tasks, "whole_calls"), [*KEY], "left")
+        rows = self.found.select(*KEY, "det_index").join(large(n(self.field_tasks, "field_calls")), [*KEY], "left").join(large(n(self.whole_tasks, "whole_calls")), [*KEY], "left")
         counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("field_calls", "whole_calls")}
         rows = rows.withColumns(counts)
         return rows.select("photo_id", "det_index", "field_calls", "whole_calls", (F.col("field_calls") + F.col("whole_calls")).alias("calls"))
@@ -73,29 +74,32 @@ def staged(found: DataFrame, cuts: DataFrame, fields: Recogniser, o: Options, wh
     ``whole`` answers the second phase, if it is not the same recogniser.
     """
     found = saved(found, "found")
-    own = cuts.join(found.select(*KEY), [*KEY], "left_semi")
+    own = cuts.join(large(found.select(*KEY)), [*KEY], "left_semi")
     frames = b.ocr_frames(own.where("is_complete"), o, KEY)
     # Numbered as all tasks are, but only those of fields; whole plates of these crops may never be asked for.
     first = saved(b.ocr_tasks(frames.where("field <> 'whole'"), KEY), "field-tasks")
     answered = saved(fields(first), "field-answers")
-    read = v.composed(field_texts(answered), o).where("plate_text is not null")
-    unread = found.select(*KEY).join(read.select(*KEY), [*KEY], "left_anti").withColumn("field", F.lit("whole"))
+    read = r.by_field(found, own, lambda _: field_texts(answered), o)  # answers are those of cut plates alone
+    unread = read.where("not done").select(*KEY, F.lit("whole").alias("field"))
     second = saved(b.ocr_tasks(unread, KEY), "whole-tasks")
     more = saved((whole or fields)(second), "whole-answers")
     answers = answered.unionByName(more)
-    routed = r.routed_votes(found, own, field_texts(answered), whole_texts(more), o)
+    routed = r.with_whole(read, lambda _: whole_texts(more), o)
     return Staged(found, first, second, answers, routed)
 
 
-def replayed(fields: DataFrame, whole: DataFrame) -> Recogniser:
-    """A recogniser whose answers are there already, as tables of readings of fields and of whole plates."""
+def replayed(fields: DataFrame | None, whole: DataFrame | None) -> Recogniser:
+    """A recogniser whose answers are there already, as tables of readings of fields and of whole plates; a phase that has one alone needs no other."""
     by_field = F.when(F.col("field") == "letter", "letters").otherwise("digits")
-    f = fields.select(*KEY, "field", "variant_no", by_field.alias("alphabet"), "raw_text", "confidence")
     shown = ((F.col("reading_seq") + 1) / 2).cast("int")
-    w = whole.select(*KEY, F.lit("whole").alias("field"), shown.alias("variant_no"), F.when(F.col("restricted"), "both").otherwise("any").alias("alphabet"), "raw_text", "confidence")
-    known = f.unionByName(w)
+    tables = []
+    if fields is not None:
+        tables.append(fields.select(*KEY, "field", "variant_no", by_field.alias("alphabet"), "raw_text", "confidence"))
+    if whole is not None:
+        tables.append(whole.select(*KEY, F.lit("whole").alias("field"), shown.alias("variant_no"), F.when(F.col("restricted"), "both").otherwise("any").alias("alphabet"), "raw_text", "confidence"))
+    known = reduce(DataFrame.unionByName, tables)
 
     def read(tasks: DataFrame) -> DataFrame:
-        return tasks.join(known, [*KEY, "field", "variant_no", "alphabet"]).withColumns({"reading_seq": F.lit(1), "error": F.lit(None).cast("string")})
+        return tasks.join(large(known), [*KEY, "field", "variant_no", "alphabet"]).withColumns({"reading_seq": F.lit(1), "error": F.lit(None).cast("string")})
 
     return read
