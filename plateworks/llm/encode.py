@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .batches import Text, Words
 
@@ -102,13 +103,14 @@ def _with_marks(words: Words) -> Words:
 class Memory:
     """Ids of words met lately: the words of this generation, and those of the one before."""
 
-    def __init__(self):
+    def __init__(self, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words, and each word's first place and number of ids in them."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         fresh = []
@@ -128,10 +130,11 @@ class Memory:
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size, size
 
 
-def _alike(word: str) -> str:
-    """A word without white space around it; ASCII letters lower-cased, as the tokenizer does after it has found its own signs."""
-    word = word.strip(" \t\n\v\f\r")
-    return word.lower() if word.isascii() and "<" not in word else word
+def _alike(words: pa.Array) -> list[str]:
+    """Words without white space around them; ASCII letters lower-cased, as the tokenizer does after it has found its own signs."""
+    words = pc.ascii_trim(words, " \t\n\v\f\r")
+    plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<"))
+    return pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
 
 
 def encode(col: pa.Array, path: str, end_id: int, memory: Memory) -> Iterator[np.ndarray]:
@@ -144,11 +147,14 @@ def encode(col: pa.Array, path: str, end_id: int, memory: Memory) -> Iterator[np
     words = _with_marks(words)
     coded = words.strings().dictionary_encode()
     which = coded.indices.to_numpy()
-    ids, begin, size = memory.ids([_alike(w) for w in coded.dictionary.to_pylist()], path)
+    ids, begin, size = memory.ids(_alike(coded.dictionary), path)
     each = size[which]
     # The ids of all words in order: word k takes ids[begin[which[k]]:][:each[k]].
     ends = np.cumsum(each)
-    flat = ids[np.arange(ends[-1]) + np.repeat(begin[which] - (ends - each), each)]
+    kind = np.int32 if max(ends[-1], len(ids)) < 1 << 31 else np.int64
+    at = np.arange(ends[-1], dtype=kind)
+    at += np.repeat((begin[which] - (ends - each)).astype(kind), each)
+    flat = ids[at]
     bounds = np.concatenate(([0], ends))[words.first]
     last = np.array([end_id], np.uint32)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .encode import ENCODE_BYTES, Memory, encode, vocabulary, vocabulary_size
+from .encode import Memory, encode, vocabulary, vocabulary_size
 from .shared import bounded, few, shared_dir
 
 MAGIC = b"PWSST001"
-END_ID, SECTION_BYTES, SHARD_TEXT_BYTES = 1, 64 << 10, 32 << 20
+END_ID, SECTION_BYTES, SHARD_TEXT_BYTES = 1, 64 << 10, 16 << 20
+#: Text bytes encoded together, and words remembered in place of longer slices, whose arrays would be held beside a sort.
+ENCODE_BYTES, REMEMBERED = 2 << 20, 150_000
 _FOOTER = struct.Struct("<QQQQQQHHxxxx8s")
 _BLOOM_BITS, _BLOOM_PROBES = 10, 7
 
@@ -191,7 +193,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            memory = Memory()
+            memory = Memory(REMEMBERED)
             for batch in slices(batches, "text", ENCODE_BYTES):
                 yield from zip(batch.column(0).to_pylist(), encode(batch.column(1), vocab, end_id, memory), strict=True)
 
@@ -202,8 +204,6 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
     parts = slim.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), *order).sortWithinPartitions(*order)
     parts.mapInArrow(run, "section binary").select(F.col("section").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
-
-
     _manifest(docs.sparkSession, path).write.parquet(f"{path}/_manifest")
 
 

@@ -7,11 +7,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plateworks.llm import decontaminate, langid, linear, neardup, packing, pipeline, quality, shared, sstable, topk, warc, wordpiece
+from plateworks.llm import batches, decontaminate, encode, langid, linear, neardup, packing, pipeline, quality, shared, sstable, topk, warc, wordpiece
 from plateworks.llm.encode import vocabulary
 from plateworks.llm.shared import shared_dir
 
@@ -421,3 +422,22 @@ def test_near_duplicates_without_broadcasts(spark, docs, monkeypatch):
     monkeypatch.setattr(shared, "FEW_ROWS", 0)
     got = sorted(neardup.near_duplicates(more).collect(), key=key)
     assert got == want and {(r.component_id, r.kept) for r in got if r.doc_id is None} == {(None, True)}
+
+
+def test_a_shards_texts_are_encoded_in_small_slices():
+    import tracemalloc
+
+    words = [chr(97 + k % 26) * (k % 5 + 1) for k in range(400_000)]
+    rows = pa.RecordBatch.from_pydict({"text": [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)] * 5})
+    memory = encode.Memory(sstable.REMEMBERED)
+    list(encode.encode(rows.column(0).slice(0, 1), encode.vocabulary(), 1, memory))
+    tracemalloc.start()
+    n = sum(len(ids) for part in batches.slices(iter([rows]), "text", sstable.ENCODE_BYTES) for ids in encode.encode(part.column(0), encode.vocabulary(), 1, memory))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= len(words) * 5 and peak < 32 << 20, peak
+
+
+def test_words_alike_are_trimmed_and_lower_cased_unless_they_may_hold_a_sign():
+    words = ["Ab \t", "\x0bX\x0c\r\n", "<|EndOfText|> ", "A<B", "É", " Q", "", " "]
+    assert encode._alike(pa.array(words, pa.large_string())) == ["ab", "x", "<|EndOfText|>", "A<B", "É", " Q", "", ""]
