@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plateworks.functions import text as tx
-from plateworks.operators import crowded, votes
+from plateworks.operators import boxes, crowded, votes
 from plateworks.options import Options
 from plateworks.plans import catalog
 from plateworks.sources import fixtures
@@ -73,3 +73,28 @@ def test_canonical_texts_are_those_that_folding_leaves(spark):
     assert all(r.n == r.f for r in got) and {r.t for r in got if r.same} == {"9071-ب-6", "640219 WW", "A-B C", "1" * 5000, "-".join("7" * 5000)}
     blank = spark.createDataFrame([(f"{b}x y{b}{b}",) for b in votes.BLANKS] + [(votes.BLANKS,), (None,)], "raw_text string")
     assert {r.raw_text for r in votes.clean(blank).collect()} == {"x y"} and votes.clean(blank).count() == len(votes.BLANKS)
+
+
+def test_readings_of_one_text_are_added_up_before_it_is_folded(spark):
+    rows = [(1, 1, "digits", k, True, "12345", 0.25) for k in range(1, 6)] + [(1, 1, "letter", 1, True, "بب", 0.5), (1, 1, "letter", 2, True, "ب", None), (1, 1, "region", 2, True, "7", 0.5), (1, 1, "region", 1, True, "٨", 0.5)]
+    rows += [(2, 1, "digits", 1, True, "12345", 0.5), (2, 1, "letter", 1, True, "ب", 0.5), (2, 1, "brand", 1, True, "7", 0.5)]
+    readings = spark.createDataFrame(rows, "photo_id long, det_seq int, field string, variant_no int, restricted boolean, raw_text string, confidence double")
+    won = votes.composed(readings, Options())
+    below = _plan(won).split("ArrowEvalPython", 1)[1]
+    assert "Aggregate" in below and "raw_text" in below.split("Aggregate", 1)[1].split("\n")[0]
+    got = {r.photo_id: (r.digits, r.letter, r.region, r.plate_text, r.score) for r in won.collect()}
+    # Two letters of one reading both vote, a tie goes to the earlier rendering, and another field is no part of a plate.
+    assert got == {1: ("12345", "ب", "8", "12345-ب-8", 2.76), 2: ("12345", "ب", None, None, 0.0)}
+
+
+def test_winners_of_all_fields_are_chosen_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 1, "digits", 1, True, "1", 0.5)], "photo_id long, det_seq int, field string, variant_no int, restricted boolean, raw_text string, confidence double").repartition(3, "photo_id", "det_seq")
+    assert _plan(votes.composed(rows, Options())).count("Exchange hashpartitioning") == 3
+
+
+def test_ends_of_crops_are_found_without_sorting(spark):
+    parts = [(1, 420, 150, 390, 5, 1, 10, 60, 600), (1, 420, 150, 100, 5, 3, 2, 60, 120), (1, 420, 150, 100, 5, 2, 9, 60, 540), (1, 420, 150, 390, 5, 4, 12, 60, 720), (2, 420, 150, 9, 5, 1, 1, 60, 60)]
+    cuts = boxes.field_cuts(spark.createDataFrame(parts, "crop_id long, plate_w int, plate_h int, x int, y int, comp_id int, w int, h int, area int"))
+    assert "SortAggregate" not in _plan(cuts)
+    got = {r.crop_id: (r.n_bars, r.digits_end, r.letter_start, r.letter_end, r.region_start) for r in cuts.collect()}
+    assert got == {1: (4, 99, 103, 384, 408), 2: (0, None, None, None, None)}
