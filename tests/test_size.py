@@ -98,3 +98,20 @@ def test_ends_of_crops_are_found_without_sorting(spark):
     assert "SortAggregate" not in _plan(cuts)
     got = {r.crop_id: (r.n_bars, r.digits_end, r.letter_start, r.letter_end, r.region_start) for r in cuts.collect()}
     assert got == {1: (4, 99, 103, 384, 408), 2: (0, None, None, None, None)}
+
+
+def test_pooled_readings_are_made_in_the_tasks_that_number_lines(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_LINES", 500)
+    got = catalog.QUERIES["pooled_readings"](spark, SF)
+    n = fixtures.lines(spark, SF).count()
+    assert got.rdd.getNumPartitions() == -(-n // 500) > 4 and "Union" not in _plan(got)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 18 * n and max(sizes) < 18 * 1500
+
+
+def test_pooled_readings_are_those_of_fields_and_whole_plates(spark):
+    tables = catalog.Tables(spark, SF)
+    got, want = tables.pooled(), votes.pooled(tables.fields, tables.whole)
+    assert got.dtypes == want.dtypes
+    got, want = (df.groupBy(*df.columns).count() for df in (got, want))
+    assert got.count() == want.count() > 1000 and not got.exceptAll(want).head(1)
