@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import boxes as b
 from ..operators import votes as v
 from ..options import Options
-from ..sources.saved import large, saved
+from ..sources.saved import Dealt, large, saved
 from . import reading as r
 
 KEY = v.DETECTION
@@ -66,25 +66,28 @@ def whole_texts(answers: DataFrame) -> DataFrame:
     return answers.where("error is null and field = 'whole'").select(*KEY, (call * _READINGS + F.col("reading_seq")).cast("int").alias("reading_seq"), "raw_text", "confidence")
 
 
-def staged(found: DataFrame, cuts: DataFrame, fields: Recogniser, o: Options, whole: Recogniser | None = None) -> Staged:
+def staged(found: DataFrame, cuts: DataFrame, fields: Recogniser, o: Options, whole: Recogniser | None = None, dealt: Dealt | None = None, stays: bool = False) -> Staged:
     """Votes of all detections, with as few calls as they need.
 
     ``found``: photo_id, det_seq, det_index, confidence of detections. ``cuts``:
     the field cuts of their crops; a detection without any is read whole.
-    ``whole`` answers the second phase, if it is not the same recogniser.
+    ``whole`` answers the second phase, if it is not the same recogniser. ``dealt``
+    says how both tables are dealt by photo, if they are, and ``stays`` that
+    answers stay in the tasks of theirs, as those of a join do. A recogniser's
+    tasks are made of saved cuts and detections when they are wanted.
     """
-    found = saved(found, "found")
-    own = cuts.join(large(found.select(*KEY)), [*KEY], "left_semi")
-    frames = b.ocr_frames(own.where("is_complete"), o, KEY)
-    # Numbered as all tasks are, but only those of fields; whole plates of these crops may never be asked for.
-    first = saved(b.ocr_tasks(frames.where("field <> 'whole'"), KEY), "field-tasks")
-    answered = saved(fields(first), "field-answers")
-    read = r.by_field(found, own, lambda _: field_texts(answered), o)  # answers are those of cut plates alone
+    found = saved(found, "found", dealt)
+    own = saved(cuts.join(large(found.select(*KEY)), [*KEY], "left_semi"), "cuts", dealt)
+    key, kept = (dealt[1], dealt) if dealt and stays else (None, None)
+    # Whole plates of these crops may never be asked for.
+    first = b.field_calls(b.field_frames(own, KEY), KEY)
+    answered = saved(fields(first), "field-answers", kept)
+    read = r.by_field(found, own, lambda _: field_texts(answered), o, dealt, key)  # answers are those of cut plates alone
     unread = read.where("not done").select(*KEY, F.lit("whole").alias("field"))
-    second = saved(b.ocr_tasks(unread, KEY), "whole-tasks")
-    more = saved((whole or fields)(second), "whole-answers")
+    second = b.whole_calls(unread, KEY)
+    more = saved((whole or fields)(second), "whole-answers", kept)
     answers = answered.unionByName(more)
-    routed = r.with_whole(read, lambda _: whole_texts(more), o)
+    routed = r.with_whole(read, lambda _: whole_texts(more), o, key)
     return Staged(found, first, second, answers, routed)
 
 

@@ -10,6 +10,7 @@ from plateworks.operators import boxes, crowded, votes
 from plateworks.options import Options
 from plateworks.plans import catalog
 from plateworks.sources import fixtures
+from plateworks.sources.saved import saved
 from plateworks.streaming import plates
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +116,38 @@ def test_pooled_readings_are_those_of_fields_and_whole_plates(spark):
     assert got.dtypes == want.dtypes
     got, want = (df.groupBy(*df.columns).count() for df in (got, want))
     assert got.count() == want.count() > 1000 and not got.exceptAll(want).head(1)
+
+
+_TEXTS = ["12345", "１２３４５", "①2345", "9071-ب-6", "ﬁ", "é", "ب", "ﺏ", "", None, "7"]
+
+
+def _dealt(spark, dealt):
+    rows = [(p, d, f, k, _TEXTS[(p + 3 * d + 5 * k + len(f)) % len(_TEXTS)], k / 8) for p in range(40) for d in (1, 2) for f in votes.FIELDS for k in range(1, 6)]
+    return saved(spark.createDataFrame(rows, "photo_id long, det_seq int, field string, variant_no int, raw_text string, confidence double"), "readings", dealt)
+
+
+def test_votes_of_readings_dealt_by_photo_stay_in_their_tasks(spark):
+    rows = _dealt(spark, (3, "photo_id"))
+    want, got = votes.composed(_dealt(spark, None), Options()), votes.composed(rows, Options(), "photo_id")
+    # Only texts that Python decomposes leave their tasks and come back.
+    assert _plan(got).count("Exchange") == 1 and "ArrowEvalPython" in _plan(got).split("Exchange", 1)[1]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 80
+    whole = rows.withColumn("reading_seq", F.col("variant_no"))
+    assert _plan(votes.whole_votes(whole, Options(), "photo_id")).count("Exchange") == 1
+    assert {tuple(r) for r in votes.whole_votes(whole, Options(), "photo_id").collect()} == {tuple(r) for r in votes.whole_votes(whole, Options()).collect()} != set()
+
+
+@pytest.mark.parametrize(("query", "most"), [("staged_calls", 0), ("staged_readings", 1), ("activity_log", 1), ("plate_report_rows", 0), ("compose_fields", 1)])
+def test_tables_dealt_by_photo_are_not_shuffled_again(spark, query, most):
+    plan = _plan(catalog.QUERIES[query](spark, SF))
+    # One for texts that Python decomposed; crowded photos' boxes are dealt by cell (gw and others).
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "gw#" not in line]
+    assert len(shuffles) <= most, shuffles
+
+
+def test_a_recogniser_s_tasks_are_not_saved(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    catalog.QUERIES["staged_calls"](spark, SF)
+    new = set(os.listdir(folder)) - before
+    assert not any("tasks" in name for name in new) and any(name.startswith("field-answers-") for name in new)
