@@ -62,16 +62,17 @@ class Writer(DataSourceArrowWriter):
                             out.close()
                         if not _there(where, self._staging(target)):
                             raise InterruptedError("the run has been given up")
+                        # Below its number: a folder for each vehicle is made in its place alone.
+                        where.create_dir(own, recursive=True)
+                        out = where.open_output_stream(f"{own}/{len(names)}")
                         names.append(name)
-                        where.create_dir(f"{own}/{name}".rpartition("/")[0], recursive=True)
-                        out = where.open_output_stream(f"{own}/{name}")
                     out.write(content or b"")
         finally:
             if out:
                 out.close()
-        for name in names:
+        for k, name in enumerate(names):
             where.create_dir(f"{whole}/{name}".rpartition("/")[0], recursive=True)
-            where.move(f"{own}/{name}", f"{whole}/{name}")
+            where.move(f"{own}/{k}", f"{whole}/{name}")
         return Written(len(names))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -107,6 +108,33 @@ class NamedFiles(DataSource):
         return Writer(self.options["path"], overwrite)
 
 
+#: Bytes of read files that go back to Spark at once, unless one file has more.
+READ_BYTES = 4 << 20
+
+
+def read_files(names: DataFrame, path: str, column: str) -> DataFrame:
+    """The rows of ``names`` (name, and others that are kept) with the text of the file of that name in the folder, in place of the name.
+
+    Tasks open the files themselves, so that none are listed; one that isn't there is an error.
+    """
+    kept = [c for c in names.columns if c != "name"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = fs.FileSystem.from_uri(path.rstrip("/"))
+        for batch in batches:
+            start, texts, held = 0, [], 0
+            for k, name in enumerate(batch.column("name").to_pylist(), 1):
+                with where.open_input_file(f"{folder}/{name}") as file:
+                    texts.append(file.read().decode())
+                held += len(texts[-1])
+                if held >= READ_BYTES or k == batch.num_rows:
+                    rows = batch.select(kept).slice(start, k - start)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*kept, column])
+                    start, texts, held = k, [], 0
+
+    return names.mapInArrow(read, f"{', '.join(f'`{c}` {t}' for c, t in names.dtypes if c != 'name')}, `{column}` string")
+
+
 def write_files(pieces: DataFrame, path: str, order: tuple[str, ...] = (), overwrite: bool = False) -> None:
     """Write pieces (name, content, and the columns that order a file's pieces) to a folder; names may have folders of their own.
 

@@ -3,12 +3,14 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plateworks.operators import boxes
 from plateworks.options import Options
 from plateworks.plans import documents, reading
+from plateworks.sources import files
 from plateworks.sources.files import write_files
 
 O = Options()
@@ -102,3 +104,30 @@ def test_a_document_of_many_photos_has_no_list(spark):
     plan = pieces._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and pieces.count() == 2 * n + 3 + 2
     assert pieces.agg(F.max(F.length("content"))).first()[0] < 400
+
+
+def test_files_are_read_by_name_in_tasks(spark, tmp_path, monkeypatch):
+    rows = [(k, f"v+{k % 3}/{k}.txt", f"é{k}" * 50) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, name string, content string")
+    write_files(df.select("name", "content"), str(tmp_path / "out"))
+    monkeypatch.setattr(files, "READ_BYTES", 500)
+    got = files.read_files(df.select("k", "name"), f"file://{tmp_path}/out", "text")
+    assert got.columns == ["k", "text"] and {(r.k, r.text) for r in got.collect()} == {(k, t) for k, _, t in rows}
+    assert files.read_files(df.where("k < 0").select("k", "name"), str(tmp_path / "out"), "text").count() == 0
+    with pytest.raises(Exception, match="v\\+0/99.txt"):
+        files.read_files(spark.createDataFrame([(1, "v+0/99.txt")], "k long, name string"), str(tmp_path / "out"), "text").collect()
+
+
+def test_a_vehicle_has_one_folder_while_files_are_written(tmp_path):
+    out = files.Writer(str(tmp_path / "out"), False)
+    seen = []
+    batch = pa.RecordBatch.from_arrays([pa.array(["a/x", "b/x"]), pa.array([b"1", b"2"])], ["name", "content"])
+
+    def batches():
+        yield batch
+        seen.extend(p for p in tmp_path.rglob("*") if p.is_dir() and p.name in "ab")
+
+    out.write(batches())
+    assert not seen and {p.name for p in tmp_path.rglob("*") if p.is_file()} == {"x"}
+    out.commit([])
+    assert _files(tmp_path / "out") == {"a/x": b"1", "b/x": b"2"} and _beside(tmp_path / "out") == ["out"]
