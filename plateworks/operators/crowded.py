@@ -20,13 +20,14 @@ from itertools import product
 from math import floor, log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
 from ..options import Options
 from ..sources.saved import large, saved
 from .boxes import BOX, deduplicated
+from .boxes import overlap_pairs as listed_pairs
 
 #: Boxes of a photo that are settled as a list, and rounds before the rest is settled in order.
 LIST, ROUNDS = 256, 8
@@ -42,33 +43,45 @@ def _base(t: float) -> float:
     return SLACK / t
 
 
-def _cells(boxes: DataFrame, t: float, reach: int) -> DataFrame:
-    """Boxes with their own cell in each of four grids, and those up to ``reach`` cells around it."""
+_AROUND = tuple(product((-1, 0, 1), repeat=2))
+
+
+def _cells(boxes: DataFrame, t: float, near: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """Boxes with their own cell in each of four grids, or with those that lie so far from it."""
     base = _base(t)
     level = lambda low, high: F.floor(F.ln((F.col(high) - F.col(low)).cast("double")) / log(base)).cast("int")
     leveled = boxes.withColumns({"lw": level("x1", "x2"), "lh": level("y1", "y2")})
     side = lambda c, g: F.floor(F.col(c) / ((1 - t + SLACK - 1) * F.pow(F.lit(base), F.col(g) + 2)))
     grids = F.explode(F.array(*(F.struct((F.col("lw") - i).alias("gw"), (F.col("lh") - j).alias("gh")) for i, j in product((0, 1), repeat=2))))
     at = leveled.select("*", grids.alias("g")).select("*", "g.*").drop("g").withColumns({"cx": side("x1", "gw"), "cy": side("y1", "gh")})
-    if not reach:
+    if not near:
         return at
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in product(range(-reach, reach + 1), repeat=2))))
-    return at.select("*", around.alias("a")).withColumns({"cx": F.col("cx") + F.col("a.i"), "cy": F.col("cy") + F.col("a.j")}).drop("a")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near)))
+    return at.select("*", around.alias("a")).withColumns({"cx": F.col("cx") + F.col("a.i"), "cy": F.col("cy") + F.col("a.j"), "away": (F.col("a.i") != 0) | (F.col("a.j") != 0)}).drop("a")
 
 
-def _meeting(left: DataFrame, right: DataFrame, o: Options) -> DataFrame:
-    """a and b of each pair, once, of boxes that overlap too much."""
-    box = lambda p: F.struct("det_seq", "lw", "lh", *BOX).alias(p)
-    a = _cells(left, o.duplicate_iou, 1).select(*CELL, box("a"))
-    b = _cells(right, o.duplicate_iou, 0).select(*CELL, box("b"))
+def _meeting(left: DataFrame, right: DataFrame, o: Options, near: tuple[tuple[int, int], ...] = _AROUND) -> DataFrame:
+    """a and b of each pair, once, of boxes that overlap too much, b's cell lying that far from a's."""
+    box = lambda p, *more: F.struct("det_seq", "lw", "lh", *BOX, *more).alias(p)
+    # Dealt by cell, however the photos are: one may have most boxes.
+    a = _cells(left, o.duplicate_iou, near).select(*CELL, box("a", "away")).repartition(*CELL)
+    b = _cells(right, o.duplicate_iou).select(*CELL, box("b")).repartition(*CELL)
     own = (F.least("a.lw", "b.lw") == F.col("gw")) & (F.least("a.lh", "b.lh") == F.col("gh"))
     return a.join(large(b), [*CELL]).where(own & (F.col("a.det_seq") != F.col("b.det_seq"))).withColumn("iou", iou(F.col("a"), F.col("b"))).where(F.col("iou") >= o.duplicate_iou)
 
 
-def overlap_pairs(boxes: DataFrame, o: Options) -> DataFrame:
-    """The pairs of :func:`~plateworks.operators.boxes.overlap_pairs`, of which only those near each other are compared."""
-    met = _meeting(boxes, boxes, o).where("a.det_seq < b.det_seq")
-    return met.select("photo_id", F.col("a.det_seq").alias("a_seq"), F.col("b.det_seq").alias("b_seq"), F.round("iou", 6).alias("iou"))
+def overlap_pairs(boxes: DataFrame, o: Options, limit: int = 0) -> DataFrame:
+    """The pairs of :func:`~plateworks.operators.boxes.overlap_pairs`; of photos with more boxes than the limit, only those near each other are compared.
+
+    A pair is met from one side alone: half of the cells around a box are looked into.
+    """
+    counted = boxes.withColumn("_n", F.count("*").over(Window.partitionBy("photo_id")))
+    many = (counted.where(F.col("_n") > limit) if limit else boxes).select(*boxes.columns)
+    met = _meeting(many, many, o, tuple(at for at in _AROUND if at >= (0, 0)))
+    met = met.where((F.col("a.det_seq") < F.col("b.det_seq")) | F.col("a.away"))
+    first, second = F.least("a.det_seq", "b.det_seq"), F.greatest("a.det_seq", "b.det_seq")
+    pairs = met.select("photo_id", first.alias("a_seq"), second.alias("b_seq"), F.round("iou", 6).alias("iou"))
+    return listed_pairs(counted.where(F.col("_n") <= limit), o).unionByName(pairs) if limit else pairs
 
 
 def _rank() -> Column:
@@ -78,12 +91,12 @@ def _rank() -> Column:
 def _surest(left: DataFrame, o: Options) -> DataFrame:
     """The boxes that a round keeps, saved."""
     order = F.struct(*ORDER)
-    home = _cells(left, o.duplicate_iou, 0)
+    home = _cells(left, o.duplicate_iou)
     tops = home.groupBy(*CELL).agg(F.min(order).alias("top"))
     firsts = tops.groupBy("photo_id", "top").agg(F.count("*").alias("n")).where("n = 4").select("photo_id", "top.*")
     # Only the surest of its own cells looks around.
     sure = saved(left.join(large(firsts.select("photo_id", "det_seq")), ["photo_id", "det_seq"], "left_semi"), "sure")
-    asking = _cells(sure, o.duplicate_iou, 1)
+    asking = _cells(sure, o.duplicate_iou, _AROUND)
     beaten = asking.join(large(tops), [*CELL]).where(F.col("top") < order).select("photo_id", "det_seq").distinct()
     return saved(sure.join(large(beaten), ["photo_id", "det_seq"], "left_anti"), "kept")
 

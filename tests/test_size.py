@@ -137,7 +137,7 @@ def test_votes_of_readings_dealt_by_photo_stay_in_their_tasks(spark):
     assert {tuple(r) for r in votes.whole_votes(whole, Options(), "photo_id").collect()} == {tuple(r) for r in votes.whole_votes(whole, Options()).collect()} != set()
 
 
-@pytest.mark.parametrize(("query", "most"), [("staged_calls", 0), ("staged_readings", 1), ("activity_log", 1), ("plate_report_rows", 0), ("compose_fields", 1)])
+@pytest.mark.parametrize(("query", "most"), [("staged_calls", 0), ("staged_readings", 1), ("activity_log", 1), ("plate_report_rows", 0), ("compose_fields", 1), ("crowded_pairs", 0)])
 def test_tables_dealt_by_photo_are_not_shuffled_again(spark, query, most):
     plan = _plan(catalog.QUERIES[query](spark, SF))
     # One for texts that Python decomposed; crowded photos' boxes are dealt by cell (gw and others).
@@ -151,3 +151,14 @@ def test_a_recogniser_s_tasks_are_not_saved(spark):
     catalog.QUERIES["staged_calls"](spark, SF)
     new = set(os.listdir(folder)) - before
     assert not any("tasks" in name for name in new) and any(name.startswith("field-answers-") for name in new)
+
+
+def test_pairs_of_photos_with_few_boxes_have_no_cells(spark):
+    rows = [(p, k, 10 * (k % 3), 0, 10 * (k % 3) + 50, 40 + k % 2, 0.5) for p, n in ((1, 4), (2, 30), (3, 6), (4, 7)) for k in range(n)]
+    df = spark.createDataFrame(rows, "photo_id long, det_seq int, x1 int, y1 int, x2 int, y2 int, confidence double")
+    want = {tuple(r) for r in boxes.overlap_pairs(df, Options()).collect()}
+    for limit in (0, 6, 100):
+        got = [tuple(r) for r in crowded.overlap_pairs(df, Options(), limit).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+    near = tuple(at for at in crowded._AROUND if at >= (0, 0))
+    assert len(near) == 5 and crowded._cells(df, 0.6, near).count() == 20 * len(rows)
