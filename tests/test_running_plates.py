@@ -1,5 +1,6 @@
 """Votes of a run as merging state: photos in batches give what the whole run gives."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plateworks.plans import reading
@@ -40,3 +41,55 @@ def test_a_stream_goes_on_from_its_state(spark, tmp_path):
     plates.in_batches(rows.where("group_id = 2 and position < 3"), str(tmp_path), 2)
     got = plates.in_batches(rows.where("group_id = 2 and position >= 3"), str(tmp_path), 2).collect()
     assert [(r.plate, r.n_images) for r in got] == [("B", 4)]
+
+
+class _State:
+    """Counts the messages of a vehicle's state."""
+
+    def __init__(self):
+        self.value, self.map, self.asked = None, {}, 0
+
+    def getValueState(self, *_):
+        return _Of(self, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def getMapState(self, *_):
+        return _Of(self, containsKey=lambda k: k in self.map, getValue=self.map.get, updateValue=self.map.__setitem__)
+
+
+class _Of:
+    def __init__(self, state, **calls):
+        def counted(f):
+            def call(*args):
+                state.asked += 1
+                return f(*args)
+
+            return call
+
+        self.__dict__ |= {name: counted(f) for name, f in calls.items()}
+
+
+def _photo(position, best, *votes):
+    return Row(position=position, plate_text=best, votes=[{"det_index": 1, "first_seq": k, "text": t, "weight": w} for k, (t, w) in enumerate(votes)])
+
+
+def test_a_batch_asks_the_state_twice_whatever_the_texts(monkeypatch):
+    state, vehicle = _State(), plates.Vehicle()
+    vehicle.init(state)
+    photos = [_photo(k + 1, f"T{k % 7}", *((f"T{(k + j) % 20}", 0.25) for j in range(5))) for k in range(30)]
+    for k in range(0, 30, 10):
+        last = list(vehicle.handleInputRows((1,), iter(photos[k : k + 10]), None))
+    assert state.asked == 6 and not state.map
+    small, other = _State(), plates.Vehicle()
+    monkeypatch.setattr(plates, "FEW", 3)
+    other.init(small)
+    for k in range(0, 30, 10):
+        got = list(other.handleInputRows((1,), iter(photos[k : k + 10]), None))
+    assert got == last and got[0].n_images == 30 and len(small.value[3]) == 3 and len(small.map) == 17
+
+
+def test_texts_beyond_the_first_are_kept_in_the_store(spark, tmp_path):
+    """Seventy texts before the one that wins in the last batch, which is the map's."""
+    rows = [(1, p, f"W{p}", [(1, k, f"W{p}" if p == 3 else f"T{p}-{k}", 0.5) for k in range(70)]) for p in (1, 2)] + [(1, 3, "T2-69", [(1, 0, "T2-69", 0.25)])]
+    df = spark.createDataFrame(rows, f"group_id long, position int, plate_text string, votes {plates.VOTE}")
+    got = [tuple(r) for r in plates.in_batches(df, str(tmp_path), 3).collect()]
+    assert got == [(1, "T2-69", 0.75, 1, 3)]
